@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality_rules
+from millrace.llm import quality_rules, secret_scan, token_counts
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_BPE)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +56,19 @@ FROM b
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=2048)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op6_token_counts": op6_token_counts,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
