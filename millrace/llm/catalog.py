@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality_rules, secret_scan, token_counts
+from millrace.llm import packing, quality_rules, secret_scan, token_counts, token_files, warc
+from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -56,6 +57,32 @@ FROM b
 """
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    index = token_files.write_tokens(_documents(spark, sf_dir), folder, _tokenizer(), end=2)
+    return token_files.read_tokens(token_files.with_starts(index), folder)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, least=1000)
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, n, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN p.page_id < k.keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < k.keep THEN k.keep END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), _tokenizer(), end=2, size=4096)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=2048)
 
@@ -66,6 +93,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": op2_token_files,
+        "op5_warc": op5_warc,
+        "op8_packing": op8_packing,
         "op4_quality_rules": op4_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op10_secret_scan": op10_secret_scan,
@@ -73,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL}
