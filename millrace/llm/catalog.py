@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality_rules, secret_scan, token_counts, token_files, warc
+from millrace.llm import packing, quality_rules, secret_scan, shingle_join, token_counts, token_files, warc
 from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -57,6 +57,11 @@ FROM b
 """
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = shingle_join.jaccard_components(_documents(spark, sf_dir), size=4, threshold=85)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     index = token_files.write_tokens(_documents(spark, sf_dir), folder, _tokenizer(), end=2)
@@ -93,6 +98,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_token_files": op2_token_files,
         "op5_warc": op5_warc,
         "op8_packing": op8_packing,
