@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality_rules, secret_scan, shingle_join, token_counts, token_files, warc
+from millrace.llm import decontaminate, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
 from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.with_starts(index), folder)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf_dir), least=50)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, least=1000)
@@ -92,6 +96,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=2048)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=0.2)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_documents(spark, sf_dir))
 
@@ -100,10 +108,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_token_files": op2_token_files,
+        "op3_repeats": op3_repeats,
         "op5_warc": op5_warc,
         "op8_packing": op8_packing,
         "op4_quality_rules": op4_quality_rules,
         "op6_token_counts": op6_token_counts,
+        "op9_decontamination": op9_decontamination,
         "op10_secret_scan": op10_secret_scan,
     }
 

@@ -18,11 +18,12 @@ same links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow_docs import slices, utf8
@@ -63,12 +64,23 @@ class Cells:
         return (cells >> np.uint64(shift)).astype(np.int64)
 
 
+    def met(self, bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Whether the bitmap has each token's cell."""
+        slot = self.slot(self.cell(tokens))
+        return bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1
+
+
+def parts_for(spark: SparkSession) -> int:
+    """A power of two, some times the number of shuffle partitions."""
+    return min(1 << 16, 1 << max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
 def _split(parts: np.ndarray, count: int) -> np.ndarray:
     return np.searchsorted(parts, np.arange(count + 1, dtype=np.uint64))
 
 
-def _count_cells(docs: DataFrame, size: int, cells: Cells) -> DataFrame:
-    """(part, cell, n, bits): cells of RANKED_FROM documents or more, and one row a part with its slice of the bitmap."""
+def count_cells(docs: DataFrame, tokens_of: Callable[[list[bytes]], list[np.ndarray]], cells: Cells, ranked_from: int) -> DataFrame:
+    """(part, cell, n, bits): cells of ``ranked_from`` tokens or more, and one row a part with its slice of the bitmap of cells of two or more."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -86,7 +98,7 @@ def _count_cells(docs: DataFrame, size: int, cells: Cells) -> DataFrame:
 
         total = 0
         for batch in slices(batches, "text"):
-            sets = shingle_sets(utf8(batch.column("text")), size)
+            sets = tokens_of(utf8(batch.column("text")))
             held += sets
             total += sum(map(len, sets))
             if total >= RUN_TOKENS:
@@ -108,7 +120,7 @@ def _count_cells(docs: DataFrame, size: int, cells: Cells) -> DataFrame:
         width = max(1, (1 << BITMAP_BITS) // cells.parts)
         bits = np.zeros(width, bool)
         bits[cells.slot(found[counts > 1]) % width] = True
-        many = counts >= RANKED_FROM
+        many = counts >= ranked_from
         return pa.table(
             {
                 "part": pa.array([part] * (1 + int(many.sum())), pa.int32()),
@@ -122,7 +134,7 @@ def _count_cells(docs: DataFrame, size: int, cells: Cells) -> DataFrame:
     return settle(made.groupBy("part").applyInArrow(reduce, "part int, cell long, n long, bits binary"), "cells")
 
 
-def _ranks(counted: DataFrame, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_ranks(counted: DataFrame, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bitmap, ranked cells ascending, their ranks), of bounded size whatever the input's."""
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     width = max(8, (1 << BITMAP_BITS) // cells.parts) // 8
@@ -179,8 +191,7 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                 if not n:
                     continue
                 of = cells.cell(tokens)
-                slot = cells.slot(of)
-                met = bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1
+                met = cells.met(bitmap, tokens)
                 weight = int(met.mean() * 65535)
                 p = int(prefix_length(n, threshold))
                 level = np.zeros(n, np.uint64)
@@ -255,9 +266,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = 1 << max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    cells = Cells(min(parts, 1 << 16))
-    ranks = _ranks(_count_cells(docs, size, cells), cells)
+    cells = Cells(parts_for(spark))
+    ranks = read_ranks(count_cells(docs, partial(shingle_sets, size=size), cells, RANKED_FROM), cells)
     hits = _prefix_groups(docs, size, threshold, cells, ranks)
 
     near = f"100 * least(n, other) >= {threshold} * greatest(n, other)"
