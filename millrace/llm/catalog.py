@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
+from millrace.llm import decontaminate, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
 from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -88,6 +88,11 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), edits=1, least=32)
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer(), end=2, size=4096)
 
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_repeats": op3_repeats,
         "op5_warc": op5_warc,
+        "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op4_quality_rules": op4_quality_rules,
         "op6_token_counts": op6_token_counts,
