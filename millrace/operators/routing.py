@@ -51,7 +51,7 @@ def select_per_rank(scored: DataFrame, n: int, ranks: int, experts: int, score:
 
 def layer_report(total: DataFrame, topk: int, experts: int, layer: str = "layer") -> DataFrame:
     """(layer, tokens, max_token_share, experts_with_zero_slots)"""
-    return total.groupBy(layer).agg((F.sum("slots") / topk).cast("long").alias("tokens"), (F.max("slots") / F.sum("slots")).alias("max_token_share"), (F.lit(experts) - F.count_if("slots > 0")).alias("experts_with_zero_slots"))
+    return total.groupBy(layer).agg((F.sum("slots") / topk).cast("long").alias("tokens"), (F.max("slots") / F.sum("slots")).alias("max_token_share"), (F.lit(experts) - F.count_if(F.col("slots") > 0)).alias("experts_with_zero_slots"))
 
 
 def missing_layers(report: DataFrame, expected: DataFrame, layer: str = "layer") -> DataFrame:

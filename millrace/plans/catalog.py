@@ -1,41 +1,19 @@
-"""Registry of the engine's named queries and of the SQL that states their results."""
+"""All named queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: name a query and, where SQL can say it, its oracle."""
-
-    def keep(function: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = function
-        if sql:
-            _SQL[name] = sql
-        return function
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from millrace.plans import conversations, profiles, registry, rows, scores, series, texts  # noqa: F401  each registers its queries
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict:
+    return registry.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return registry.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return conversations.prompt_length_profile(spark, sf_dir)

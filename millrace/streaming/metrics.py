@@ -119,7 +119,7 @@ def silences(events: DataFrame, by: str, at: str, seconds: float) -> DataFrame:
     from pyspark.sql import Window
 
     after = F.lead(at).over(Window.partitionBy(by).orderBy(at))
-    return events.select(by, F.col(at).alias("from"), after.alias("to")).filter(F.col("to").cast("double") - F.col("from").cast("double") > seconds)
+    return events.select(by, F.col(at).alias("from"), after.alias("to")).filter(F.col("to").cast("timestamp").cast("double") - F.col("from").cast("timestamp").cast("double") > seconds)
 
 
 def distinct_events(events: DataFrame, *keys: str, watermark: tuple[str, str] | None = None) -> DataFrame:
