@@ -5,6 +5,7 @@ Each takes the columns that order the rows; results keep that order in the colum
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 from functools import reduce
 
@@ -79,7 +80,7 @@ def mix(sources: list[tuple[DataFrame, float]], seed: int, key: str) -> DataFram
 
 def evaluation_count(total: int, fraction: str) -> int:
     """The fraction, as the decimal it is written as, of the total, rounded up; both sides must have rows."""
-    count = -int(-(Decimal(total) * Decimal(fraction)) // 1)
+    count = math.ceil(Decimal(total) * Decimal(fraction))
     if not 0 < count < total:
         raise RowError(f"a fraction of {fraction} of {total} rows leaves one side empty")
     return count

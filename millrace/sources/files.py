@@ -169,8 +169,9 @@ def write_rows(df: DataFrame, path: str, force: bool = False) -> None:
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(staged)
     elif kind == "json":
-        rows = F.transform(F.sort_array(F.collect_list(F.struct(F.monotonically_increasing_id().alias("i"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"])
-        df.agg(F.concat(F.lit("[\n"), F.array_join(rows, ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(staged)
+        numbered = df.select(F.monotonically_increasing_id().alias("i"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+        rows = F.transform(F.sort_array(F.collect_list(F.struct("i", "j"))), lambda x: x["j"])
+        numbered.agg(F.concat(F.lit("[\n"), F.array_join(rows, ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(staged)
     elif kind == "jsonl":
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(staged)
     else:

@@ -29,9 +29,22 @@ class Element:
     def text(self, leave_out: frozenset[Element] = frozenset()) -> str:
         return "".join(p if isinstance(p, str) else "" if p in leave_out else p.text(leave_out) for p in self.parts)
 
+    def after(self) -> list[Element | str]:
+        """What follows in the same parent, text included."""
+        own = self.parent.parts
+        return own[next(i for i, p in enumerate(own) if p is self) + 1 :]
+
     def following(self) -> list[Element]:
-        own = [p for p in self.parent.parts if isinstance(p, Element)]
-        return own[own.index(self) + 1 :]
+        return [p for p in self.after() if isinstance(p, Element)]
+
+    def tail(self) -> str:
+        """Text between this element and the next one."""
+        out = []
+        for part in self.after():
+            if isinstance(part, Element):
+                break
+            out.append(part)
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -83,21 +96,27 @@ def _one(root: Element, id_: str, tag: str | None = None) -> Element:
 def by_id(root: Element, id_: str) -> str:
     """An element's text; a heading's with all that follows up to a heading of its level or above."""
     element = _one(root, id_)
-    if element.tag not in HEADINGS:
-        return element.text().strip()
-    out = [element.text()]
-    for sibling in element.following():
-        if sibling.tag in HEADINGS and sibling.tag <= element.tag:
-            break
-        out.append(sibling.text())
+    out = [element.text() + element.tail()]
+    if element.tag in HEADINGS:
+        out += under(element)
     return "\n".join(out).strip()
 
 
+def under(heading: Element) -> list[str]:
+    """Texts of the elements after a heading, up to one of its level or above, each with the text that follows it."""
+    out = []
+    for sibling in heading.following():
+        if sibling.tag in HEADINGS and sibling.tag <= heading.tag:
+            break
+        out.append(sibling.text() + sibling.tail())
+    return out
+
+
 def section(root: Element, id_: str) -> str:
     """A section element's text; with ``!`` after the id, without the sections inside it."""
     element = _one(root, id_.rstrip("!"), "section")
     inner = frozenset(e for e in element.elements() if e.tag == "section") if id_.endswith("!") else frozenset()
-    return element.text(inner).strip()
+    return (element.text(inner) + element.tail()).strip()
 
 
 def definition(root: Element, id_: str) -> str:
@@ -113,7 +132,7 @@ def clause(root: Element, id_: str) -> str:
     """An element's tidied text without the parts whose ids follow its own after commas."""
     own, *out = id_.split(",")
     element = _one(root, own)
-    text = tidy(element.text(frozenset(_one(element, x) for x in out)))
+    text = tidy(element.text(frozenset(_one(element, x) for x in out)) + element.tail())
     if not text:
         raise ValueError(f"{id_}: nothing is left")
     return text
@@ -176,12 +195,7 @@ def headings(df: DataFrame, key: str, html: str) -> DataFrame:
             rows = []
             for i, source in enumerate(batch.column(html).to_pylist()):
                 for n, e in enumerate(e for e in parse(source or "").elements() if e.tag in HEADINGS):
-                    body = []
-                    for sibling in e.following():
-                        if sibling.tag in HEADINGS and sibling.tag <= e.tag:
-                            break
-                        body.append(sibling.text())
-                    rows.append((i, n, int(e.tag[1]), e.text().strip(), tidy("\n".join(body))))
+                    rows.append((i, n, int(e.tag[1]), e.text().strip(), tidy("\n".join([e.tail(), *under(e)]))))
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(key).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.string())], [key, "n", "level", "heading", "text"])
 
