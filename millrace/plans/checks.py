@@ -42,7 +42,7 @@ def render_conversations(spark, sf_dir):
     return made.select("conv_id", checks.rendered(F.col("messages"), {"user": "[U]{content}\n", "assistant": "[A]{content}</a>", "system": "[S]{content}\n"}, "<s>").alias("text"))
 
 
-@register("field_locations", "SELECT item_id, 4 AS start, 4 + length(text) AS \"end\" FROM benchmark")
+@register("field_locations", "SELECT item_id, CAST(4 AS INTEGER) AS start, CAST(4 + length(text) AS INTEGER) AS \"end\" FROM benchmark")
 def field_locations(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
     found = checks.located_field(F.concat(F.lit("<q> "), F.col("text"), F.lit(" </q>")), F.lit("<q> @@ </q>"), "@@", F.col("text"))

@@ -18,11 +18,11 @@ def _events(spark, sf_dir):
 @register(
     "metric_changes",
     f"""WITH e AS (SELECT event_id, user_id, {_V} AS v FROM events)
-    SELECT event_id, user_id, round(v - last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS change, CASE WHEN v IS NOT NULL THEN v < 10 OR v > 90 END AS out_of_range FROM e""",
+    SELECT event_id, user_id, round(v - last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS change, coalesce(v < 10 OR v > 90, false) AS out_of_range FROM e""",
 )
 def metric_changes(spark, sf_dir):
     out = series.changes(_events(spark, sf_dir), "user_id", "event_id", "value", 10.0, 90.0)
-    return out.select("event_id", "user_id", F.round("change", 6).alias("change"), "out_of_range")
+    return out.select("event_id", "user_id", F.round("change", 6).alias("change"), F.coalesce("out_of_range", F.lit(False)).alias("out_of_range"))
 
 
 @register(

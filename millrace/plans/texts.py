@@ -95,7 +95,7 @@ _BROKEN = [
 
 @register(
     "heal_lines",
-    """SELECT * FROM (VALUES (1, 0, '{"a": 1}', 'trailing commas (1)', false), (2, 0, '{"a": "it''s", "b": "x"}', 'single quotes (3)', false), (3, 0, '{"a": true, "b": null}', 'Python literals (2);unquoted keys (2)', false),
+    """SELECT CAST(line_no AS BIGINT) AS line_no, CAST(part AS BIGINT) AS part, line, repairs, failed FROM (VALUES (1, 0, '{"a": 1}', 'trailing commas (1)', false), (2, 0, '{"a": "it''s", "b": "x"}', 'single quotes (3)', false), (3, 0, '{"a": true, "b": null}', 'Python literals (2);unquoted keys (2)', false),
     (4, 0, '{"a": 1}', 'concatenated objects split into 3', false), (4, 1, '{"b": 2}', 'concatenated objects split into 3', false), (4, 2, '{"c": 3}', 'concatenated objects split into 3', false),
     (5, 0, '{"a": [1, 2]}', 'unclosed final brace or bracket (2)', false), (6, 0, '{"a": }', '', true), (7, 0, '{"a": 1}', '', false), (8, 0, '', '', false), (9, -1, NULL, 'truncated last line dropped', false)) t(line_no, part, line, repairs, failed)""",
 )
@@ -111,7 +111,7 @@ def html_headings(spark, sf_dir):
 
 @register(
     "markdown_sections",
-    "SELECT item_id, h AS heading, l AS level, CAST(f AS BIGINT) AS first_line FROM (SELECT item_id FROM benchmark), (VALUES ('Top', 1, 0), ('Inner', 2, 2), ('Next', 1, 7)) t(h, l, f)",
+    "SELECT item_id, h AS heading, CAST(l AS BIGINT) AS level, CAST(f AS BIGINT) AS first_line FROM (SELECT item_id FROM benchmark), (VALUES ('Top', 1, 0), ('Inner', 2, 2), ('Next', 1, 7)) t(h, l, f)",
 )
 def markdown_sections(spark, sf_dir):
     text = F.concat(F.lit("# Top\nx\n## Inner\n```\n# no heading\n```\n"), F.regexp_replace("text", "\n", " "), F.lit("\n# Next\nend"))
