@@ -107,32 +107,34 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     """(start from 0, size) of a segment; the first ones are a character shorter if the length does not divide."""
-    short = F.floor(length / parts).cast("int")
+    short = ((length - length % parts) / parts).cast("int")
     longer = length - short * parts  # so many of the last segments have one character more
     start = short * number + F.greatest(F.lit(0), longer - (parts - number))
     return start, short + F.when(F.lit(number) >= parts - longer, 1).otherwise(0)
 
 
 def _listings(line: Column, n: Column, edits: int) -> Column:
-    """array<struct(key, own)>: own keys, under which the line is found, and those under which it looks for shorter lines."""
+    """array<struct(key, own)>: own keys, under which the line is found, and those under which it looks for shorter lines.
+
+    ``n`` must be a column: it is read many times. Lines must have more than ``2 * edits`` characters; then all
+    substrings lie inside the line.
+    """
     parts, out = edits + 1, []
     for gap in range(edits + 1):
         length = n - gap
         for i in range(parts):
             start, size = _segment(length, i, parts)
-            low = max(-i, gap - (edits - i))
-            high = min(i, gap + (edits - i))
-            for shift in range(low, high + 1):
+            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
                 key = F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, size))
-                inside = (start + shift >= 0) & (start + shift + size <= n)
-                out.append(F.when(inside, F.struct(key.alias("key"), F.lit(gap == 0 and shift == 0).alias("own"))))
-    return F.array_compact(F.array(*out))
+                out.append(F.struct(key.alias("key"), F.lit(gap == 0 and shift == 0).alias("own")))
+    return F.array(*out)
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(id, line): id is doc_id, a hash of the text and the line's number; only lines of ``least`` characters."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.filter(F.length("line") >= least).select(F.struct("doc", "mark", "pos").alias("id"), "line")
+    """(id, line, n): id is doc_id, a hash of the text and the line's number; only lines of ``least`` characters."""
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("parts"))
+    rows = parts.select("doc", "mark", F.posexplode("parts").alias("pos", "line"))  # the text itself must not ride along with each line
+    return rows.select(F.struct("doc", "mark", "pos").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= least)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def line_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     crowd = met.filter("crowded").select("id").distinct()
     asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).union(crowd).distinct()
     asked = settle(asked, "asked")
-    texts = settle(lines.join(_few(asked), "id", "left_semi"), "texts")
+    texts = settle(lines.drop("n").join(_few(asked), "id", "left_semi"), "texts")
     x = texts.select(F.col("id").alias("x"), F.col("line").alias("a"))
     y = texts.select(F.col("id").alias("y"), F.col("line").alias("b"))
     links = pairs.join(x, "x").join(y, "y").filter(within_edits(F.col("a"), F.col("b"), edits)).select("x", "y")
@@ -191,11 +193,12 @@ def dedup_lines(docs: DataFrame, edits: int = 1, least: int = 32) -> DataFrame:
     doc_id are ordered by a hash of the text; a null doc_id comes first. An empty table gives no rows. Other
     columns pass through; columns already named n_lines or n_removed are replaced.
     """
+    if least <= 2 * edits:
+        raise ValueError(f"lines of {least} characters are too short for {edits} edits")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = _lines(docs, least)
     twins = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"))
-    n = F.length("line")
-    spread = lines.select("id", *twins, _listings(F.col("line"), n, edits).alias("listings"))
+    spread = lines.select("id", *twins, _listings(F.col("line"), F.col("n"), edits).alias("listings"))
     distinct = settle(spread.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.any_value("listings").alias("listings")), "lines")
     late = line_links(lines, distinct, edits).select(F.col("y").alias("id")).distinct().withColumn("late", F.lit(True))
     changed = distinct.select("h", "g", "id", "many").join(late, "id", "left").filter("many > 1 OR late").select("h", "g", F.col("id").alias("head"), F.coalesce("late", F.lit(False)).alias("late"))
