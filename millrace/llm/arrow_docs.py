@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-#: Bytes of text that a worker holds at once, unless one document alone has more.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a worker takes at once, unless one document alone has more.
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch between Spark and a worker: thousands of long texts must not come at once.
+BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to the above; lower ones stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.match(r"-?\d+", spark.conf.get(name))[0])
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def utf8(column: pa.Array) -> list[bytes]:

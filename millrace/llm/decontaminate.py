@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow_docs import slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, slices, utf8
 from millrace.llm.word_hashes import ALNUM, mix, words
 
 REPEATS = 6
@@ -173,6 +173,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> Dat
     passes = max(1, -(-count // (ITEMS_A_PASS // 2 if count > ITEMS_A_PASS else ITEMS_A_PASS)))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def one_pass(part: DataFrame) -> DataFrame:
         index = Index([(r["item_id"], r["text"].encode("utf-8")) for r in part.orderBy("item_id", "text").toLocalIterator()], share)

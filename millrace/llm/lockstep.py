@@ -15,6 +15,8 @@ import numpy as np
 
 CHUNK = 1024
 LEAD = 48
+#: Bytes that fill the lanes well.
+LANES_BYTES = 4 << 20
 
 
 def scan(symbols: np.ndarray, start: int, step: Callable, reset: int, out_type: type) -> np.ndarray:

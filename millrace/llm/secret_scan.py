@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow_docs import slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, slices, utf8
+from millrace.llm.lockstep import LANES_BYTES
 from millrace.llm.regex_automaton import Automaton, compile_rules
 
 
@@ -73,7 +74,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
     table = docs.sparkSession.sparkContext.broadcast(automaton(rules))  # some thousand states: bounded by the rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, LANES_BYTES):
             raw = utf8(batch.column(text))
             hits = table.value.hits(np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8))
             ends = np.cumsum([len(x) + 1 for x in raw])
@@ -93,5 +94,6 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
                 [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

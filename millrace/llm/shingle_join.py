@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow_docs import slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, slices, utf8
 from millrace.llm.components import connected_components
 from millrace.llm.word_hashes import mix, shingle_sets
 from millrace.session import settle
@@ -130,6 +130,7 @@ def count_cells(docs: DataFrame, tokens_of: Callable[[list[bytes]], list[np.ndar
             }
         )
 
+    bounded_batches(docs.sparkSession)
     made = docs.select("text").mapInArrow(gather, COUNTS)
     return settle(made.groupBy("part").applyInArrow(reduce, "part int, cell long, n long, bits binary"), "cells")
 

@@ -8,8 +8,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow_docs import slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, slices, utf8
 from millrace.llm.bpe_automaton import TokenCounter
+from millrace.llm.lockstep import LANES_BYTES
 
 
 @lru_cache(2)
@@ -27,7 +28,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, LANES_BYTES):
             raw = utf8(batch.column(text))
             counts = counter.count([x.decode("utf-8", "replace") for x in raw])
             yield pa.RecordBatch.from_arrays(
@@ -35,5 +36,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 [key, "n_bytes", "n_tokens", "over_limit"],
             )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -19,11 +17,17 @@ ALNUM = np.zeros(256, bool)
 ALNUM[128:] = ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 
 
-@lru_cache(4)
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """At least the first ``n`` powers; one array for each base, made anew when a longer one is needed."""
+    if len(_known.get(base, ())) < n:
+        _known.pop(base, None)
+        out = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+        out[0] = 1
+        _known[base] = np.multiply.accumulate(out, out=out)
+    return _known[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,13 +41,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """uint64 hash of each data[start:end]: a polynomial over the bytes and the length, mixed."""
-    n = 1 << max(12, int(len(data) + 1).bit_length())
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE)[: len(data)], out=sums[1:])
-    back = _powers(n, pow(_BASE, -1, 1 << 64))
+    sums = _sums(data)
+    back = _powers(len(data) + 1, pow(_BASE, -1, 1 << 64))
     return mix((sums[ends] - sums[starts]) * back[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(48))
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """range_hashes() of every run of ``size`` bytes."""
+    sums = _sums(data)
+    out = sums[size:] - sums[:-size]
+    out *= _powers(len(data) + 1, pow(_BASE, -1, 1 << 64))[: len(out)]
+    out ^= np.uint64(size) << np.uint64(48)
+    return mix(out)
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers(len(data) + 1, _BASE)[: len(data)]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
+
 def words(texts: list[bytes], of: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets: text i has hashes[offsets[i]:offsets[i + 1]]); A-Z count as a-z."""
     data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
