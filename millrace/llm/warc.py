@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import files
-from millrace.llm.arrow_docs import slices
+from millrace.llm.arrow_docs import bounded_batches, slices
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -98,6 +98,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
 
     spark = pages.sparkSession
+    bounded_batches(spark)
     mark_revisits(pages, least).mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -134,5 +135,6 @@ def read_records(index: DataFrame, folder: str, where: Column | None = None, wit
         if group:
             yield fetch(group)
 
-    placed = chosen.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count of its own: rows of the index are small, what they stand for is not
+    placed = chosen.select("file", "offset", "length").repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload)
