@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import files
-from millrace.llm.arrow_docs import slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, slices, utf8
 from millrace.llm.piece_encoder import encoder
 
 # Fixed values of the seekable format.
@@ -79,6 +79,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, key: st
     name only files of task attempts that succeeded.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,8 @@ def read_tokens(index: DataFrame, folder: str, key: str = "doc_id", with_ids: bo
                     columns.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    placed = index.repartition("file").sortWithinPartitions("file", "frame")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count of its own: rows of the index are small, what they stand for is not
+    placed = index.repartition(tasks, "file").sortWithinPartitions("file", "frame")
     return placed.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
