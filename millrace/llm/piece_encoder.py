@@ -12,7 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-MOST_PIECES = 700_000
+#: Pieces of a generation; a worker holds two.
+GENERATION = 200_000
 _STOP = b"\xff"  # never part of UTF-8
 _STOP_ID = 0xFFFFFFFF
 
@@ -26,11 +27,14 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _learn(self, pieces: set[bytes]) -> None:
+        """Know the pieces: those of the generation before are taken over, the others encoded."""
         known = self.known
-        if len(known) + len(pieces) > MOST_PIECES:
-            known.clear()
+        met = pieces.intersection(self.before)
+        known.update((p, self.before[p]) for p in met)
+        pieces = pieces.difference(met)
         # a run of ASCII letters and the mark after it are two words to the tokenizer
         tails = [(p, p[:-1], p[-1:]) for p in pieces if p[-1:] in (b".", b",") and p[:-1].isalpha()]
         whole = pieces.difference(p for p, _, _ in tails)
@@ -51,12 +55,10 @@ class PieceEncoder:
         pieces = joined.split()
         distinct = set(pieces)
         distinct.discard(_STOP)
-        missing = distinct.difference(self.known)
-        if missing:
-            size = len(self.known)
+        if len(self.known) > GENERATION:
+            self.before, self.known = self.known, {}
+        if missing := distinct.difference(self.known):
             self._learn(missing)
-            if len(self.known) < size + len(missing) // 2 or not distinct <= self.known.keys():
-                self._learn(distinct.difference(self.known))
         self.known[_STOP] = _STOP_ID.to_bytes(4, "little")
         ids = np.frombuffer(bytearray(b"".join(map(self.known.__getitem__, pieces))), np.uint32)
         stops = np.flatnonzero(ids == _STOP_ID)
