@@ -5,6 +5,9 @@ tokens of each, under every total order of tokens. Two orders are used; both put
 logarithm of a document count over all documents, and break ties by different hashes. Candidates must share
 a prefix token under the first order and under the second; then their whole sets are compared.
 
+A token that one document holds alone matches nothing. So of a set of n tokens with m shared ones, no more than m
+meet any other set: sets with m < t n are left out, and pairs whose m and n cannot reach the threshold too.
+
 Sets that are equal are one class and are represented by their least document. Members of a prefix token's
 group are first held against two representatives of the group; then all pairs of a group that are not yet
 known to be connected are compared. So groups of copies cost their size, and no link that could connect two
@@ -38,7 +41,7 @@ SMALL_ROWS = 1 << 20
 RANKED_FROM = 16
 
 COUNTS = "part int, cells binary"
-HITS = "k int, token long, doc long, n long, weight long, twin long"
+HITS = "k int, token long, doc long, n long, shared long, twin long"
 
 
 def prefix_length(n: np.ndarray | int, threshold: int):
@@ -193,7 +196,9 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                     continue
                 of = cells.cell(tokens)
                 met = cells.met(bitmap, tokens)
-                weight = int(met.mean() * 65535)
+                m = int(met.sum())
+                if 100 * m < threshold * n:
+                    continue  # no other set can reach the threshold
                 p = int(prefix_length(n, threshold))
                 level = np.zeros(n, np.uint64)
                 if len(ranked):
@@ -204,7 +209,7 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                     first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                     picked = tokens[first[met[first]]]
                     if len(picked):
-                        held[k].append(np.stack([picked, *[np.full(len(picked), v, np.uint64) for v in (key & (1 << 64) - 1, weight << 32 | n, twin)]]))
+                        held[k].append(np.stack([picked, *[np.full(len(picked), v, np.uint64) for v in (key & (1 << 64) - 1, m << 32 | n, twin)]]))
                         total += len(picked)
             if total >= RUN_TOKENS // 4:
                 yield from made()
@@ -223,9 +228,9 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
             same = token[1:] == token[:-1]
             grouped = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             token, doc, n, twin = token[grouped], doc[grouped], n[grouped], twin[grouped]
-        weight = (n >> np.uint64(32)).astype(np.int64)
+        shared_ = (n >> np.uint64(32)).astype(np.int64)
         size_ = (n & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return pa.table({"k": pa.array(np.full(len(doc), k, np.int32)), "token": token.astype(np.int64), "doc": doc, "n": size_, "weight": weight, "twin": twin.astype(np.int64)})
+        return pa.table({"k": pa.array(np.full(len(doc), k, np.int32)), "token": token.astype(np.int64), "doc": doc, "n": size_, "shared": shared_, "twin": twin.astype(np.int64)})
 
     made = docs.select("doc_id", "text").mapInArrow(gather, "k int, part int, rows binary")
     return settle(made.groupBy("k", "part").applyInArrow(reduce, HITS), "prefixes")
@@ -271,10 +276,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     ranks = read_ranks(count_cells(docs, partial(shingle_sets, size=size), cells, RANKED_FROM), cells)
     hits = _prefix_groups(docs, size, threshold, cells, ranks)
 
-    near = f"100 * least(n, other) >= {threshold} * greatest(n, other)"
+    near = f"100 * least(n, other) >= {threshold} * greatest(n, other) AND 100 * least(shared, other_shared) >= {threshold} * (n + other - least(shared, other_shared))"
     first = hits.filter("k = 1")
-    heads = first.groupBy("token").agg(F.max_by(F.struct("doc", "n"), F.struct("weight", -F.col("doc"))).alias("a"), F.min_by(F.struct("doc", "n"), "doc").alias("b"))
-    heads = heads.select("token", F.explode(F.array("a", "b")).alias("h")).select("token", F.col("h.doc").alias("head"), F.col("h.n").alias("other")).distinct()
+    heads = first.groupBy("token").agg(F.max_by(F.struct("doc", "n", "shared"), F.struct(F.col("shared") - F.col("n"), -F.col("doc"))).alias("a"), F.min_by(F.struct("doc", "n", "shared"), "doc").alias("b"))
+    heads = heads.select("token", F.explode(F.array("a", "b")).alias("h")).select("token", F.col("h.doc").alias("head"), F.col("h.n").alias("other"), F.col("h.shared").alias("other_shared")).distinct()
     tried = first.join(heads, "token").filter("doc <> head").filter(near).select(F.least("doc", "head").alias("x"), F.greatest("doc", "head").alias("y")).distinct()
     second = hits.filter("k = 2").groupBy("doc").agg(F.collect_set("token").alias("tokens"))
 
@@ -286,10 +291,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     links = settle(_compare(both_orders(tried), docs, size, threshold), "links")
     roots = connected_components(links, "x", "y")
 
-    rooted = first.join(roots, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    rooted = first.join(roots, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "shared", F.coalesce("root", "doc").alias("root"))
     open_groups = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     rest = settle(rooted.join(open_groups, "token"), "open")
-    other = rest.select("token", F.col("doc").alias("y"), F.col("n").alias("other"), F.col("root").alias("other_root"))
+    other = rest.select("token", F.col("doc").alias("y"), F.col("n").alias("other"), F.col("shared").alias("other_shared"), F.col("root").alias("other_root"))
     pairs = rest.withColumnRenamed("doc", "x").join(other, "token").filter("x < y AND root <> other_root").filter(near).select("x", "y").distinct()
     pairs = pairs.join(tried, ["x", "y"], "left_anti")
     links = settle(links.union(_compare(both_orders(pairs), docs, size, threshold)), "links")
