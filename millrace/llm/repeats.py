@@ -17,16 +17,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow_docs import slices, utf8
 from millrace.llm.shingle_join import Cells, count_cells, parts_for, read_ranks
-from millrace.llm.word_hashes import mix, range_hashes
+from millrace.llm.word_hashes import gram_hashes, mix, range_hashes
 from millrace.session import settle
 
-GRAM = 18
-RUN_BYTES = 8 << 20
+#: Bytes of the k-grams that lead strings: long ones meet less by chance, short ones make fewer pieces.
+GRAM = 20
+RUN_BYTES = 16 << 20
+#: Copies of whole documents up to which their ids go to all workers.
+MOST_COPIES = 1 << 22
 _SEPARATOR = 0xFF  # never part of UTF-8
 
 
@@ -40,9 +44,9 @@ def pieces(data: np.ndarray, stops: np.ndarray, least: int, gram: int) -> tuple[
     none = np.zeros(0, np.int64)
     if len(data) < least:
         return none, none, none, np.zeros(0, np.uint64)
-    at = np.arange(n)
-    hashes = range_hashes(data, at, at + gram)
-    lead = hashes & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
+    hashes = gram_hashes(data, gram)
+    lead = hashes & np.uint64(0xFFFFFFFF00000000)
+    lead |= np.arange(n, dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:  # least of ``reach`` grams from each place on
         lead = np.minimum(lead[: len(lead) - reach], lead[reach:])
@@ -80,22 +84,26 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``data`` by the text that follows, compared for at least ``depth`` bytes."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     rank = np.zeros(n, np.uint64)
     for k in range(7):
-        rank = rank << np.uint64(8) | padded[k : n + k]
+        rank <<= np.uint64(8)
+        rank |= padded[k : n + k]
     known = 7
     while True:
         order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        dense = np.empty(n, np.uint64)
-        dense[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]])).astype(np.uint64)
+        rank = rank[order]
+        fresh = np.ones(n, bool)
+        np.not_equal(rank[1:], rank[:-1], out=fresh[1:])
+        del rank
         if known >= depth:
-            return order
-        after = np.zeros(n, np.uint64)
-        if known < n:
-            after[: n - known] = dense[known:]
-        rank = dense << np.uint64(32) | after
+            return order.astype(np.int32) if n < 1 << 31 else order
+        dense = np.empty(n, np.uint32)
+        dense[order] = np.cumsum(fresh, dtype=np.uint32)
+        del order, fresh
+        rank = dense.astype(np.uint64)
+        rank <<= np.uint64(32)
+        rank[: max(0, n - known)] |= dense[known:]
         known *= 2
 
 
@@ -107,8 +115,8 @@ def repeated_intervals(data: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     n = len(data)
     order = suffix_order(data, least + 1)
     before = data[order - 1]  # the transform; the first byte's predecessor is the last separator
-    forward = np.empty(n, np.int64)
-    forward[np.argsort(before, kind="stable")] = np.arange(n)
+    forward = np.empty(n, order.dtype)
+    forward[np.argsort(before, kind="stable")] = np.arange(n, dtype=order.dtype)
     counts = np.bincount(data, minlength=256)
     high = np.cumsum(counts)
     low = high - counts
@@ -172,6 +180,7 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        tool = zstandard.ZstdCompressor(level=3)
 
         def batch_of(kind: int, parts: list, counts: list, blobs: list, texts: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array(parts, pa.int32()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary()), pa.array(texts, pa.binary())], ["kind", "part", "n", "blob", "bytes"])
@@ -191,7 +200,7 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
             cuts = np.searchsorted(parts, np.arange(cells.parts + 1, dtype=np.uint64))
             used = [(p, rows[a:b]) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a]
             blobs = [np.stack([key[r], *[c[r].astype(np.int64).view(np.uint64) for c in (doc, digest, start, sizes)]]).tobytes() for _, r in used]
-            yield batch_of(0, [p for p, _ in used], [len(r) for _, r in used], blobs, [gathered(data, at[r], sizes[r]).tobytes() for _, r in used])
+            yield batch_of(0, [p for p, _ in used], [len(r) for _, r in used], blobs, [tool.compress(gathered(data, at[r], sizes[r])) for _, r in used])
 
         for batch in slices(batches, "text"):
             ids, digests = batch.column("doc_id"), batch.column("digest")
@@ -222,7 +231,8 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
         else:
             raw = np.concatenate([np.frombuffer(b, np.uint64).reshape(5, -1) for b in blobs], axis=1)
             key, (doc, digest, start, sizes) = raw[0], raw[1:].astype(np.int64)
-            data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+            tool = zstandard.ZstdDecompressor()
+            data = np.frombuffer(b"".join(map(tool.decompress, table.column("bytes").to_pylist())), np.uint8)
             at = np.cumsum(sizes) - sizes
             order, head, later = _settle_equal(key, range_hashes(data, at, at + sizes), doc, digest)
             gone = order[later]
@@ -289,16 +299,24 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"doc": doc[at], "mark": digest[at], "spans": pa.array(blobs, pa.binary())})
 
 
-def repeated_spans(docs: DataFrame, least: int = 50, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 50, gram: int | None = None) -> DataFrame:
     """(doc, mark, spans): for each document that has any, its maximal removed runs, two rows of int64 as bytes.
 
     ``docs`` has doc_id, digest (a hash of the text, for rows that share a doc_id) and text.
     """
-    cells = Cells(parts_for(docs.sparkSession))
+    gram = gram or min(GRAM, max(1, least * 3 // 5))
+    cells = Cells(min(1 << 16, 8 * parts_for(docs.sparkSession)))  # a reducer needs some fifty bytes of memory for each of its part's text
     bitmap, _, _ = read_ranks(count_cells(docs, partial(_keys, least=least, gram=gram), cells, 1 << 62), cells)
     return _meet(docs, least, gram, cells, bitmap).groupBy("part").applyInArrow(_merge, "doc long, mark long, spans binary")
 
 
+def _copies(source: DataFrame) -> DataFrame:
+    """(doc_id, digest, copied) of documents whose whole text, by 128 bits of hash, a smaller doc_id has."""
+    hashed = source.filter("doc_id IS NOT NULL").select("doc_id", "digest", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(11), F.col("text")).alias("g"))
+    firsts = hashed.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    return hashed.join(firsts, ["h", "g"]).filter("doc_id > first").select("doc_id", "digest").distinct().withColumn("copied", F.lit(True))
+
+
 def remove_repeats(docs: DataFrame, least: int = 50, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row of ``docs``.
 
@@ -307,19 +325,32 @@ def remove_repeats(docs: DataFrame, least: int = 50, with_text: bool = False) ->
     no source. Rows that share a doc_id do not remove each other's bytes. Kept text may end amid a character;
     ``text`` then has the replacement character. An empty table gives no rows. Other columns are not read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = settle(repeated_spans(source, least), "spans")
+    text_ = F.coalesce("text", F.lit(""))
+    once = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count() == 0
+    digest = F.lit(0).cast("long") if once else F.xxhash64(text_)  # tells apart the texts of rows that share a doc_id
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), text_.alias("text"))
+    copies = settle(_copies(source), "copies")
+    few = copies.limit(MOST_COPIES + 1).count() <= MOST_COPIES
+    rest = source
+    if few:  # a copy's strings all start in the document that it copies; leaving it out saves work only
+        source = source.join(F.broadcast(copies), ["doc_id", "digest"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+        rest = source.filter("NOT copied").drop("copied")
+    else:
+        source = source.withColumn("copied", F.lit(False))
+    spans = settle(repeated_spans(rest, least), "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            for raw, found in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+            for raw, found, copied in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), batch.column("copied").to_pylist(), strict=True):
                 low, high = np.frombuffer(found, np.int64).reshape(2, -1) if found else np.zeros((2, 0), np.int64)
+                if copied and len(raw) >= least:
+                    low, high = np.array([0]), np.array([len(raw)])
                 kept = b"".join(raw[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(raw)], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), len(low), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if with_text else ()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names)
 
-    whole = source.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("mark")), "left").select("doc_id", "text", "spans")
+    whole = source.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("mark")), "left").select("doc_id", "text", "spans", "copied")
     return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
