@@ -6,7 +6,8 @@ logarithm of a document count over all documents, and break ties by different ha
 a prefix token under the first order and under the second; then their whole sets are compared.
 
 A token that one document holds alone matches nothing. So of a set of n tokens with m shared ones, no more than m
-meet any other set: sets with m < t n are left out, and pairs whose m and n cannot reach the threshold too.
+meet any other set: sets with m < t n are left out, and pairs whose m and n cannot reach the threshold too. A pair
+is taken up at a common token only where enough follows it in both sets, which holds at its first common one.
 
 Sets that are equal are one class and are represented by their least document. Members of a prefix token's
 group are first held against two representatives of the group; then all pairs of a group that are not yet
@@ -41,7 +42,7 @@ SMALL_ROWS = 1 << 20
 RANKED_FROM = 16
 
 COUNTS = "part int, cells binary"
-HITS = "k int, token long, doc long, n long, shared long, twin long"
+HITS = "k int, token long, doc long, n long, shared long, twin long, place long"
 
 
 def prefix_length(n: np.ndarray | int, threshold: int):
@@ -189,7 +190,7 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                 place = np.arange(1, n + 1, dtype=np.uint64)
                 twin = int(mix(tokens + place).sum(dtype=np.uint64)) if n else 0
                 other = int(mix(tokens * np.uint64(0xA24BAED4963EE407) + place).sum(dtype=np.uint64)) if n else 0
-                own = np.array([[other], [key & (1 << 64) - 1], [n], [twin]], np.uint64)
+                own = np.array([[other], [key & (1 << 64) - 1], [n], [twin], [0]], np.uint64)
                 held[0].append(own)
                 total += 1
                 if not n:
@@ -207,9 +208,11 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                 for k, hashed in ((1, tokens), (2, mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))):
                     order = level << np.uint64(58) | hashed >> np.uint64(6)
                     first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
-                    picked = tokens[first[met[first]]]
+                    first = first[np.argsort(order[first], kind="stable")]
+                    places = np.flatnonzero(met[first])
+                    picked = tokens[first[places]]
                     if len(picked):
-                        held[k].append(np.stack([picked, *[np.full(len(picked), v, np.uint64) for v in (key & (1 << 64) - 1, m << 32 | n, twin)]]))
+                        held[k].append(np.stack([picked, *[np.full(len(picked), v, np.uint64) for v in (key & (1 << 64) - 1, m << 32 | n, twin)], places.astype(np.uint64)]))
                         total += len(picked)
             if total >= RUN_TOKENS // 4:
                 yield from made()
@@ -218,19 +221,19 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
 
     def reduce(table: pa.Table) -> pa.Table:
         k = table.column("k")[0].as_py()
-        token, doc, n, twin = np.concatenate([np.frombuffer(x, np.uint64).reshape(4, -1) for x in table.column("rows").to_pylist()], axis=1)
+        token, doc, n, twin, place = np.concatenate([np.frombuffer(x, np.uint64).reshape(5, -1) for x in table.column("rows").to_pylist()], axis=1)
         doc = doc.astype(np.int64)
         if k:
             order = np.lexsort((doc, twin, token))
-            token, doc, n, twin = token[order], doc[order], n[order], twin[order]
+            token, doc, n, twin, place = (c[order] for c in (token, doc, n, twin, place))
             class_first = np.concatenate([[True], (token[1:] != token[:-1]) | (twin[1:] != twin[:-1])])
-            token, doc, n, twin = token[class_first], doc[class_first], n[class_first], twin[class_first]
+            token, doc, n, twin, place = (c[class_first] for c in (token, doc, n, twin, place))
             same = token[1:] == token[:-1]
             grouped = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            token, doc, n, twin = token[grouped], doc[grouped], n[grouped], twin[grouped]
+            token, doc, n, twin, place = (c[grouped] for c in (token, doc, n, twin, place))
         shared_ = (n >> np.uint64(32)).astype(np.int64)
         size_ = (n & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return pa.table({"k": pa.array(np.full(len(doc), k, np.int32)), "token": token.astype(np.int64), "doc": doc, "n": size_, "shared": shared_, "twin": twin.astype(np.int64)})
+        return pa.table({"k": pa.array(np.full(len(doc), k, np.int32)), "token": token.astype(np.int64), "doc": doc, "n": size_, "shared": shared_, "twin": twin.astype(np.int64), "place": place.astype(np.int64)})
 
     made = docs.select("doc_id", "text").mapInArrow(gather, "k int, part int, rows binary")
     return settle(made.groupBy("k", "part").applyInArrow(reduce, HITS), "prefixes")
@@ -277,9 +280,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     hits = _prefix_groups(docs, size, threshold, cells, ranks)
 
     near = f"100 * least(n, other) >= {threshold} * greatest(n, other) AND 100 * least(shared, other_shared) >= {threshold} * (n + other - least(shared, other_shared))"
+    # at their first common token, two sets can share no more than what follows it in both
+    near += f" AND {100 + threshold} * least(n - place, other - other_place) >= {threshold} * (n + other)"
     first = hits.filter("k = 1")
-    heads = first.groupBy("token").agg(F.max_by(F.struct("doc", "n", "shared"), F.struct(F.col("shared") - F.col("n"), -F.col("doc"))).alias("a"), F.min_by(F.struct("doc", "n", "shared"), "doc").alias("b"))
-    heads = heads.select("token", F.explode(F.array("a", "b")).alias("h")).select("token", F.col("h.doc").alias("head"), F.col("h.n").alias("other"), F.col("h.shared").alias("other_shared")).distinct()
+    heads = first.groupBy("token").agg(F.max_by(F.struct("doc", "n", "shared", "place"), F.struct(F.col("shared") - F.col("n"), -F.col("doc"))).alias("a"), F.min_by(F.struct("doc", "n", "shared", "place"), "doc").alias("b"))
+    heads = heads.select("token", F.explode(F.array("a", "b")).alias("h")).select("token", F.col("h.doc").alias("head"), F.col("h.n").alias("other"), F.col("h.shared").alias("other_shared"), F.col("h.place").alias("other_place")).distinct()
     tried = first.join(heads, "token").filter("doc <> head").filter(near).select(F.least("doc", "head").alias("x"), F.greatest("doc", "head").alias("y")).distinct()
     second = hits.filter("k = 2").groupBy("doc").agg(F.collect_set("token").alias("tokens"))
 
@@ -291,10 +296,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     links = settle(_compare(both_orders(tried), docs, size, threshold), "links")
     roots = connected_components(links, "x", "y")
 
-    rooted = first.join(roots, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "shared", F.coalesce("root", "doc").alias("root"))
+    rooted = first.join(roots, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "shared", "place", F.coalesce("root", "doc").alias("root"))
     open_groups = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     rest = settle(rooted.join(open_groups, "token"), "open")
-    other = rest.select("token", F.col("doc").alias("y"), F.col("n").alias("other"), F.col("shared").alias("other_shared"), F.col("root").alias("other_root"))
+    other = rest.select("token", F.col("doc").alias("y"), F.col("n").alias("other"), F.col("shared").alias("other_shared"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))
     pairs = rest.withColumnRenamed("doc", "x").join(other, "token").filter("x < y AND root <> other_root").filter(near).select("x", "y").distinct()
     pairs = pairs.join(tried, ["x", "y"], "left_anti")
     links = settle(links.union(_compare(both_orders(pairs), docs, size, threshold)), "links")
