@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document has, give or take one edit; those left without a word go."""
-    left = line_dedup.dedup_lines(docs, edits=1, least=32)
+    """Documents without lines that an earlier document has, give or take the edits of their length; those left without a word go."""
+    left = line_dedup.dedup_lines(docs, edits=line_dedup.CLASSES, least=1)
     texts = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(quality_rules.NOT_SPACE))
     own = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return texts.withColumns(own).select(*[F.col(f"`{c}`") for c in docs.columns])

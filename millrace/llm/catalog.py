@@ -89,7 +89,7 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), edits=1, least=32)
+    docs = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), edits=line_dedup.CLASSES, least=1)
     return docs.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -9,21 +9,33 @@ A segment that many lines hold is not joined pair by pair. With one edit allowed
 under themselves with each one character left out: lines that differ in one character meet under the same place
 and rest, and each such group is linked to its earliest line only; a line with one character more meets the
 other itself. That is the line's length in rows, whatever the size of the group.
+
+With classes of length (``CLASSES``) the edits grow with the longer line. Half of the segments are counted from
+the front and half from the end, and their places depend on the class alone, so lengths need no keys of their own.
+Of 2m segments and 2m - 1 edits one half has at most m - 1 edits, hence a segment j of it, counted from its end of
+the line, that is whole and has j edits outside it: it has moved by j characters at most. Under a crowded segment
+of a class with several edits, lines are first held against the segment's earliest line; a line that no link makes
+late by then is compared with all earlier ones of that segment. Groups of near copies are linear by this, lines
+that share a crowded segment only by chance are not.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.quality_rules import let
+from millrace.llm.quality_rules import NOT_SPACE, let
 from millrace.session import settle
 
 #: Lines listed under one segment up to which all pairs of them are compared.
 CROWD = 64
 SMALL_ROWS = 1 << 19
+#: (least characters, edits): two more edits each time that the length doubles.
+CLASSES = ((32, 1), (64, 1), *((64 << i, 2 * i + 1) for i in range(1, 11)))
+#: Parts in which the lines of a crowded segment are compared.
+BLOCKS = 16
 _BITS = 62
 _MASK = (1 << _BITS) - 1
 
@@ -130,6 +142,83 @@ def _listings(line: Column, n: Column, edits: int) -> Column:
     return F.array(*out)
 
 
+def _shapes(number: int, least: int, edits: int, only_own: bool = False) -> Column:
+    """array<struct(segment, at, size, kind)> of a class; ``at`` counts from 0, or from the line's end if negative; ``kind`` is twice the class, and one more for own segments."""
+    half = edits // 2 + 1
+    size = (least - edits) // (2 * half)
+    if size < 1:
+        raise ValueError(f"lines of {least} characters are too short for {edits} edits")
+    out = []
+    for j in range(half):
+        for shift in (0,) if only_own else range(-j, j + 1):
+            for back, at in ((0, j * size + shift), (1, shift - (j + 1) * size)):
+                out.append(f"struct({number * 64 + 2 * j + back} AS segment, {at} AS at, {size} AS size, {2 * number + (shift == 0)} AS kind)")
+    return F.expr(f"array({', '.join(out)})")
+
+
+def _class_listings(line: Column, n: Column, classes: tuple) -> Column:
+    """array<struct(key, kind)>: the line is found under its own segments, also those of the next class if a line of that could be near, and looks under those of its class."""
+    uppers = [c[0] for c in classes[1:]]
+    main, also = F.lit(None), F.lit(None)
+    for i in reversed(range(len(classes))):
+        main = F.when(n >= classes[i][0], _shapes(i, *classes[i])) if i == len(classes) - 1 else F.when(n < uppers[i], _shapes(i, *classes[i])).otherwise(main)
+        if i:
+            next_class = (n < classes[i][0]) & (n >= classes[i][0] - classes[i][1])
+            also = F.when(next_class, _shapes(i, *classes[i], only_own=True)) if i == len(classes) - 1 else F.when(next_class, _shapes(i, *classes[i], only_own=True)).otherwise(also)
+    shapes = F.concat(main, F.coalesce(also, F.filter(_shapes(0, *classes[0]), lambda s: F.lit(False)))) if len(classes) > 1 else main
+
+    def key(s: Column) -> Column:
+        start = F.when(s["at"] < 0, n + s["at"]).otherwise(s["at"])
+        return F.struct(F.xxhash64(s["segment"], F.substring(line, start + 1, s["size"])).alias("key"), s["kind"].alias("kind"))
+
+    return F.transform(shapes, key)
+
+
+def _near(a: Column, b: Column, n: Column, m: Column, classes: tuple) -> Column:
+    """Whether lines of n and m characters are within the edits of the longer one's class."""
+    longer, edits = F.greatest(n, m), F.lit(classes[0][1])
+    for least, more in classes[1:]:
+        edits = F.when(longer >= least, more).otherwise(edits)
+    return F.when(F.abs(n - m) <= edits, F.call_function("levenshtein", a, b, edits) >= 0).otherwise(False)
+
+
+def class_links(distinct: DataFrame, classes: tuple) -> DataFrame:
+    """(x, y): ids of distinct lines within the edits of their class, x the earlier; each line that has an earlier one gets a link to one at least.
+
+    ``distinct`` has a number of the line (no), id, line and n.
+    """
+    listed = distinct.select("no", F.explode(_class_listings(F.col("line"), F.col("n"), classes)).alias("l")).select("no", "l.key", "l.kind")
+    same = Window.partitionBy("key")
+    own = F.col("kind") % 2 == 1
+    counted = listed.select("key", "no", "kind", F.sum(own.cast("int")).over(same).alias("owned"), F.count("*").over(same).alias("all"))
+    met = settle(counted.filter("owned > 0 AND all > 1").select("key", "no", "kind", own.alias("own"), (F.col("owned") > CROWD).alias("crowded")), "met")
+    plain = met.filter("NOT crowded").select("key", "no", "own")
+    pairs = plain.filter("own").select("key", F.col("no").alias("a")).join(plain.withColumnRenamed("no", "b"), "key")
+    pairs = settle(pairs.filter("a <> b AND (NOT own OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    crowd = met.filter("crowded")
+    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("no")).union(crowd.select("no")).distinct(), "asked")
+    texts = settle(distinct.select("no", "id", "line", "n").join(_few(asked), "no", "left_semi"), "texts")
+    a, b = (texts.select(F.col("no").alias(s), F.struct("id", "line", "n").alias(f"of_{s}")) for s in "ab")
+    near = lambda x, y: _near(x["line"], y["line"], x["n"], y["n"], classes)
+    ends = lambda x, y: (F.least(x["id"], y["id"]).alias("x"), F.greatest(x["id"], y["id"]).alias("y"))
+    of_a, of_b = F.col("of_a"), F.col("of_b")
+    links = settle(pairs.join(a, "a").join(b, "b").filter(near(of_a, of_b)).select(*ends(of_a, of_b)), "links")
+    if crowd.isEmpty():
+        return links
+    single = F.col("kind").isin([2 * i + k for i, c in enumerate(classes) if c[1] == 1 for k in (0, 1)])
+    links = links.union(_one_edit(texts.join(crowd.filter(single).select("no").distinct(), "no", "left_semi")))
+    rows = settle(crowd.filter(~single).select("key", "no", "own").join(texts, "no").select("key", "own", F.struct("id", "line", "n").alias("of_b")), "crowd")
+    heads = rows.filter("own").groupBy("key").agg(F.min("of_b").alias("of_a"))
+    first = rows.join(heads, "key").filter(of_a["id"] != of_b["id"]).filter(near(of_a, of_b)).select(*ends(of_a, of_b)).distinct()
+    links = settle(links.union(first), "links")
+    late = links.select(F.col("y").alias("id")).distinct()
+    askers = rows.join(late, rows["of_b"]["id"] == late["id"], "left_anti")
+    askers = askers.select("key", F.col("own").alias("asks_own"), "of_b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    before = rows.select("key", "own", F.col("of_b").alias("of_a"), F.pmod(F.xxhash64("of_b.id"), F.lit(BLOCKS)).cast("int").alias("block"))
+    more = before.join(askers, ["key", "block"]).filter((F.col("own") | F.col("asks_own")) & (of_a["id"] < of_b["id"])).filter(near(of_a, of_b))
+    return links.union(more.select(of_a["id"].alias("x"), of_b["id"].alias("y")))
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(id, line, n): id is doc_id, a hash of the text and the line's number; only lines of ``least`` characters."""
     parts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("parts"))
@@ -183,24 +272,35 @@ def _one_edit(crowd: DataFrame) -> DataFrame:
     return swapped.union(longer)
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, least: int = 32) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | tuple = 1, least: int = 32) -> DataFrame:
     """``docs`` with the kept lines as text, and two more columns, n_lines and n_removed.
 
     Lines are what newline characters part. Of lines with at least ``least`` characters, one stays if no line
     of all documents that is equal or within ``edits`` edits comes earlier, by doc_id and then by place; all
-    others go. Shorter lines stay. Equality is that of 128 bits of hash. A null text stays null with 0 lines;
+    others go. Shorter lines stay. With classes (least characters, edits) as ``edits``, lines are compared by the
+    edits of the longer one's class, and from ``least`` characters up to the first class by equality alone; lines
+    without anything but white space then stay. Equality is that of 128 bits of hash. A null text stays null with 0 lines;
     an empty one has one empty line. Rows that share doc_id and text are one document, rows that share only
     doc_id are ordered by a hash of the text; a null doc_id comes first. An empty table gives no rows. Other
     columns pass through; columns already named n_lines or n_removed are replaced.
     """
-    if least <= 2 * edits:
+    classes = edits if isinstance(edits, tuple) else None
+    if classes is None and least <= 2 * edits:
         raise ValueError(f"lines of {least} characters are too short for {edits} edits")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = _lines(docs, least)
     twins = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"))
-    spread = lines.select("id", *twins, _listings(F.col("line"), F.col("n"), edits).alias("listings"))
-    distinct = settle(spread.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.any_value("listings").alias("listings")), "lines")
-    late = line_links(lines, distinct, edits).select(F.col("y").alias("id")).distinct().withColumn("late", F.lit(True))
+    if classes:
+        lines = lines.filter(F.col("line").rlike(NOT_SPACE))
+        spread = lines.select("id", *twins, F.when(F.col("n") >= classes[0][0], F.col("line")).alias("line"))
+        distinct = spread.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.any_value("line").alias("line"))
+        distinct = settle(distinct.select("*", F.length("line").alias("n"), F.monotonically_increasing_id().alias("no")), "lines")
+        links = class_links(distinct.filter("n IS NOT NULL"), classes)
+    else:
+        spread = lines.select("id", *twins, _listings(F.col("line"), F.col("n"), edits).alias("listings"))
+        distinct = settle(spread.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.any_value("listings").alias("listings")), "lines")
+        links = line_links(lines, distinct, edits)
+    late = links.select(F.col("y").alias("id")).distinct().withColumn("late", F.lit(True))
     changed = distinct.select("h", "g", "id", "many").join(late, "id", "left").filter("many > 1 OR late").select("h", "g", F.col("id").alias("head"), F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.select("id", *twins).join(changed, ["h", "g"]).filter("late OR id <> head")
     by_doc = gone.groupBy(F.col("id.doc").alias("__doc"), F.col("id.mark").alias("__mark")).agg(F.collect_set("id.pos").alias("__gone"))

@@ -393,6 +393,55 @@ def test_banded_distance(spark):
         assert df.filter(line_dedup.within_edits(F.col("a"), F.col("b"), edits) != (F.levenshtein("a", "b") <= edits)).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_lines_with_edits_by_length(spark, monkeypatch, crowd):
+    """Classes against all pairs, and short equal lines; lines near the bounds of the classes meet too."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rng = random.Random(5)
+    lines = []
+    for _ in range(14):
+        base = [rng.choice("abcdefghé ") for _ in range(rng.choice([32, 40, 63, 64, 127, 129, 130, 200, 255, 258]))]
+        lines.append("".join(base))
+        for _ in range(5):
+            b = list(base)
+            for _ in range(rng.randint(1, 7)):
+                at = rng.randrange(len(b))
+                kind = rng.randrange(3)
+                b[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("xyz")]
+            lines.append("".join(b))
+    lines += ["Les.", "", "Les.", "", "ok", "x" * 31, "x" * 30]
+    rng.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(df, line_dedup.CLASSES, 1).filter("n_removed > 0").collect()}
+
+    def near(a, b):
+        allowed = max([e for n, e in line_dedup.CLASSES if n <= max(len(a), len(b))], default=0)
+        if min(len(a), len(b)) < 32:
+            return a == b and a != ""
+        return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+
+    assert got == {i for i, x in enumerate(lines) if any(near(x, y) for y in lines[:i])}
+
+
+def test_lines_of_production_allow_more_edits(spark, monkeypatch):
+    """A changed date in a long line, and equal lines under 32 characters, as the query and the pipeline's stage read them."""
+    from millrace.llm import catalog
+
+    line = "the report of 2024-01-15 says in so many words that nothing of note has changed since the report before it was written down, " * 3
+    df = spark.createDataFrame([(1, line + "\nLes."), (2, line.replace("2024-01-15", "2025-02-15", 1) + "\nLes.")], SCHEMA)
+    monkeypatch.setattr(catalog, "_documents", lambda spark, folder: df)
+    assert {r["doc_id"]: r["n_removed"] for r in catalog.op7_line_dedup(spark, "").collect()} == {1: 0, 2: 2}
+
+
 def test_lines_stay_native(docs):
     plan = line_dedup.dedup_lines(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
