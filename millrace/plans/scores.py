@@ -91,6 +91,19 @@ def token_f1(spark, sf_dir):
     return rows.select("doc_id", F.round(rewards.token_f1(F.col("w"), F.col("v")), 6).alias("f1"))
 
 
+@register(
+    "token_f1_all",
+    f"""WITH w AS (SELECT doc_id, {_W.replace('text', 'lower(text)')} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS t FROM w), c AS (SELECT doc_id, t, count(*) AS k FROM u GROUP BY ALL)
+    , s AS (SELECT a.doc_id, sum(least(a.k, b.k)) AS shared FROM c a JOIN c b ON b.doc_id = a.doc_id + 1 AND a.t = b.t GROUP BY a.doc_id)
+    SELECT a.doc_id, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE 2.0 * coalesce(shared, 0) / (len(a.w) + len(b.w)) END, 6) AS f1 FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id""",
+)
+def token_f1_all(spark, sf_dir):
+    """Every pair of neighbouring documents, whatever its length; token_f1 keeps the bound that its SQL states."""
+    words = _docs(spark, sf_dir).select("doc_id", rewards.words(F.lower("text")).alias("w"))
+    rows = words.join(words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id")
+    return rows.select("doc_id", F.round(rewards.token_f1(F.col("w"), F.col("v")), 6).alias("f1"))
+
+
 @register("classification_scores", "SELECT doc_id, CASE WHEN lang = 'fr' THEN 0.0 ELSE 1.0 END AS score, CASE WHEN lang = 'fr' THEN 1.0 ELSE 0.0 END AS invalid, CASE WHEN lang = 'fr' THEN 1.0 ELSE 0.0 END AS ambiguous FROM documents")
 def classification_scores(spark, sf_dir):
     output = F.when(F.col("lang") == "fr", "either FR or en").otherwise(F.concat(F.lit("  "), F.upper("lang"), F.lit(" ")))

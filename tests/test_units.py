@@ -546,3 +546,15 @@ def test_nothing_imports_the_llm_folder():
             for name in names:
                 if name.endswith(".py"):
                     assert "millrace.llm" not in open(os.path.join(folder, name), encoding="utf-8").read()
+
+
+def test_token_f1_of_long_texts(spark):
+    """Against counters, with repeats, nulls and more words than pairwise comparing could take."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    rows = [([str(rng.randrange(m)) for _ in range(n)], [str(rng.randrange(m)) for _ in range(k)]) for m, n, k in ((5, 9, 30), (2, 1, 1), (9, 0, 4), (9, 0, 0), (30000, 40000, 30000))]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(rewards.token_f1(F.col("a"), F.col("b")).alias("f")).collect()
+    want = [2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b)) if a or b else 1.0 for a, b in rows]
+    assert [round(r["f"], 9) for r in got] == [round(w, 9) for w in want]
