@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import quality, rewards
@@ -50,6 +51,20 @@ def reference_match(spark, sf_dir):
     return rows.select("doc_id", rewards.reference_match(F.col("text"), F.col("want"), "equals").alias("equals"), rewards.reference_match(F.col("text"), F.col("want"), "contains").alias("contains"))
 
 
+@register(
+    "reference_match_all",
+    r"""WITH i AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), n AS (SELECT d.doc_id, trim(regexp_replace(translate(lower(d.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS got, trim(regexp_replace(translate(lower(b.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS want FROM documents d JOIN i b ON d.doc_id % b.n = b.i)
+    SELECT doc_id, CAST(CASE WHEN got = want THEN 1.0 ELSE 0.0 END AS DOUBLE) AS equals, CAST(CASE WHEN contains(got, want) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS contains FROM n""",
+)
+def reference_match_all(spark, sf_dir):
+    """Documents dealt over all items by their count; reference_match keeps the 40 that its SQL states."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.count()
+    dealt = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"), F.col("text").alias("want"))
+    rows = _docs(spark, sf_dir).join(F.broadcast(dealt), F.col("doc_id") % n == F.col("i"))
+    return rows.select("doc_id", rewards.reference_match(F.col("text"), F.col("want"), "equals").alias("equals"), rewards.reference_match(F.col("text"), F.col("want"), "contains").alias("contains"))
+
+
 @register("reference_fuzzy")
 def reference_fuzzy(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("want"))
@@ -69,6 +84,13 @@ def json_reward(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id < 3000").select("event_id", rewards.json_valid(text).alias("valid"))
 
 
+@register("json_reward_all", "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS valid FROM events")
+def json_reward_all(spark, sf_dir):
+    """Every event; json_reward keeps the first 3000 that its SQL states."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" and more"))).otherwise(F.concat(F.lit(" "), F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", rewards.json_valid(text).alias("valid"))
+
+
 @register(
     "judge_numbers",
     r"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE CAST(regexp_extract('score: ' || round(value, 2) || ' of 100', '-?\d+(?:\.\d+)?', 0) AS DOUBLE) END AS score FROM events",
