@@ -189,6 +189,20 @@ def stream_metric_tail(spark, sf_dir):
     return spark.table(name).groupBy("metric").agg(F.count("*").alias("n"), F.round(F.max_by("value", "step"), 6).alias("last"))
 
 
+@register("stream_metric_tail_all", "SELECT event_type AS metric, count(*) AS n, round(arg_max(value, event_id), 6) AS last FROM events GROUP BY event_type")
+def stream_metric_tail_all(spark, sf_dir):
+    """All events, written by the executors under the shared folder and tailed from there; stream_metric_tail keeps the first 2000 that its SQL states."""
+    folder = scratch(spark, "tail")
+    record = F.struct(F.col("event_id").alias("step"), F.create_map("event_type", "value").alias("log"))
+    table(spark, sf_dir, "events").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value")).write.text(folder + "/in")
+    values = metrics.metric_values(metrics.shared_tail(spark, folder.removeprefix("file://") + "/in/part-*"))
+    query = values.select("step", "metric", "value").writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/check").start()
+    query.processAllAvailable()
+    query.stop()
+    read = spark.read.schema("step long, metric string, value double").parquet(folder + "/out")
+    return read.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.max_by("value", "step"), 6).alias("last"))
+
+
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     folder = scratch(spark, "stream")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "file string, offset bigint, line string"
@@ -67,6 +67,72 @@ class Tail(DataSource):
         return TailReader(self.options["path"], int(self.options.get("maxBytes", str(8 << 20))))
 
 
+class FilePart(InputPartition):
+    """Whole lines of one file, from one byte to another."""
+
+    def __init__(self, name: str, start: int, stop: int):
+        self.name, self.start, self.stop = name, start, stop
+
+
+class SharedTailReader(DataSourceStreamReader):
+    """The same lines read by the executors: the driver only looks for the last newline of each file."""
+
+    def __init__(self, pattern: str):
+        self.pattern = pattern
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        end = {}
+        for name in sorted(glob.glob(self.pattern)):
+            with open(name, "rb") as f:
+                at = f.seek(0, os.SEEK_END)
+                while at > 0:
+                    begin = max(0, at - (1 << 16))
+                    f.seek(begin)
+                    newline = f.read(at - begin).rfind(b"\n")
+                    if newline >= 0:
+                        end[name] = begin + newline + 1
+                        break
+                    at = begin
+        return end
+
+    def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        return [FilePart(name, start.get(name, 0), stop) for name, stop in sorted(end.items()) if stop > start.get(name, 0)]
+
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        at = partition.start
+        with open(partition.name, "rb") as f:
+            f.seek(at)
+            while at < partition.stop:
+                line = f.readline()
+                yield partition.name, at, line.decode("utf-8").rstrip("\r\n")
+                at += len(line)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class SharedTail(DataSource):
+    """Format ``shared_tail``: option path is a glob of files in a folder that the driver and all executors see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "shared_tail"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def streamReader(self, schema) -> SharedTailReader:
+        return SharedTailReader(self.options["path"])
+
+
+def shared_tail(spark: SparkSession, pattern: str) -> DataFrame:
+    spark.dataSource.register(SharedTail)
+    return spark.readStream.format("shared_tail").option("path", pattern).load()
+
+
 def tail(spark: SparkSession, pattern: str) -> DataFrame:
     spark.dataSource.register(Tail)
     return spark.readStream.format("tail").option("path", pattern).load()
