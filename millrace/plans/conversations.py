@@ -165,6 +165,33 @@ def pairs_unmatched(spark, sf_dir):
     return pairs.unmatched(*_sides(spark, sf_dir), "k", "conv_id")
 
 
+_WHOLE = """WITH s AS (SELECT conv_id, string_agg(length(text) || ':' || text, '' ORDER BY turn) FILTER (role = 'user') AS k, count(*) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY conv_id),
+    a AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s), b AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s WHERE answers > 0)"""
+
+
+def _whole_sides(spark, sf_dir):
+    """All conversations, and those with an answer to replace, by all their user turns; lengths keep the turns apart."""
+    users = messages.user_key(F.col("messages"))
+    key = F.array_join(F.transform(users, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), "")
+    rows = _conversations(spark, sf_dir).select("conv_id", F.when(F.size(users) > 0, key).alias("k"), F.exists("messages", lambda m: m["role"] == "assistant").alias("answered"))
+    return rows.select("conv_id", "k"), rows.filter("answered").select("conv_id", "k")
+
+
+@register("pairs_align_all", f"{_WHOLE} SELECT a.k AS key, CAST(a.n AS INTEGER) AS nth, a.conv_id AS chosen, b.conv_id AS rejected FROM a JOIN b ON a.k = b.k AND a.n = b.n")
+def pairs_align_all(spark, sf_dir):
+    """By the whole user key; pairs_align keeps the two characters that its SQL states."""
+    made = pairs.align(*_whole_sides(spark, sf_dir), "k", "conv_id")
+    return made.select("key", "nth", F.col("chosen.conv_id").alias("chosen"), F.col("rejected.conv_id").alias("rejected"))
+
+
+@register(
+    "pairs_unmatched_all",
+    f"{_WHOLE} SELECT 'chosen' AS side, conv_id, k FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.k = b.k AND a.n = b.n) UNION ALL SELECT 'rejected', conv_id, k FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = b.k AND a.n = b.n)",
+)
+def pairs_unmatched_all(spark, sf_dir):
+    return pairs.unmatched(*_whole_sides(spark, sf_dir), "k", "conv_id")
+
+
 @register(
     "template_fill",
     "SELECT conv_id, 'Q: ' || coalesce(arg_max(text, turn) FILTER (role = 'user'), 'None') || coalesce(' (system: ' || (arg_max(text, turn) FILTER (role = 'system')) || ')', '') || ' {unknown}' AS filled FROM conversations GROUP BY conv_id",
