@@ -121,8 +121,9 @@ def token_f1(spark, sf_dir):
 )
 def token_f1_all(spark, sf_dir):
     """Every pair of neighbouring documents, whatever its length; token_f1 keeps the bound that its SQL states."""
-    words = _docs(spark, sf_dir).select("doc_id", rewards.words(F.lower("text")).alias("w"))
-    rows = words.join(words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id")
+    docs = _docs(spark, sf_dir).select("doc_id", "text")  # texts are shuffled, not lists of words, which are larger
+    both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after")), "doc_id")
+    rows = both.select("doc_id", rewards.words(F.lower("text")).alias("w"), rewards.words(F.lower("after")).alias("v"))
     return rows.select("doc_id", F.round(rewards.token_f1(F.col("w"), F.col("v")), 6).alias("f1"))
 
 
