@@ -23,7 +23,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 MOST_CELLS = 30_000_000
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Character by which the vocabulary writes each byte: itself if printable, else from U+0100 up."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -34,7 +34,7 @@ class WordTransducer:
     """Next states and emitted counts for the bytes of a word; symbol = 2 * byte class + (1 on the last byte)."""
 
     def __init__(self, model: dict):
-        of = _byte_letters()
+        of = byte_letters()
         end = model["end_of_word_suffix"]
         self.tokens: dict[tuple, int] = {}
 
