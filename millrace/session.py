@@ -29,10 +29,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh one is set only where the setting is empty."""
+    """The folder named by spark.checkpoint.dir; where the setting is empty, a fresh one in a local session and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="millrace-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -48,7 +50,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def unsettle(*tables: DataFrame) -> None:
+    """Delete the folders of what settle() returned, once nothing reads them any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df.settled_at)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
