@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -23,6 +26,42 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def release() -> None:
+    """Give the worker's free memory back to the system: workers live on while later stages need the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` for mapInArrow, with release() at the end of its task."""
+
+    @wraps(run)
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return batches_of
+
+
+def frugal_group(reduce: Callable) -> Callable:
+    """``reduce`` for applyInArrow, with release() after each group."""
+
+    @wraps(reduce)
+    def of_group(table: pa.Table) -> pa.Table:
+        try:
+            return reduce(table)
+        finally:
+            release()
+
+    return of_group
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values as bytes; null becomes the empty string."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

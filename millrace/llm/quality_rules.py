@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import unused
+
 # The ASCII white space that ends a word, and the symbols that are counted.
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -133,5 +135,5 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    mark = "__quality"
+    mark = unused(docs, "quality")
     return assess(docs, rules, into=mark).filter(F.col(mark)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

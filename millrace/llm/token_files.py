@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import files
-from millrace.llm.arrow_docs import bounded_batches, slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, frugal, slices, utf8
 from millrace.llm.piece_encoder import encoder
 
 # Fixed values of the seekable format.
@@ -75,13 +75,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, key: st
     """Write the ids of every row, in ascending key order over files and frames; the index of frames.
 
     Null texts are encoded as empty texts (the end id alone); null keys come first; rows of equal keys are
-    ordered by their text. An empty table writes no file. The index is a table in ``folder``/index; its rows
+    ordered by their text. A document is never parted over frames; one of less than 2 GiB, which is the most that a
+    column holds, fits into the four bytes that the seek table has for a frame's size. An empty table writes no file. The index is a table in ``folder``/index; its rows
     name only files of task attempts that succeeded.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, encode = zstandard.ZstdCompressor(level=1), encoder(tokenizer)
         width = 2 if encode.library.get_vocab_size() <= 0xFFFF and end <= 0xFFFF else 4
@@ -155,6 +157,7 @@ def read_tokens(index: DataFrame, folder: str, key: str = "doc_id", with_ids: bo
     """
     names = [key, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = files.at(folder)
         tool = zstandard.ZstdDecompressor()

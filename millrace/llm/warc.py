@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import files
-from millrace.llm.arrow_docs import bounded_batches, slices
+from millrace.llm.arrow_docs import bounded_batches, frugal, slices
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -84,6 +84,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
     repeat that id too) and the others are revisits. An empty table writes no archive.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = None, []
         for batch in slices(batches, "html"):
@@ -106,12 +107,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
 def read_records(index: DataFrame, folder: str, where: Column | None = None, with_payload: bool = False) -> DataFrame:
     """The records that ``where`` selects from the index, parsed from the archives.
 
-    The selected ranges are sorted by file and offset; ranges that are near each other are fetched in one read.
+    The selected ranges are sorted by file and offset; ranges that are near each other are fetched in one read of
+    MOST_READ bytes at most; a record that is longer is read alone and whole.
     """
     chosen = index if where is None else index.filter(where)
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
     fields += [("payload", pa.binary())] * with_payload
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = files.at(folder)
         handles: dict[str, object] = {}

@@ -20,14 +20,20 @@ ALNUM[128:] = ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 _known: dict[int, np.ndarray] = {}
 
 
+#: Powers that a worker keeps; longer texts make theirs anew.
+_KEPT = 1 << 21
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    """At least the first ``n`` powers; one array for each base, made anew when a longer one is needed."""
-    if len(_known.get(base, ())) < n:
-        _known.pop(base, None)
-        out = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
-        out[0] = 1
-        _known[base] = np.multiply.accumulate(out, out=out)
-    return _known[base]
+    """At least the first ``n`` powers; one array of bounded length is kept for each base."""
+    if len(known := _known.get(base, ())) >= n:
+        return known
+    out = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if len(out) <= _KEPT:
+        _known[base] = out
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
