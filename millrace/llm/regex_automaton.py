@@ -2,11 +2,13 @@
 
 Patterns may hold literals, [classes], (groups|alternatives), ?, *, +, {n}, {n,} and {n,m}, and \\xHH or escaped
 characters; all of ASCII. The automaton looks for every rule at every place at once: after each byte, its
-state tells which rules have a match that ends there.
+state tells which rules have a match that ends there. That of the reversed rules, run from the last byte to the
+first, tells where matches start, and one that begins at a single place tells how far a match reaches from there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,6 +102,16 @@ class _Parser:
         return frozenset(found)
 
 
+def _reversed(tree):
+    """The tree of the mirrored pattern."""
+    if tree[0] == "set":
+        return tree
+    if tree[0] == "rep":
+        return ("rep", _reversed(tree[1]), *tree[2:])
+    parts = [_reversed(part) for part in tree[1]]
+    return (tree[0], parts[::-1] if tree[0] == "seq" else parts)
+
+
 def _build(nfa: _Nfa, tree, start: int) -> int:
     """Wire ``tree`` in from ``start``; the node where it ends."""
     kind = tree[0]
@@ -155,6 +167,25 @@ class Automaton:
 
     _wide: bool = True
 
+    def walker(self) -> Callable[[bytes, int], tuple[int, int]]:
+        """For an anchored automaton: (data, start) -> the first and the last place where a match from there may end, or (-1, -1)."""
+        class_of, next_, accepts = self.class_of.tolist(), self.next.tolist(), self.accepts.tolist()
+        stuck = {s for s in set(next_) if not accepts[s] and set(next_[s : s + self.width]) == {s}}
+
+        def walk(data: bytes, start: int) -> tuple[int, int]:
+            state, first, last = 0, -1, -1
+            for at in range(start, len(data)):
+                state = next_[state + class_of[data[at]]]
+                if accepts[state]:
+                    last = at + 1
+                    if first < 0:
+                        first = last
+                elif state in stuck:
+                    break
+            return first, last
+
+        return walk
+
     def premultiplied(self) -> Automaton:
         """States numbered by the place of their row, which saves a product for each byte."""
         accepts = np.zeros(len(self.accepts) * self.width, self.accepts.dtype)
@@ -162,8 +193,11 @@ class Automaton:
         return Automaton(self.class_of, self.width, self.next * np.int32(self.width), accepts, False)
 
 
-def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
-    """One automaton for ``(pattern, any_case)`` rules: subset construction, then minimisation."""
+def compile_rules(rules: list[tuple[str, bool]], backwards: bool = False, anchored: bool = False) -> Automaton:
+    """One automaton for ``(pattern, any_case)`` rules: subset construction, then minimisation.
+
+    ``backwards`` mirrors the rules, for bytes read from the last to the first; ``anchored`` has matches begin at the first byte only.
+    """
     nfa = _Nfa()
     root = nfa.node()
     ends = []
@@ -174,7 +208,7 @@ def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
             raise ValueError(f"cannot read {pattern!r} from {parser.at}")
         first = nfa.node()
         nfa.free[root].append(first)
-        ends.append(_build(nfa, tree, first))
+        ends.append(_build(nfa, _reversed(tree) if backwards else tree, first))
     sets = {s for moves in nfa.moves for s, _ in moves}
     marks = [tuple(b in s for s in sets) for b in range(128)] + [(False,) * len(sets)] * 128
     numbers: dict[tuple, int] = {(False,) * len(sets): 0}
@@ -203,7 +237,7 @@ def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
     order = list(states)
     keep = busy | sum(1 << e for e in set(ends))
     while at < len(order):
-        rows = [first & keep] * width
+        rows = [0 if anchored else first & keep] * width
         members, left = [], order[at] & busy
         while left:
             low = left & -left
