@@ -6,7 +6,8 @@ two together encode to just those two. So a state need hold, for each start insi
 token may still grow, the trie node reached, the last token before that start and the count of tokens there.
 Counts are relative to the newest prefix, which leaves finitely many states; each transition carries the
 change of the count, the number of tokens it emits (a merge emits a negative number). States are made when
-first reached, and tables that outgrow their bound are dropped and begun again.
+first reached. Tables that outgrow their bound are dropped, and the text is counted in halves; words that alone
+outgrow it, and very long ones, go to the plain encoder.
 """
 
 from __future__ import annotations
@@ -16,11 +17,19 @@ import re
 import unicodedata
 
 import numpy as np
+from tokenizers import Tokenizer
 
-from millrace.llm.lockstep import scan
+from millrace.llm.state_maps import totals
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Cells of a table, of five bytes each.
 MOST_CELLS = 30_000_000
+#: Bytes of a word that the transducer takes: longer ones make a state for nearly each byte, which no other text meets.
+LONGEST_WORD = 1024
+
+
+class TableFull(Exception):
+    """A new state would not fit into MOST_CELLS."""
 
 
 def byte_letters() -> dict[str, int]:
@@ -138,6 +147,8 @@ class WordTransducer:
         after = (*((node, before, count - best[1]) for node, before, count in grown), (0, best[0], 0))
         number = self.numbers.get(after)
         if number is None:
+            if (len(self.states) + 1) * self.width > MOST_CELLS:
+                raise TableFull
             number = self.numbers[after] = len(self.states)
             self.states.append(after)
             if (number + 1) * self.width > len(self.next):
@@ -156,11 +167,20 @@ class WordTransducer:
             after = self.next[cells]
         return after, self.emit[cells]
 
-    def counts(self, symbols: np.ndarray) -> np.ndarray:
-        """Tokens emitted at each symbol."""
-        if len(self.states) * self.width > MOST_CELLS:
+    def totals(self, symbols: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Tokens emitted by the first ``stop`` symbols for each of ``stops``; words end before those."""
+        try:
+            return totals(symbols, stops, 0, self.step, 0)
+        except TableFull:
             self.restart()
-        return scan(symbols, 0, self.step, 0, np.int8)
+        ends = np.flatnonzero((symbols[:-1] == 0) | (symbols[:-1] & 1 == 1)) + 1  # here a state does not depend on what came before
+        if not len(ends):
+            spelled = tuple(self.byte_of[x >> 1] + 256 * (x & 1) for x in symbols.tolist() if x)
+            return np.full(len(stops), len(self.encode(spelled)) if spelled else 0, np.int64)
+        middle = int(ends[np.argmin(np.abs(ends - len(symbols) // 2))])
+        left = self.totals(symbols[:middle], np.append(stops[stops <= middle], middle))
+        right = self.totals(symbols[middle:], stops[stops > middle] - middle)
+        return np.concatenate([left[:-1], left[-1] + right])
 
 
 class TokenCounter:
@@ -170,6 +190,8 @@ class TokenCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words = WordTransducer(spec["model"])
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.library = Tokenizer.from_file(path)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
@@ -213,7 +235,9 @@ class TokenCounter:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """int64 counts, one for each text."""
-        plain, special = zip(*map(self._plain, texts), strict=True) if texts else ((), ())
+        if not texts:
+            return np.zeros(0, np.int64)
+        plain, special = zip(*map(self._plain, texts), strict=True)
         lengths = np.fromiter((len(t) + 1 for t in plain), np.int64, len(plain))
         points = np.frombuffer("".join(t + "\n" for t in plain).encode("utf-32-le"), np.uint32)
         points = self.lower[points]
@@ -231,5 +255,16 @@ class TokenCounter:
         self.words.add_bytes(np.flatnonzero(np.bincount(raw[~space], minlength=256)))
         symbols = self.words.class_of[raw] * np.uint16(2) + final
         symbols[space] = 0
-        total = np.concatenate([[0], np.cumsum(self.words.counts(symbols), dtype=np.int64)])
-        return np.diff(np.concatenate([[0], total[stops]])) + np.array(special, np.int64)
+        counts = np.array(special, np.int64) + self._long_words(raw, symbols, stops)
+        return counts + np.diff(self.words.totals(symbols, stops), prepend=0)
+
+    def _long_words(self, raw: np.ndarray, symbols: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """For each text the tokens of its words of more than LONGEST_WORD bytes, which become white space in ``symbols``."""
+        found = np.zeros(len(stops), np.int64)
+        ends = np.flatnonzero((symbols == 0) | (symbols & 1 == 1)) + 1
+        begins = np.concatenate([[0], ends[:-1]])
+        for a, b in zip(*[x[ends - begins > LONGEST_WORD].tolist() for x in (begins, ends)], strict=True):
+            word = raw[a:b].tobytes().decode("latin-1").translate(self.letters)
+            found[np.searchsorted(stops, b)] += len(self.library.model.tokenize(word))
+            symbols[a:b] = 0
+        return found

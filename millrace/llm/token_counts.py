@@ -8,7 +8,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow_docs import bounded_batches, slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, frugal, slices, utf8
 from millrace.llm.bpe_automaton import TokenCounter
 from millrace.llm.lockstep import LANES_BYTES
 
@@ -23,9 +23,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     Counts equal the tokenizer library's for the file ``tokenizer`` without added begin or end tokens; its
     special strings inside a text count as one token each. Null and empty texts have 0. Rows repeat as they
-    do in the input, and keys are passed on as they are, null included. Other columns are not read.
+    do in the input, and keys are passed on as they are, null included. Texts are read whole; words of more than
+    LONGEST_WORD bytes are counted by the library's model. Other columns are not read.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
         for batch in slices(batches, text, LANES_BYTES):
