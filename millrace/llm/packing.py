@@ -2,9 +2,10 @@
 
 Each partition of the input packs its own rows as they come. A level array counts the partly filled windows
 of each fill; a document goes to the fill for which the sum of the squared counts afterwards is least (the
-fullest on ties). Documents longer than a window give whole windows first and the rest is placed. When the
-partition ends, the few windows still open are closed by cutting: pieces of the emptiest fill the fullest,
-and what is left at last is cut into sequences whose lengths are powers of two. No sequence needs padding.
+fullest on ties). Documents longer than a window give whole windows first and the rest is placed. Windows that no
+rest fills would pile up; when MOST_OPEN are open, they are closed by cutting: pieces of the emptiest fill the
+fullest, and the last one that is not full stays open. So it goes at the end of the partition too, where what is
+left at last is cut into sequences whose lengths are powers of two. No sequence needs padding.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow_docs import bounded_batches, slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, frugal, slices, utf8
 from millrace.llm.piece_encoder import encoder
 
 Piece = tuple  # (key, start, ids, ids of the whole document)
 _NEVER = 1 << 40
+#: Windows that a task holds open, of four bytes an id: 32 MB of windows of 4096.
+MOST_OPEN = 2048
 
 
 class SumOfSquares:
@@ -29,6 +32,11 @@ class SumOfSquares:
 
     def __init__(self, size: int):
         self.size = size
+        self._empty()
+
+    def _empty(self) -> None:
+        size = self.size
+        self.held = 0
         self.leave = np.full(size + 1, _NEVER, np.int64)  # change of the sum if a window leaves this fill
         self.leave[0] = 0
         self.enter = np.ones(size + 1, np.int64)  # and if one comes to it; full windows do not count
@@ -49,19 +57,21 @@ class SumOfSquares:
         window.append(piece)
         if fill:
             self._changed(fill)
+        self.held += (not fill) - (fill + size == self.size)
         if fill + size == self.size:
             return window
         self.open[fill + size].append(window)
         self._changed(fill + size)
         return None
 
-    def close(self) -> Iterator[list[Piece]]:
-        """The sequences into which the open windows are cut."""
+    def close(self, last: bool = True) -> Iterator[list[Piece]]:
+        """The sequences into which the open windows are cut; what fills none is cut too if these are the last, else it stays as an open window."""
         windows = [w for fill in reversed(self.open) for w in fill]
         pieces = [p for w in windows for p in w]
         left = sum(len(p[2]) for p in pieces)
         pieces.reverse()
-        while left:
+        self._empty()
+        while left >= self.size or last and left:
             want = self.size if left >= self.size else 1 << (left.bit_length() - 1)
             left -= want
             sequence = []
@@ -73,6 +83,10 @@ class SumOfSquares:
                 sequence.append((key, start, ids, whole))
                 want -= len(ids)
             yield sequence
+        if left:
+            self.open[left].append(pieces[::-1])
+            self._changed(left)
+            self.held = 1
 
 
 def pack_stream(documents: Iterator[tuple[object, np.ndarray]], size: int) -> Iterator[list[Piece]]:
@@ -86,6 +100,8 @@ def pack_stream(documents: Iterator[tuple[object, np.ndarray]], size: int) -> It
             start = whole - whole % size
             if full := packer.place((key, start, ids[start:].copy(), whole)):
                 yield full
+            if packer.held > MOST_OPEN:
+                yield from packer.close(last=False)
     yield from packer.close()
 
 
@@ -94,12 +110,14 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 4096, key: str =
 
     Every row of ``docs`` is encoded with ``end`` after it (a null text is empty and gives that id alone), and
     each of its ids lies in one piece. Sequences hold ``size`` ids or a power of two. Ties go to the fullest
-    window; repeated rows and null keys are packed like others; an empty table gives no rows.
+    window; repeated rows and null keys are packed like others; an empty table gives no rows. Texts of any length are
+    encoded whole. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         number = TaskContext.get().partitionId() << 40
