@@ -137,34 +137,6 @@ def context_validate(spark, sf_dir):
     return messages.context_errors(_conversations(spark, sf_dir).select("conv_id", with_calls.alias("messages")), "conv_id")
 
 
-_SIDES = "SELECT conv_id, substr(string_agg(text, '|' ORDER BY turn) FILTER (role = 'user'), 1, 2) AS k FROM conversations GROUP BY conv_id"
-
-
-def _sides(spark, sf_dir):
-    keyed = _conversations(spark, sf_dir).select("conv_id", F.substring(F.array_join(messages.user_key(F.col("messages")), "|"), 1, 2).alias("k"), F.size(messages.user_key(F.col("messages"))).alias("n"))
-    keyed = keyed.withColumn("k", F.when(F.col("n") > 0, F.col("k"))).drop("n")
-    return keyed.filter("conv_id % 2 = 0"), keyed.filter("conv_id % 2 = 1")
-
-
-@register(
-    "pairs_align",
-    f"""WITH s AS ({_SIDES}), a AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s WHERE conv_id % 2 = 0), b AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s WHERE conv_id % 2 = 1)
-    SELECT a.k AS key, CAST(a.n AS INTEGER) AS nth, a.conv_id AS chosen, b.conv_id AS rejected FROM a JOIN b ON a.k = b.k AND a.n = b.n""",
-)
-def pairs_align(spark, sf_dir):
-    made = pairs.align(*_sides(spark, sf_dir), "k", "conv_id")
-    return made.select("key", "nth", F.col("chosen.conv_id").alias("chosen"), F.col("rejected.conv_id").alias("rejected"))
-
-
-@register(
-    "pairs_unmatched",
-    f"""WITH s AS ({_SIDES}), a AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s WHERE conv_id % 2 = 0), b AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s WHERE conv_id % 2 = 1)
-    SELECT 'chosen' AS side, conv_id, k FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.k = b.k AND a.n = b.n) UNION ALL SELECT 'rejected', conv_id, k FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = b.k AND a.n = b.n)""",
-)
-def pairs_unmatched(spark, sf_dir):
-    return pairs.unmatched(*_sides(spark, sf_dir), "k", "conv_id")
-
-
 _WHOLE = """WITH s AS (SELECT conv_id, string_agg(length(text) || ':' || text, '' ORDER BY turn) FILTER (role = 'user') AS k, count(*) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY conv_id),
     a AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s), b AS (SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY conv_id) AS n FROM s WHERE answers > 0)"""
 
@@ -179,7 +151,7 @@ def _whole_sides(spark, sf_dir):
 
 @register("pairs_align_all", f"{_WHOLE} SELECT a.k AS key, CAST(a.n AS INTEGER) AS nth, a.conv_id AS chosen, b.conv_id AS rejected FROM a JOIN b ON a.k = b.k AND a.n = b.n")
 def pairs_align_all(spark, sf_dir):
-    """By the whole user key; pairs_align keeps the two characters that its SQL states."""
+    """By the whole user key."""
     made = pairs.align(*_whole_sides(spark, sf_dir), "k", "conv_id")
     return made.select("key", "nth", F.col("chosen.conv_id").alias("chosen"), F.col("rejected.conv_id").alias("rejected"))
 

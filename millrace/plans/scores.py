@@ -40,24 +40,13 @@ def phrases_reward(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(rewards.phrases(F.col("text"), ["The", "OF "], ["|"]), 6).alias("reward"))
 
 
-@register(
-    "reference_match",
-    r"""WITH n AS (SELECT d.doc_id, d.text, trim(regexp_replace(translate(lower(d.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS got, trim(regexp_replace(translate(lower(b.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS want FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
-    SELECT doc_id, CASE WHEN got = want THEN 1.0 ELSE 0.0 END AS equals, CASE WHEN contains(got, want) THEN 1.0 ELSE 0.0 END AS contains FROM n""",
-)
-def reference_match(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("want"))
-    rows = _docs(spark, sf_dir).join(items, F.col("doc_id") % 40 == F.col("item_id"))
-    return rows.select("doc_id", rewards.reference_match(F.col("text"), F.col("want"), "equals").alias("equals"), rewards.reference_match(F.col("text"), F.col("want"), "contains").alias("contains"))
-
-
 @register(
     "reference_match_all",
     r"""WITH i AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), n AS (SELECT d.doc_id, trim(regexp_replace(translate(lower(d.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS got, trim(regexp_replace(translate(lower(b.text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS want FROM documents d JOIN i b ON d.doc_id % b.n = b.i)
     SELECT doc_id, CAST(CASE WHEN got = want THEN 1.0 ELSE 0.0 END AS DOUBLE) AS equals, CAST(CASE WHEN contains(got, want) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS contains FROM n""",
 )
 def reference_match_all(spark, sf_dir):
-    """Documents dealt over all items by their count; reference_match keeps the 40 that its SQL states."""
+    """Documents dealt over all items by their count."""
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
     dealt = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"), F.col("text").alias("want"))
@@ -78,15 +67,9 @@ def regex_reward(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", rewards.regex(F.col("text"), "[0-9]{3}-[0-9]{4}").alias("found"), rewards.regex(F.col("text"), "^([A-Z][a-z]+)", 1, F.lit("the")).alias("named"))
 
 
-@register("json_reward", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS valid FROM events WHERE event_id < 3000")
-def json_reward(spark, sf_dir):
-    text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" and more"))).otherwise(F.concat(F.lit(" "), F.col("props")))
-    return table(spark, sf_dir, "events").filter("event_id < 3000").select("event_id", rewards.json_valid(text).alias("valid"))
-
-
 @register("json_reward_all", "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS valid FROM events")
 def json_reward_all(spark, sf_dir):
-    """Every event; json_reward keeps the first 3000 that its SQL states."""
+    """Every event."""
     text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" and more"))).otherwise(F.concat(F.lit(" "), F.col("props")))
     return table(spark, sf_dir, "events").select("event_id", rewards.json_valid(text).alias("valid"))
 
@@ -100,19 +83,6 @@ def judge_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rewards.judged(reply).alias("score"))
 
 
-@register(
-    "token_f1",
-    f"""WITH w AS (SELECT doc_id, lang, {_W.replace('text', 'lower(text)')} AS w FROM documents), u AS (SELECT doc_id, lang, unnest(w) AS t, len(w) AS n FROM w), c AS (SELECT doc_id, t, n, count(*) AS k FROM u GROUP BY ALL)
-    , s AS (SELECT a.doc_id, sum(least(a.k, b.k)) AS shared FROM c a JOIN c b ON b.doc_id = a.doc_id + 1 AND a.t = b.t GROUP BY a.doc_id)
-    SELECT a.doc_id, round(2.0 * coalesce(shared, 0) / (len(a.w) + len(b.w)), 6) AS f1 FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id WHERE len(a.w) < 300 AND len(b.w) < 300""",
-)
-def token_f1(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("doc_id", rewards.words(F.lower("text")).alias("w"))
-    after = words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    rows = words.join(after, "doc_id").filter((F.size("w") < 300) & (F.size("v") < 300))
-    return rows.select("doc_id", F.round(rewards.token_f1(F.col("w"), F.col("v")), 6).alias("f1"))
-
-
 @register(
     "token_f1_all",
     f"""WITH w AS (SELECT doc_id, {_W.replace('text', 'lower(text)')} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS t FROM w), c AS (SELECT doc_id, t, count(*) AS k FROM u GROUP BY ALL)
@@ -120,7 +90,7 @@ def token_f1(spark, sf_dir):
     SELECT a.doc_id, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE 2.0 * coalesce(shared, 0) / (len(a.w) + len(b.w)) END, 6) AS f1 FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id""",
 )
 def token_f1_all(spark, sf_dir):
-    """Every pair of neighbouring documents, whatever its length; token_f1 keeps the bound that its SQL states."""
+    """Every pair of neighbouring documents, whatever its length."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")  # texts are shuffled, not lists of words, which are larger
     both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after")), "doc_id")
     rows = both.select("doc_id", rewards.words(F.lower("text")).alias("w"), rewards.words(F.lower("after")).alias("v"))

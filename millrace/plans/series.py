@@ -91,22 +91,12 @@ def already_recorded(spark, sf_dir):
     return pairs.already_recorded(events.select("event_id", "user_id"), known, "user_id")
 
 
-@register(
-    "loss_raster",
-    """WITH p AS (SELECT event_id AS s, value AS v FROM events WHERE event_id < 400), e AS (SELECT max(s) AS s1, min(v) AS v0, max(v) AS v1 FROM p)
-    SELECT CAST(round_even(s / s1 * 38.0, 0) AS BIGINT) AS x, CAST(round_even((v1 - v) / (v1 - v0) * 12.0, 0) AS BIGINT) AS y, count(*) AS n FROM p, e GROUP BY 1, 2""",
-)
-def loss_raster(spark, sf_dir):
-    return series.raster(table(spark, sf_dir, "events").filter("event_id < 400"), F.col("event_id"), F.col("value"))
-
-
 @register(
     "loss_raster_all",
     """WITH p AS (SELECT event_id AS s, value AS v FROM events), e AS (SELECT max(s) AS s1, min(v) AS v0, max(v) AS v1 FROM p)
     SELECT CAST(round_even(s / s1 * 38.0, 0) AS BIGINT) AS x, CAST(round_even((v1 - v) / (v1 - v0) * 12.0, 0) AS BIGINT) AS y, count(*) AS n FROM p, e GROUP BY 1, 2""",
 )
 def loss_raster_all(spark, sf_dir):
-    """All events; loss_raster keeps the first 400 that its SQL states."""
     return series.raster(table(spark, sf_dir, "events"), F.col("event_id"), F.col("value"))
 
 
@@ -164,26 +154,13 @@ def module_counts(spark, sf_dir):
     return routing.module_counts(names)
 
 
-@register(
-    "config_difference",
-    """WITH a AS (SELECT 'f' || doc_id AS path, lang AS v FROM documents WHERE doc_id < 40), b AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS v FROM documents WHERE doc_id BETWEEN 20 AND 60)
-    SELECT path, CASE WHEN b.v IS NULL THEN 'only_a' WHEN a.v IS NULL THEN 'only_b' ELSE 'different' END AS state, a.v AS a_value, b.v AS b_value FROM a FULL OUTER JOIN b USING (path) WHERE a.v IS DISTINCT FROM b.v AND path <> 'f5'""",
-)
-def config_difference(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("k"), "doc_id", "lang")
-    text = lambda d, v: d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", v)))).alias("config"))
-    a = text(docs.filter("doc_id < 40"), F.col("lang"))
-    b = text(docs.filter("doc_id BETWEEN 20 AND 60"), F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")))
-    return pairs.config_difference(pairs.flat_config(a), pairs.flat_config(b), ("f5",))
-
-
 @register(
     "config_difference_all",
     """WITH a AS (SELECT 'f' || doc_id AS path, lang AS v FROM documents), b AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS v FROM documents)
     SELECT path, 'different' AS state, a.v AS a_value, b.v AS b_value FROM a JOIN b USING (path) WHERE a.v IS DISTINCT FROM b.v AND path <> 'f5'""",
 )
 def config_difference_all(spark, sf_dir):
-    """All documents as rows of path and value, none gathered in one map; config_difference keeps the ids that its SQL states."""
+    """All documents as rows of path and value, none gathered in one map."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "lang")
     changed = F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang"))
     return pairs.config_difference(docs.select("path", F.col("lang").alias("value")), docs.select("path", changed.alias("value")), ("f5",))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from millrace.operators import chunking, edits, endpoint, repair
@@ -149,7 +146,7 @@ def _echo(request):
 @register("endpoint_chat")
 def endpoint_chat(spark, sf_dir):
     """The two-pass conversation builder against a stand-in that echoes."""
-    docs = _docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", "text")
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
     rows, _ = endpoint.chat_rows(docs, "doc_id", "text", 512, 2, _echo, _echo, "Ask {n} about: {chunk}", "{question} given {chunk}", 1)
     return rows
 
@@ -169,29 +166,9 @@ def csv_round_trip(spark, sf_dir):
     return files.read_rows(spark, path)
 
 
-@register(
-    "stream_metric_tail",
-    "SELECT event_type AS metric, count(*) AS n, round(arg_max(value, event_id), 6) AS last FROM events WHERE event_id < 2000 GROUP BY event_type",
-)
-def stream_metric_tail(spark, sf_dir):
-    """A growing file read as a stream until it is exhausted; the cut last line waits."""
-    folder = tempfile.mkdtemp(prefix="millrace-tail-")
-    rows = table(spark, sf_dir, "events").filter("event_id < 2000").orderBy("event_id").select("event_id", "event_type", "value").toLocalIterator()
-    with open(os.path.join(folder, "metrics.jsonl"), "w") as f:
-        for r in rows:
-            f.write(f'{{"step": {r["event_id"]}, "log": {{"{r["event_type"]}": {r["value"]!r}}}}}\n')
-        f.write('{"step": 1, "lo')
-    name = "tail_" + os.path.basename(folder).replace("-", "_")
-    values = metrics.metric_values(metrics.tail(spark, folder + "/*.jsonl"))
-    query = values.writeStream.format("memory").queryName(name).option("checkpointLocation", folder + "/check").trigger(processingTime="100 milliseconds").start()
-    query.processAllAvailable()
-    query.stop()
-    return spark.table(name).groupBy("metric").agg(F.count("*").alias("n"), F.round(F.max_by("value", "step"), 6).alias("last"))
-
-
 @register("stream_metric_tail_all", "SELECT event_type AS metric, count(*) AS n, round(arg_max(value, event_id), 6) AS last FROM events GROUP BY event_type")
 def stream_metric_tail_all(spark, sf_dir):
-    """All events, written by the executors under the shared folder and tailed from there; stream_metric_tail keeps the first 2000 that its SQL states."""
+    """All events, written by the executors under the shared folder and tailed from there."""
     folder = scratch(spark, "tail")
     record = F.struct(F.col("event_id").alias("step"), F.create_map("event_type", "value").alias("log"))
     table(spark, sf_dir, "events").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value")).write.text(folder + "/in")
