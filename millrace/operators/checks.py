@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.profile import ordered_digest
 from millrace.operators.rows import RowError, dedup_append
 
 
@@ -51,9 +52,8 @@ def inspect_inputs(df: DataFrame, prompt_tokens: str, new_tokens: int, window: i
 
 
 def input_identity(df: DataFrame, order: str, ids: str) -> DataFrame:
-    """SHA-256 over the token ids of all rows as JSON lines, in order. As profile.fingerprint(), for bounded sets."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.col(ids)).alias("j")))), lambda x: F.concat(x["j"], F.lit("\n")))
-    return df.agg(F.sha2(F.array_join(lines, ""), 256).alias("identity"))
+    """SHA-256 over the token ids of all rows as JSON lines, in order; they stream through one task."""
+    return ordered_digest(df, order, F.encode(F.concat(F.to_json(F.col(ids)), F.lit("\n")), "UTF-8"), "identity").select("identity")
 
 
 def response_ids(full: Column, prompt_tokens: Column) -> Column:

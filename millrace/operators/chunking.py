@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,25 +131,46 @@ def wrapped(df: DataFrame, order: str, tokens: str, size: int) -> DataFrame:
     return cut.select(order, "piece", "packed", (low - F.col("packed") * size).alias("start"), (high - low).alias("length"))
 
 
+class Bins:
+    """Bins of ``size`` by the room left in them. A whole number has a bit for each room that some bin has, so the
+    least room that holds a row is the lowest bit from its length on."""
+
+    def __init__(self, size: int):
+        self.rooms: dict[int, list[int]] = {}
+        self.size, self.bits, self.used = size, 0, 0
+
+    def place(self, n: int) -> int:
+        """The fullest bin with room for ``n``, the earliest of equals, or a new one; rows over the size fill one alone."""
+        left = self.bits >> n
+        room = n + (left & -left).bit_length() - 1 if left else None
+        if room is None:
+            chosen, room = self.used, max(self.size, n)
+            self.used += 1
+        else:
+            chosen = heapq.heappop(self.rooms[room])
+            if not self.rooms[room]:
+                self.bits ^= 1 << room
+        heapq.heappush(self.rooms.setdefault(room - n, []), chosen)
+        self.bits |= 1 << (room - n)
+        return chosen
+
+
 def best_fit_decreasing(df: DataFrame, batch: str, key: str, tokens: str, size: int) -> DataFrame:
     """(batch, key, bin): within each batch, rows by falling length go to the fullest bin that holds them; long rows alone."""
-    import numpy as np
-    import pandas as pd
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([tokens, key], ascending=[False, True])
-        room = np.zeros(len(rows), np.int64)
-        used, bins = 0, []
-        for n in rows[tokens]:
-            fits = np.flatnonzero(room[:used] >= n)
-            if len(fits):
-                chosen = int(fits[np.argmin(room[fits])])
-            else:
-                chosen, used = used, used + 1
-                room[chosen] = size
-            room[chosen] = max(0, room[chosen] - n)
-            bins.append(chosen)
-        return pd.DataFrame({batch: rows[batch], key: rows[key], "bin": bins})
+        bins = Bins(size)
+        return pd.DataFrame({batch: rows[batch], key: rows[key], "bin": [bins.place(int(n)) for n in rows[tokens]]})
 
     kinds = dict(df.dtypes)
     return df.select(batch, key, tokens).groupBy(batch).applyInPandas(pack, f"`{batch}` {kinds[batch]}, `{key}` {kinds[key]}, bin long")
+
+
+def best_fit_split(df: DataFrame, batch: str, key: str, tokens: str, size: int) -> DataFrame:
+    """(batch, key, start, length, bin): as best_fit_decreasing(), with rows over ``size`` cut into pieces of it and a rest."""
+    pieces = df.filter(F.col(tokens) > 0).select(batch, key, F.col(tokens).alias("__n"), F.explode(F.sequence(F.lit(0), F.col(tokens) - 1, F.lit(size))).alias("start"))
+    pieces = pieces.select(batch, F.struct(key, F.col("start").cast("long").alias("start")).alias("__piece"), F.least(F.lit(size), F.col("__n") - F.col("start")).cast("long").alias("length"))
+    named = pieces.select(batch, F.to_json("__piece").alias("__name"), "__piece", "length")
+    bins = best_fit_decreasing(named, batch, "__name", "length", size)
+    return named.join(bins, [batch, "__name"]).select(batch, f"__piece.{key}", "__piece.start", "length", "bin")

@@ -71,6 +71,45 @@ def complete(df: DataFrame, key: str, request: str, client: Callable, concurrenc
     return settle(df.select(key, request).mapInArrow(run, f"`{key}` {kind}, content string, reasoning string"), "replies")
 
 
+def complete_raw(df: DataFrame, key: str, request: str, client: Callable, concurrency: int = 4) -> DataFrame:
+    """(key, body): the raw text of each reply, written down before anything parses it. ``client`` returns that text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                bodies = list(pool.map(lambda r: client(json.loads(r)), batch.column(request).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(bodies, pa.string())], [key, "body"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return settle(df.select(key, request).mapInArrow(run, f"`{key}` {kind}, body string"), "bodies")
+
+
+def parsed_bodies(bodies: DataFrame, key: str) -> DataFrame:
+    """(key, content, reasoning, fault) of raw bodies; a body that is no JSON or holds no text has a fault and stays where it was written."""
+    fields = bodies.select(key, reply_fields(F.col("body")).alias("r"), F.try_parse_json("body").isNull().alias("bad"))
+    blank = F.length(F.trim(F.coalesce("r.content", F.lit("")))) == 0
+    return fields.select(key, "r.content", "r.reasoning", F.when(F.col("bad"), "not JSON").when(blank, "no text").alias("fault"))
+
+
+# The sampling settings that a request may carry, with the least and the greatest value of each.
+SAMPLING = {"temperature": (0, None), "top_p": (0, 1), "top_k": (-1, None), "max_tokens": (1, None), "presence_penalty": (None, None), "repetition_penalty": (0, None)}
+
+
+def generate(client: Callable, user: str, system: str = "", context: list[dict] = (), **sampling) -> dict:
+    """answer and reasoning of one request; ``client`` takes the messages and the sampling settings."""
+    if not user.strip():
+        raise RowError("the user prompt is blank")
+    for name, value in sampling.items():
+        if name not in SAMPLING:
+            raise RowError(f"{name} is no sampling setting; use {', '.join(SAMPLING)}")
+        low, high = SAMPLING[name]
+        if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or low is not None and value < low or high is not None and value > high or name == "repetition_penalty" and value == 0):
+            raise RowError(f"{name} may not be {value!r}")
+    turns = [{"role": "system", "content": system}] * bool(system) + [*context, {"role": "user", "content": user}]
+    reply = client(turns, **{k: v for k, v in sampling.items() if v is not None})
+    return {"answer": reply.get("content"), "reasoning": reply.get("reasoning") or reply.get("reasoning_content")}
+
+
 def user_request(text: Column) -> Column:
     return F.to_json(F.array(messages.message("user", text)))
 

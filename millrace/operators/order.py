@@ -18,6 +18,17 @@ def half_even(value: Column) -> Column:
     return F.bround(value, 0).cast("long")
 
 
+def running_sum(df: DataFrame, amount: str, *order: str | Column, into: str = "before") -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows in front, in ``order``; one sum for each range leaves its task."""
+    part = "__part"
+    ranged = df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).withColumn(part, F.spark_partition_id())
+    ranged = settle(ranged, "ranged")
+    sums = ranged.groupBy(part).agg(F.sum(amount).alias("__n"))
+    front = sums.select(part, F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__front"))
+    local = F.coalesce(F.sum(amount).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__local", local).join(F.broadcast(front), part).withColumn(into, F.col("__front") + F.col("__local")).drop(part, "__local", "__front")
+
+
 def dense_index(df: DataFrame, *order: str | Column, into: str = "row_idx") -> DataFrame:
     """``df`` with consecutive numbers from 0 in ``order`` (ties keep no promised order).
 

@@ -41,6 +41,13 @@ def overlap(train: DataFrame, held_out: DataFrame, digest: str, index: str) -> D
     return a.join(b, digest)
 
 
+def overlap_rows(train: DataFrame, held_out: DataFrame, digest: str, index: str) -> DataFrame:
+    """(digest, side, row): the rows of overlap() one by one, so that a digest of any number of rows is never gathered."""
+    a, b = (x.select(F.col(digest).alias("digest"), F.lit(side).alias("side"), F.col(index).alias("row")) for x, side in ((train, "train"), (held_out, "eval")))
+    both = a.select("digest").distinct().join(b.select("digest").distinct(), "digest")
+    return a.union(b).join(both, "digest", "left_semi")
+
+
 def already_recorded(records: DataFrame, known: DataFrame, series: str) -> DataFrame:
     """Records whose series has a baseline."""
     return records.join(known.filter("kind = 'baseline'").select(series).distinct(), series, "left_semi")

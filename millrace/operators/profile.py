@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.order import running_sum
+
 
 def row_digest(*columns: str) -> Column:
     """SHA-256 of the row as JSON with sorted keys, nulls kept: equal rows only have equal digests, whatever the column order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def ordered_digest(df: DataFrame, order: str, piece: Column, into: str) -> DataFrame:
+    """One row: SHA-256 over the binary pieces in order (then by piece), and n_rows.
+
+    Such a digest is defined from front to back: sorted ranges stream through one task, which holds a batch at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            for x in batch.column("piece").to_pylist():
+                digest.update(x)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], [into, "n_rows"])
+
+    pieces = df.select(F.col(order).alias("o"), piece.alias("piece"))
+    return pieces.orderBy("o", "piece").coalesce(1).select("piece").mapInArrow(run, f"`{into}` string, n_rows long")
+
+
 def fingerprint(df: DataFrame, order: str, *columns: str) -> DataFrame:
-    """One row: SHA-256 over the binary row digests in order. The digests meet in one row; above some ten
-    million rows use tree_fingerprint, which is another value."""
-    pairs = df.select(F.struct(F.col(order).alias("o"), row_digest(*columns).alias("d")).alias("p"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["d"]), "")
-    return pairs.agg(F.sha2(F.unhex(joined), 256).alias("fingerprint"), F.count("*").alias("n_rows"))
+    """One row: SHA-256 over the binary row digests in order. tree_fingerprint, another value, needs no task that sees all digests."""
+    return ordered_digest(df, order, F.unhex(row_digest(*columns)), "fingerprint")
 
 
 def tree_fingerprint(df: DataFrame, order: str, *columns: str, chunk: int = 100_000) -> DataFrame:
@@ -38,6 +58,13 @@ def duplicates(df: DataFrame, digest: Column, index: str) -> DataFrame:
     return groups.join(rows, "digest")
 
 
+def duplicate_rows(df: DataFrame, digest: Column, index: str) -> DataFrame:
+    """(digest, row): the rows of duplicates() one by one, so that a group of any size is never gathered."""
+    keyed = df.select(digest.alias("digest"), F.col(index).alias("row"))
+    groups = keyed.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    return keyed.join(groups, "digest", "left_semi")
+
+
 def conflicting_labels(df: DataFrame, key: list[str], label: str) -> DataFrame:
     """Keys with more than one label."""
     return df.groupBy(*key).agg(F.count("*").alias("n_rows"), F.min(label).alias("low"), F.max(label).alias("high")).filter("low < high")
@@ -54,27 +81,52 @@ def identical_preferences(df: DataFrame, chosen: str, rejected: str) -> DataFram
     return df.filter(F.col(chosen).eqNullSafe(F.col(rejected)))
 
 
-def length_summary(df: DataFrame, value: Column, *by: str) -> DataFrame:
-    """count, min, mean, median, p90 and max; p90 is the sorted value at place min(n - 1, int(0.9 n)), from 0.
+def _places(df: DataFrame, value: Column, by: tuple[str, ...], wanted: dict[str, Column]) -> DataFrame:
+    """(by, count, wanted...): for each name the value at a place, from 0, of a group's sorted values; places may use ``count``.
 
-    The place is found from counts of equal values, so no group is sorted in one task's memory.
+    Equal values are counted first, and the counts are summed over ranges of (by, value), so no task holds a group.
     """
-    values = df.select(*by, value.cast("double").alias("v")).filter("v IS NOT NULL")
-    counts = values.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    total = values.groupBy(*by).agg(F.count("*").alias("count"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.max("v").alias("max"))
-    w = Window.partitionBy(*by).orderBy("v") if by else Window.orderBy("v")
-    upto = counts.withColumn("upto", F.sum("c").over(w))
-    place = F.least(F.col("count") - 1, F.floor(F.lit(0.9) * F.col("count")).cast("long"))
-    joined = upto.join(total, list(by)) if by else upto.crossJoin(F.broadcast(total))
-    p90 = joined.filter(F.col("upto") > place).groupBy(*by).agg(F.min("v").alias("p90"))
-    out = total.join(p90, list(by)) if by else total.crossJoin(p90)
-    return out.select(*by, "count", "min", "mean", "median", "p90", "max")
+    counts = df.select(*by, value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    summed = running_sum(counts, "c", *by, "v")
+    sizes = summed.groupBy(*by).agg(F.min("before").alias("__base"), F.sum("c").alias("count")).select(*[F.col(c).alias(f"__{c}") for c in by], "__base", "count")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    placed = summed.join(sizes, same) if by else summed.crossJoin(F.broadcast(sizes))
+    low = F.col("before") - F.col("__base")
+    at = [F.max(F.when((low <= place) & (place < low + F.col("c")), F.col("v"))).alias(name) for name, place in wanted.items()]
+    return placed.groupBy(*by).agg(F.first("count").alias("count"), *at)
+
+
+def _joined(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Both sides' columns, by group; a group may be null."""
+    if not by:
+        return a.crossJoin(b)
+    other = b.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in b.columns])
+    return a.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])).drop(*[f"__{c}" for c in by])
+
+
+def length_summary(df: DataFrame, value: Column, *by: str) -> DataFrame:
+    """count, min, mean, median, p90 and max; p90 is the sorted value at place min(n - 1, int(0.9 n)), from 0."""
+    n = F.col("count")
+    places = {"__low": F.floor((n - 1) / 2), "__high": F.ceil((n - 1) / 2), "p90": F.least(n - 1, F.floor(F.lit(0.9) * n).cast("long"))}
+    found = _places(df, value, by, places)
+    total = df.select(*by, value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy(*by).agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    out = _joined(found, total, by)
+    return out.select(*by, "count", "min", "mean", ((F.col("__low") + F.col("__high")) / 2).alias("median"), "p90", "max")
 
 
 def distribution(df: DataFrame, value: Column, *by: str) -> DataFrame:
     """min, max, mean and linearly interpolated p50, p95 and p99; nulls without values."""
+    shares = (0.5, 0.95, 0.99)
+    place = lambda p: F.lit(p) * (F.col("count") - 1)
+    found = _places(df, value, by, {f"__{end}{int(100 * p)}": whole(place(p)) for p in shares for end, whole in (("low", F.floor), ("high", F.ceil))})
+    between = [(F.col(f"__low{int(100 * p)}") + (F.col(f"__high{int(100 * p)}") - F.col(f"__low{int(100 * p)}")) * (place(p) - F.floor(place(p)))).alias(f"p{int(100 * p)}") for p in shares]
     v = value.cast("double")
-    return df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), *[F.percentile(v, F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)])
+    total = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
+    chosen = found.select(*by, *between)
+    if not by:
+        return total.join(chosen, F.lit(True), "left")
+    other = chosen.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in chosen.columns])
+    return total.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), "left").drop(*[f"__{c}" for c in by])
 
 
 def kept_window(ids: Column, most: int, mode: str) -> Column:
@@ -127,6 +179,14 @@ def split_totals(df: DataFrame, tokens: str, loss: str, error: str, most: int, m
     )
 
 
+def first_example(df: DataFrame, order: str, ids: str, labels: str) -> DataFrame:
+    """One row: the first row's ids, those that are trained (label not -100), their counts and what the mask says."""
+    kept = F.filter(F.arrays_zip(F.col(ids).alias("id"), F.col(labels).alias("label")), lambda x: x["label"] != -100)
+    first = df.orderBy(order).limit(1).select(F.col(ids).alias("ids"), F.transform(kept, lambda x: x["id"]).alias("trained_ids"))
+    n, trained = F.size("ids"), F.size("trained_ids")
+    return first.select("ids", "trained_ids", n.alias("tokens"), trained.alias("trained_tokens"), F.when(trained == 0, "nothing is trained").when(trained == n, "all tokens are trained").alias("note"))
+
+
 def findings(metrics: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
     """(code, severity, evidence) of the rules whose SQL condition holds on the one row of ``metrics``.
 

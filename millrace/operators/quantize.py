@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values of the number formats.
 FP8_MAX = 448.0
@@ -73,6 +74,58 @@ def fp8_block(values: np.ndarray) -> tuple[np.ndarray, int]:
     return np.rint(q / step) * step, exponent
 
 
+def fp8_tiles(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rounded values over their scales, exponents by tile) of a matrix in tiles of 128 by 128; ValueError for other shapes."""
+    if weight.ndim != 2 or any(n % FP8_BLOCK for n in weight.shape):
+        raise ValueError(f"a matrix of whole tiles of {FP8_BLOCK} is needed, not {weight.shape}")
+    down, across = (n // FP8_BLOCK for n in weight.shape)
+    codes, found = np.empty(weight.shape, np.float32), np.empty((down, across), np.int32)
+    for i, j in np.ndindex(down, across):
+        tile = np.s_[i * FP8_BLOCK : (i + 1) * FP8_BLOCK, j * FP8_BLOCK : (j + 1) * FP8_BLOCK]
+        codes[tile], found[i, j] = fp8_block(weight[tile])
+    return codes, found
+
+
+def fp8_tile_values(codes: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """The matrix that fp8_tiles() stands for."""
+    return codes * np.kron(np.ldexp(np.float32(1), exponent), np.ones((FP8_BLOCK, FP8_BLOCK), np.float32))
+
+
+def fp8_matrix_round_trip(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
+    """(key, exponents, max_error, n_exact, n_zero_tiles) of matrices given row by row, ``width`` values a row; padded with zeros to whole tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for values in batch.column(column).to_pylist():
+                own = np.array(values or [], np.float32).reshape(-1, width)
+                padded = np.pad(own, [(0, -n % FP8_BLOCK) for n in own.shape])
+                codes, exponent = fp8_tiles(padded)
+                gap = np.abs(fp8_tile_values(codes, exponent) - padded)[: own.shape[0], : own.shape[1]]
+                rows.append((exponent.reshape(-1).tolist(), float(gap.max(initial=0)), int((gap == 0).sum()), int((exponent == LEAST_EXPONENT).sum())))
+            kinds = [pa.list_(pa.int32()), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], [key, "exponents", "max_error", "n_exact", "n_zero_tiles"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, column).mapInArrow(run, f"`{key}` {kind}, exponents array<int>, max_error double, n_exact long, n_zero_tiles long")
+
+
+def round_trip_counters(df: DataFrame, by: str) -> DataFrame:
+    """Counters by class of tensors coded again, from columns value_exact, codes_exact (boolean), scales, again (exponents by
+    block), negative_zeros, zero_blocks: (by, tensors, value_exact, codes_exact, scales_exact, negative_zeros, zero_blocks, scale_ratios)."""
+    gaps = F.filter(F.zip_with("scales", "again", lambda a, b: a - b), lambda d: d != 0)
+    rows = df.withColumn("__gaps", gaps)
+    total = rows.groupBy(by).agg(
+        F.count("*").alias("tensors"),
+        *[F.count_if(F.col(c)).alias(c) for c in ("value_exact", "codes_exact")],
+        F.count_if(F.size("__gaps") == 0).alias("scales_exact"),
+        *[F.sum(c).cast("long").alias(c) for c in ("negative_zeros", "zero_blocks")],
+    )
+    ratios = rows.select(F.col(by).alias("__by"), F.explode("__gaps").alias("gap")).groupBy("__by", "gap").agg(F.count("*").alias("n"))
+    ratios = ratios.groupBy("__by").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("gap", "n")))).alias("scale_ratios"))  # few powers of two
+    return total.join(ratios, total[by].eqNullSafe(ratios["__by"]), "left").drop("__by")
+
+
 def pack_nibbles(codes: np.ndarray) -> bytes:
     flat = codes.reshape(-1)
     return (flat[0::2] | flat[1::2] << 4).astype(np.uint8).tobytes()

@@ -58,6 +58,13 @@ def missing_layers(report: DataFrame, expected: DataFrame, layer: str = "layer")
     return expected.join(report.select(layer).distinct(), layer, "left_anti")
 
 
+def selection_faults(selected: DataFrame, expected: DataFrame, experts: int, layer: str = "layer", expert: str = "expert") -> DataFrame:
+    """(layer, expert, fault): layers that a report lacks, and ids that no expert has."""
+    lacks = missing_layers(selected, expected.select(layer).distinct(), layer).select(layer, F.lit(None).cast("long").alias(expert), F.lit("no selection").alias("fault"))
+    outside = selected.filter((F.col(expert) < 0) | (F.col(expert) >= experts)).select(layer, F.col(expert).cast("long").alias(expert), F.lit("no such expert").alias("fault"))
+    return lacks.union(outside.distinct())
+
+
 def flips(before: DataFrame, after: DataFrame, keys: list[str], group: str, layer: str, value: str = "code") -> DataFrame:
     """(group, layer, elements, flipped): changed codes by class, and by class and layer in the same pass (layer null for the class)."""
     joined = before.withColumnRenamed(value, "__a").join(after.select(*keys, F.col(value).alias("__b")), keys)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.order import seeded
+from millrace.operators.order import running_sum, seeded
 
 
 class RowError(ValueError):
@@ -60,8 +60,7 @@ def split_by_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """``df`` with a boolean ``first``: whole groups of equal keys, in order of first appearance, go to the
     first part while it has fewer than ``n`` rows. Null is a key like others."""
     groups = df.groupBy(key).agg(F.min(order).alias("__at"), F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    side = groups.select(F.col(key).alias("__key"), (before < n).alias("first"))
+    side = running_sum(groups, "__n", "__at", into="__before").select(F.col(key).alias("__key"), (F.col("__before") < n).alias("first"))
     return df.join(side, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 

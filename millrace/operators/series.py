@@ -32,6 +32,11 @@ def baseline_delta(df: DataFrame, by: str, seq: str, value: str) -> DataFrame:
     return out.withColumn("delta", F.col("carried") - F.col("baseline"))
 
 
+def carried_forward(df: DataFrame, by: str, seq: str, value: str, into: str) -> DataFrame:
+    """``df`` with ``into``: the last value known at each record, null before the first; nonfinite values count as known."""
+    return df.withColumn(into, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def curve(df: DataFrame, step: str, seq: str, value: str, *by: str) -> DataFrame:
     """(by, step, value): the last record of each step; nonfinite values become gaps."""
     last = F.max_by(F.struct(value), seq)[value]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import checks, conversations, profiles, registry, rows, scores, series, texts  # noqa: F401  each registers its queries
+from millrace.plans import checks, conversations, profiles, registry, rows, scores, series, texts, wider  # noqa: F401  each registers its queries
 
 
 def queries() -> dict:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +38,7 @@ def json_objects(text: str) -> Iterator[tuple[int, str]]:
 
 
 def read_json_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, line, raw) of JSON objects that may span lines or share one.
-
-    Files whose lines are objects are read by lines, in parallel within a file; the others whole, one task each.
-    """
+    """(file, record, line, raw) of JSON objects that may span lines or share one; each file whole, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,6 +55,26 @@ def read_json_stream(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, record long, line long, raw string")
 
 
+def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(raw): the objects of JSON files. Files in which each line holds whole objects are split and read in parallel;
+    only where an object spans lines is all of the input read by whole files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str | None, bool]] = []
+            for line in batch.column("value").to_pylist():
+                try:
+                    rows += [(raw, True) for _, raw in json_objects(line)]
+                except ValueError:
+                    rows.append((None, False))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["raw", "whole"])
+
+    by_line = spark.read.text(path).mapInArrow(run, "raw string, whole boolean")
+    if by_line.filter("NOT whole").isEmpty():
+        return by_line.select("raw")
+    return read_json_stream(spark, path).select("raw")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of files with one object on each line, split within files; blank lines are skipped, others must be objects."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
@@ -101,7 +121,7 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 READERS = {
-    "jsonl": lambda spark, path: _typed(read_json_stream(spark, path)),
+    "jsonl": lambda spark, path: _typed(read_json_objects(spark, path)),
     "json": lambda spark, path: _typed(read_json_array(spark, path)),
     "csv": read_csv,
     "parquet": lambda spark, path: spark.read.parquet(path),
@@ -151,18 +171,29 @@ def flat_columns(df: DataFrame) -> None:
         raise RowError(f"CSV holds no nested values: {', '.join(nested)}")
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _refuse_existing(spark: SparkSession, path: str, force: bool) -> None:
+    system, target = _place(spark, path)
+    if system.exists(target) and not force:
+        raise RowError(f"{path} exists; use force to replace it")
+
+
 def write_rows(df: DataFrame, path: str, force: bool = False) -> None:
-    """Write by extension through a staged folder that is renamed when complete; an existing output needs ``force``.
+    """Write by extension through a staged folder of its own that is renamed when complete; an existing output needs
+    ``force``, one that another writer put there meanwhile too.
 
     JSON lines keep null fields. A JSON array is for small results: its rows meet in one task.
     """
     kind, spark = extension(path), df.sparkSession
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(target) and not force:
-        raise RowError(f"{path} exists; use force to replace it")
-    staged = path.rstrip("/") + ".staged"
+    _refuse_existing(spark, path, force)
+    system, target = _place(spark, path)
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged"
     if kind == "csv":
         flat_columns(df)
         df.write.mode("overwrite").csv(staged, header=True, escape='"')
@@ -176,7 +207,12 @@ def write_rows(df: DataFrame, path: str, force: bool = False) -> None:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(staged)
     else:
         raise RowError(f"{path}: nothing is written as {kind}")
-    before = path.rstrip("/") + ".replaced"
+    try:
+        _refuse_existing(spark, path, force)
+    except RowError:
+        drop_folder(spark, staged)
+        raise
+    before = f"{path.rstrip('/')}.{uuid.uuid4().hex}.replaced"
     kept = system.exists(target) and system.rename(target, jvm.org.apache.hadoop.fs.Path(before))
     if not system.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
         if kept:
@@ -188,12 +224,14 @@ def write_rows(df: DataFrame, path: str, force: bool = False) -> None:
 
 def write_all(outputs: dict[str, DataFrame], force: bool = False) -> list[str]:
     """Several outputs: no path may be another's or lie inside it; all are checked before the first is written."""
-    paths = [p.rstrip("/") for p in outputs]
-    for a in paths:
-        for b in paths:
-            if a is not b and (a == b or b.startswith(a + "/")):
-                raise RowError(f"outputs {a} and {b} are in each other's way")
-        extension(a)
+    paths = sorted(p.rstrip("/") + "/" for p in outputs)
+    for a, b in zip(paths, paths[1:], strict=False):  # what lies inside a path follows it in this order
+        if b.startswith(a):
+            raise RowError(f"outputs {a[:-1]} and {b[:-1]} are in each other's way")
+    for path, df in outputs.items():
+        if extension(path) == "csv":
+            flat_columns(df)
+        _refuse_existing(df.sparkSession, path, force)
     done = []
     for path, df in outputs.items():
         try:
@@ -246,18 +284,38 @@ def reasoning_chats(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a row is not a user's and an assistant's message with reasoning")).cast("boolean")))
 
 
-def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, dtype, begin, end, digest) of tensors in files of a JSON header and payloads, by byte range."""
+def tensor_headers(spark: SparkSession, path: str, most: int = 8 << 20) -> DataFrame:
+    """(file, name, dtype, begin, end, digest) of tensors in files of a JSON header and payloads.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    Headers are read first; then the tensors are dealt out and each is read by its byte range, ``most`` bytes at once.
+    """
+    names = ["file", "name", "dtype", "begin", "end"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                size = int.from_bytes(content[:8], "little")
-                head = json.loads(content[8 : 8 + size])
-                rows = [(name, k, v["dtype"], *v["data_offsets"]) for k, v in head.items() if k != "__metadata__"]
-                digests = [hashlib.sha256(content[8 + size + a : 8 + size + b]).hexdigest() for *_, a, b in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(5)] + [pa.array(digests)], ["file", "name", "dtype", "begin", "end", "digest"])
+    def opened(name: str):
+        system, at = fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+        return system.open_input_file(at)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, name string, dtype string, begin long, end long, digest string")
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with opened(name) as f:
+                    size = int.from_bytes(f.read_at(8, 0), "little")
+                    head = json.loads(f.read_at(size, 8))
+                rows = [(name, k, v["dtype"], *v["data_offsets"], 8 + size) for k, v in head.items() if k != "__metadata__"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [*names, "base"])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                digest = hashlib.sha256()
+                with opened(row["file"]) as f:
+                    for at in range(row["begin"], row["end"], most):
+                        digest.update(f.read_at(min(most, row["end"] - at), row["base"] + at))
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string())], [*names, "digest"])
+
+    listed = spark.read.format("binaryFile").load(path).select("path")  # the content is not read here
+    tensors = listed.mapInArrow(headers, "file string, name string, dtype string, begin long, end long, base long")
+    return tensors.repartition("file", "name").mapInArrow(digests, "file string, name string, dtype string, begin long, end long, digest string")

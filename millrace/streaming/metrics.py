@@ -32,6 +32,8 @@ class TailReader(SimpleDataSourceStreamReader):
             with open(name, "rb") as f:
                 f.seek(end.get(name, 0))
                 data = f.read(self.most)
+                while b"\n" not in data and (more := f.read(self.most)):  # a line may be longer than a read
+                    data += more
             whole = data[: data.rfind(b"\n") + 1]
             at = end.get(name, 0)
             for line in whole.splitlines(keepends=True):
@@ -138,6 +140,17 @@ def tail(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.readStream.format("tail").option("path", pattern).load()
 
 
+def state_view(values: DataFrame, path: str, checkpoint: str):
+    """Keep (file, metric, n, step, last) of all that a stream of metric_values() has brought, written anew with each batch."""
+    last = F.max_by(F.struct("step", "value"), F.struct("step", "offset"))
+    state = values.groupBy("file", "metric").agg(F.count("*").alias("n"), last.alias("l")).select("file", "metric", "n", "l.step", F.col("l.value").alias("last"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return state.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
 def metric_values(lines: DataFrame) -> DataFrame:
     """(file, offset, step, metric, value) of lines that are records."""
     record = F.from_json("line", "step bigint, log map<string,double>")
