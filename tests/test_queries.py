@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -26,7 +27,7 @@ def plain(value):
         return None
     if isinstance(value, bool):
         return value
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, Decimal)):  # DuckDB's literals with a point are decimals
         return round(float(value), 9)
     return str(value)
 
