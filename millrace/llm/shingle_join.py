@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow_docs import bounded_batches, slices, utf8
+from millrace.llm.arrow_docs import bounded_batches, frugal, frugal_group, slices, utf8
+from millrace.llm.columns import unused
 from millrace.llm.components import connected_components
 from millrace.llm.word_hashes import mix, shingle_sets
-from millrace.session import settle
+from millrace.session import settle, unsettle
 
 BITMAP_BITS = 27
 MOST_RANKED = 1 << 20
@@ -83,21 +84,30 @@ def _split(parts: np.ndarray, count: int) -> np.ndarray:
     return np.searchsorted(parts, np.arange(count + 1, dtype=np.uint64))
 
 
+def counted_cells(cells: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct cells, their counts) of ascending ones, each of which counts once or as often as ``counts`` says."""
+    if not len(cells):
+        return cells, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[first], np.diff(np.append(first, len(cells))) if counts is None else np.add.reduceat(counts.astype(np.int64), first)
+
+
 def count_cells(docs: DataFrame, tokens_of: Callable[[list[bytes]], list[np.ndarray]], cells: Cells, ranked_from: int) -> DataFrame:
     """(part, cell, n, bits): cells of ``ranked_from`` tokens or more, and one row a part with its slice of the bitmap of cells of two or more."""
 
+    @frugal
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def made() -> pa.RecordBatch:
-            tokens = np.sort(np.concatenate(held))
+            found, counts = counted_cells(np.sort(cells.cell(np.concatenate(held))))  # a cell goes out once, whatever its count
             held.clear()
-            at = _split(cells.part(tokens), cells.parts)
-            low = (cells.cell(tokens) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            at = _split(found >> np.uint64(32), cells.parts)
+            low, counts = found.astype("<u4"), counts.astype("<u4")
             blobs = []
             for a, b in zip(at, at[1:], strict=False):
                 steps = np.diff(low[a:b], prepend=np.uint32(0))
-                blobs.append(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())  # planes of bytes shrink when shuffled
+                blobs.append(np.ascontiguousarray(np.stack([steps, counts[a:b]], axis=1).view(np.uint8).reshape(-1, 8).T).tobytes())  # planes of bytes shrink when shuffled
             return pa.RecordBatch.from_arrays([pa.array(range(cells.parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "cells"])
 
         total = 0
@@ -111,16 +121,17 @@ def count_cells(docs: DataFrame, tokens_of: Callable[[list[bytes]], list[np.ndar
         if total:
             yield made()
 
+    @frugal_group
     def reduce(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         runs = []
         for blob in table.column("cells").to_pylist():
-            planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
-            runs.append(np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u4"), dtype=np.uint32))
-        low = np.sort(np.concatenate(runs))
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(first, len(low)))
-        found = low[first].astype(np.uint64) | np.uint64(part) << np.uint64(32)
+            pairs = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).reshape(-1).view("<u4").reshape(-1, 2)
+            runs.append((np.cumsum(pairs[:, 0], dtype=np.uint32), pairs[:, 1]))
+        low, counts = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.argsort(low, kind="stable")
+        low, counts = counted_cells(low[order], counts[order])
+        found = low.astype(np.uint64) | np.uint64(part) << np.uint64(32)
         width = max(1, (1 << BITMAP_BITS) // cells.parts)
         bits = np.zeros(width, bool)
         bits[cells.slot(found[counts > 1]) % width] = True
@@ -156,12 +167,19 @@ def read_ranks(counted: DataFrame, cells: Cells) -> tuple[np.ndarray, np.ndarray
     return bitmap, chosen["cell"].to_numpy(np.int64).astype(np.uint64), chosen["rank"].to_numpy(np.int64).astype(np.uint64)
 
 
+def _one_of_each_class(table: np.ndarray) -> np.ndarray:
+    """The first row of each token and twin, of rows (token, doc, n, twin, place) in that order."""
+    token, twin = table[0], table[3]
+    return table[:, np.concatenate([[True], (token[1:] != token[:-1]) | (twin[1:] != twin[:-1])])]
+
+
 def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ranks) -> DataFrame:
     """HITS rows. k 1 and 2: classes in the prefix group of ``token`` under each order, of groups with two
     classes or more; the class is named by its least document there, ``twin`` is its digest. k 0: one row for
     each document, token and twin being the two halves of its set's digest."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    @frugal
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, ranked, rank = shared.value
         held: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
@@ -172,8 +190,13 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                     continue
                 table = np.concatenate(rows, axis=1)
                 rows.clear()
-                table = table[:, np.argsort(table[0], kind="stable")]
-                at = _split(cells.part(table[0]), cells.parts)
+                if k:  # of equal sets, the least document goes out
+                    table = _one_of_each_class(table[:, np.lexsort((table[1].astype(np.int64), table[3], table[0]))])
+                    dealt = cells.part(table[0])
+                else:  # a row for each document: not by its set, which may be that of a third of all
+                    dealt = cells.part(mix(table[1]))
+                    table, dealt = table[:, order := np.argsort(dealt, kind="stable")], dealt[order]
+                at = _split(dealt, cells.parts)
                 used = [(p, a, b) for p, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k] * len(used), pa.int32()), pa.array([p for p, _, _ in used], pa.int32()), pa.array([np.ascontiguousarray(table[:, a:b]).tobytes() for _, a, b in used], pa.binary())],
@@ -219,6 +242,7 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
                 total = 0
         yield from made()
 
+    @frugal_group
     def reduce(table: pa.Table) -> pa.Table:
         k = table.column("k")[0].as_py()
         token, doc, n, twin, place = np.concatenate([np.frombuffer(x, np.uint64).reshape(5, -1) for x in table.column("rows").to_pylist()], axis=1)
@@ -226,8 +250,8 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
         if k:
             order = np.lexsort((doc, twin, token))
             token, doc, n, twin, place = (c[order] for c in (token, doc, n, twin, place))
-            class_first = np.concatenate([[True], (token[1:] != token[:-1]) | (twin[1:] != twin[:-1])])
-            token, doc, n, twin, place = (c[class_first] for c in (token, doc, n, twin, place))
+            token, doc, n, twin, place = _one_of_each_class(np.stack([token, doc.view(np.uint64), n, twin, place]))
+            doc = doc.view(np.int64)
             same = token[1:] == token[:-1]
             grouped = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             token, doc, n, twin, place = (c[grouped] for c in (token, doc, n, twin, place))
@@ -239,14 +263,15 @@ def _prefix_groups(docs: DataFrame, size: int, threshold: int, cells: Cells, ran
     return settle(made.groupBy("k", "part").applyInArrow(reduce, HITS), "prefixes")
 
 
-def _bounded_broadcast(df: DataFrame) -> DataFrame:
+def bounded_broadcast(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it has at most SMALL_ROWS rows (of a few numbers each)."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def _compare(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Those (x, y) of ``pairs`` whose whole sets reach the threshold."""
+    """Those (x, y) of ``pairs``, which are settled and go, whose whole sets reach the threshold."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "tx", 1 << 20):
             left, right = (shingle_sets(utf8(batch.column(c)), size) for c in ("tx", "ty"))
@@ -257,10 +282,12 @@ def _compare(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = settle(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(_bounded_broadcast(wanted), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(bounded_broadcast(wanted), "doc_id", "left_semi")
     x = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
     y = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long").distinct()
+    links = settle(pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long").distinct(), "links")
+    unsettle(wanted, pairs)
+    return links
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +303,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = Cells(parts_for(spark))
-    ranks = read_ranks(count_cells(docs, partial(shingle_sets, size=size), cells, RANKED_FROM), cells)
+    counted = count_cells(docs, partial(shingle_sets, size=size), cells, RANKED_FROM)
+    ranks = read_ranks(counted, cells)
+    unsettle(counted)
     hits = _prefix_groups(docs, size, threshold, cells, ranks)
 
     near = f"100 * least(n, other) >= {threshold} * greatest(n, other) AND 100 * least(shared, other_shared) >= {threshold} * (n + other - least(shared, other_shared))"
@@ -293,7 +322,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
         y = second.select(F.col("doc").alias("y"), F.col("tokens").alias("ty"))
         return settle(pairs.join(x, "x").join(y, "y").filter(F.arrays_overlap("tx", "ty")).select("x", "y"), "pairs")
 
-    links = settle(_compare(both_orders(tried), docs, size, threshold), "links")
+    links = _compare(both_orders(tried), docs, size, threshold)
     roots = connected_components(links, "x", "y")
 
     rooted = first.join(roots, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "shared", "place", F.coalesce("root", "doc").alias("root"))
@@ -302,7 +331,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
     other = rest.select("token", F.col("doc").alias("y"), F.col("n").alias("other"), F.col("shared").alias("other_shared"), F.col("place").alias("other_place"), F.col("root").alias("other_root"))
     pairs = rest.withColumnRenamed("doc", "x").join(other, "token").filter("x < y AND root <> other_root").filter(near).select("x", "y").distinct()
     pairs = pairs.join(tried, ["x", "y"], "left_anti")
-    links = settle(links.union(_compare(both_orders(pairs), docs, size, threshold)), "links")
+    links = links.union(_compare(both_orders(pairs), docs, size, threshold))
+    unsettle(rest)
     roots = connected_components(links, "x", "y")
 
     own = hits.filter("k = 0").select(F.col("doc").alias("doc_id"), "n", "token", "twin")
@@ -317,5 +347,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
 def one_of_each(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` without the rows whose component has a document of a smaller doc_id; rows without doc_id stay."""
     classes, _ = jaccard_components(docs, size, threshold)
-    gone = classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = classes.filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
