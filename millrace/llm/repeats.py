@@ -21,16 +21,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow_docs import slices, utf8
-from millrace.llm.shingle_join import Cells, count_cells, parts_for, read_ranks
+from millrace.llm.arrow_docs import frugal, frugal_group, slices, utf8
+from millrace.llm.shingle_join import Cells, bounded_broadcast, count_cells, parts_for, read_ranks
 from millrace.llm.word_hashes import gram_hashes, mix, range_hashes
-from millrace.session import settle
+from millrace.session import settle, unsettle
 
 #: Bytes of the k-grams that lead strings: long ones meet less by chance, short ones make fewer pieces.
 GRAM = 20
 RUN_BYTES = 16 << 20
-#: Copies of whole documents up to which their ids go to all workers.
-MOST_COPIES = 1 << 22
+#: Bytes that are copied by their places at once.
+AT_ONCE = 1 << 20
 _SEPARATOR = 0xFF  # never part of UTF-8
 
 
@@ -76,9 +76,28 @@ def _keys(texts: list[bytes], least: int, gram: int) -> list[np.ndarray]:
     return [keys, keys[counts > 1]]
 
 
-def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes of all ranges, one after the other."""
-    return data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to AT_ONCE or a little more."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE)) + 1
+        yield a, min(b, len(sizes))
+        a = b
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gap: int = 0) -> np.ndarray:
+    """The bytes of all ranges, one after the other, with ``gap`` separators after each."""
+    out = np.full(int(sizes.sum()) + gap * len(sizes), _SEPARATOR, np.uint8)
+    at = 0
+    for a, b in _blocks(sizes):  # places take eight bytes each, so only some at once
+        size = sizes[a:b]
+        before = np.cumsum(size) - size
+        steps = np.arange(size.sum())
+        to = steps + np.repeat(at + gap * np.arange(b - a), size) if gap else slice(at, at + len(steps))
+        out[to] = data[np.repeat(starts[a:b] - before, size) + steps]
+        at += len(steps) + gap * (b - a)
+    return out
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -177,6 +196,7 @@ def _settle_equal(key, mark, doc, digest):
 def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    @frugal
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -223,6 +243,7 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
         if held:
             yield from made()
 
+    @frugal_group
     def reduce(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         blobs = table.column("blob").to_pylist()
@@ -243,11 +264,8 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
             differ = np.minimum.reduceat(doc[heads], edge) < np.maximum.reduceat(doc[heads], edge)
             heads = heads[differ[group]]
             if len(heads):
-                text = np.full((sizes[heads] + 1).sum(), _SEPARATOR, np.uint8)
-                ends = np.cumsum(sizes[heads] + 1)
-                begins = ends - sizes[heads] - 1
-                inside = np.repeat(begins - (np.cumsum(sizes[heads]) - sizes[heads]), sizes[heads]) + np.arange(sizes[heads].sum())
-                text[inside] = gathered(data, at[heads], sizes[heads])
+                text = gathered(data, at[heads], sizes[heads], gap=1)
+                begins = np.cumsum(sizes[heads] + 1) - sizes[heads] - 1
                 number = np.repeat(np.arange(len(heads)), sizes[heads] + 1)
                 places = np.sort(later_strings(text, doc[heads][number], least))
                 which = number[places]
@@ -283,6 +301,7 @@ def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return start[at], reach[np.append(at[1:], len(start)) - 1]
 
 
+@frugal_group
 def _merge(table: pa.Table) -> pa.Table:
     doc, digest, start, end = np.concatenate([np.frombuffer(b, np.int64).reshape(4, -1) for b in table.column("blob").to_pylist()], axis=1)
     order = np.lexsort((start, digest, doc))
@@ -306,7 +325,9 @@ def repeated_spans(docs: DataFrame, least: int = 50, gram: int | None = None) ->
     """
     gram = gram or min(GRAM, max(1, least * 3 // 5))
     cells = Cells(min(1 << 16, 8 * parts_for(docs.sparkSession)))  # a reducer needs some fifty bytes of memory for each of its part's text
-    bitmap, _, _ = read_ranks(count_cells(docs, partial(_keys, least=least, gram=gram), cells, 1 << 62), cells)
+    counted = count_cells(docs, partial(_keys, least=least, gram=gram), cells, 1 << 62)
+    bitmap, _, _ = read_ranks(counted, cells)
+    unsettle(counted)
     return _meet(docs, least, gram, cells, bitmap).groupBy("part").applyInArrow(_merge, "doc long, mark long, spans binary")
 
 
@@ -329,17 +350,12 @@ def remove_repeats(docs: DataFrame, least: int = 50, with_text: bool = False) ->
     once = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count() == 0
     digest = F.lit(0).cast("long") if once else F.xxhash64(text_)  # tells apart the texts of rows that share a doc_id
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), text_.alias("text"))
-    copies = settle(_copies(source), "copies")
-    few = copies.limit(MOST_COPIES + 1).count() <= MOST_COPIES
-    rest = source
-    if few:  # a copy's strings all start in the document that it copies; leaving it out saves work only
-        source = source.join(F.broadcast(copies), ["doc_id", "digest"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
-        rest = source.filter("NOT copied").drop("copied")
-    else:
-        source = source.withColumn("copied", F.lit(False))
-    spans = settle(repeated_spans(rest, least), "spans")
+    copies = settle(_copies(source), "copies")  # a copy's strings all start in the document that it copies; leaving it out saves work only
+    source = source.join(bounded_broadcast(copies), ["doc_id", "digest"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    spans = settle(repeated_spans(source.filter("NOT copied").drop("copied"), least), "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
