@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, packing, quality_rules, shingle_join
-from millrace.session import scratch
+from millrace.session import drop_folder, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +40,24 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("sequences", sequences)]
 
-#: No SQL form: edit distances, embeddings and token ids. Tests hold run() against brute force.
+#: No SQL form: edit distances, embeddings and token ids. Tests hold the stages' decisions against planted cases.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole table documents."""
+    """The stages in order over the whole table documents.
+
+    Null texts and texts without words fail the quality rules; an empty table gives no rows. Rows that repeat go on
+    together until the near copies, where rows that share a doc_id stay or go together; rows with a null doc_id
+    are no copies and hold no items. Texts of any length are read whole. A stage's folder goes once the next is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return docs
