@@ -1,22 +1,20 @@
 """Line dedup: a segment-partition edit join over the distinct lines of all documents, in DataFrame functions only.
 
-A line is cut into ``edits`` + 1 segments. A line within that many edits of it holds one of the segments whole,
-near its place. So each line is listed under its segments (length, number, content) and asked for under those of
-its substrings that could be a segment of a line as long or a little shorter; which substrings follows from the
-lengths and the number. Pairs that meet are verified by an edit distance in bits along the diagonal band.
-
-A segment that many lines hold is not joined pair by pair. With one edit allowed, its lines are listed instead
-under themselves with each one character left out: lines that differ in one character meet under the same place
-and rest, and each such group is linked to its earliest line only; a line with one character more meets the
-other itself. That is the line's length in rows, whatever the size of the group.
-
-With classes of length (``CLASSES``) the edits grow with the longer line. Half of the segments are counted from
-the front and half from the end, and their places depend on the class alone, so lengths need no keys of their own.
-Of 2m segments and 2m - 1 edits one half has at most m - 1 edits, hence a segment j of it, counted from its end of
-the line, that is whole and has j edits outside it: it has moved by j characters at most. Under a crowded segment
-of a class with several edits, lines are first held against the segment's earliest line; a line that no link makes
-late by then is compared with all earlier ones of that segment. Groups of near copies are linear by this, lines
-that share a crowded segment only by chance are not.
+The edits that are allowed grow with the longer line (``CLASSES``: classes of length). A line of a class with ``edits``
+is cut into ``edits`` + 1 segments or one more, half of them counted from the front and half from the end, at places
+that depend on the class alone, so lengths need no keys of their own. Of 2m segments and 2m - 1 edits one half has
+at most m - 1 edits, hence a segment j of it, counted from its end of the line, that is whole and has j edits
+outside it: it has moved by j characters at most. So each line is listed under its own segments and asks under its
+substrings at places shifted by up to j. Pairs that meet are verified by the banded edit distance.
+
+Most segments are nobody else's. Rows are kept from the shuffle by bits of fixed number, set for the hashes of own
+segments: an asking row passes if some line owns its hash, an owning row if another line owns it or a row that
+passed asks for it. A false hit costs work only.
+
+Under each segment, lines are first held against its earliest owner; a line that no link makes late by then is
+held against all earlier ones of that segment, in blocks of CROWD owners. Groups of near copies are linear by
+this. Lines that share a segment without being near, and are near no earlier line, meet in pairs; of these only those
+are verified whose counts of LETTERS allow it: an edit changes one count up and one down at most.
 """
 
 from __future__ import annotations
@@ -26,16 +24,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import unused
 from millrace.llm.quality_rules import NOT_SPACE, let
-from millrace.session import settle
+from millrace.session import settle, unsettle
 
-#: Lines listed under one segment up to which all pairs of them are compared.
-CROWD = 64
+#: Owners of a segment that one block of comparisons holds.
+CROWD = 256
 SMALL_ROWS = 1 << 19
+#: Bits for the hashes of segments, 64 to a row of what the executors get: two million rows of two numbers.
+CELL_BITS = 27
+#: Characters that are counted; any would do, frequent ones come first as they tell most lines apart.
+LETTERS = "eanirtsoldhucmpgbfvyqwkjxz0123456789"
 #: (least characters, edits): two more edits each time that the length doubles.
 CLASSES = ((32, 1), (64, 1), *((64 << i, 2 * i + 1) for i in range(1, 11)))
-#: Parts in which the lines of a crowded segment are compared.
-BLOCKS = 16
 _BITS = 62
 _MASK = (1 << _BITS) - 1
 
@@ -117,106 +118,144 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return let(_without_affixes(a, b), banded)
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """(start from 0, size) of a segment; the first ones are a character shorter if the length does not divide."""
-    short = ((length - length % parts) / parts).cast("int")
-    longer = length - short * parts  # so many of the last segments have one character more
-    start = short * number + F.greatest(F.lit(0), longer - (parts - number))
-    return start, short + F.when(F.lit(number) >= parts - longer, 1).otherwise(0)
-
-
-def _listings(line: Column, n: Column, edits: int) -> Column:
-    """array<struct(key, own)>: own keys, under which the line is found, and those under which it looks for shorter lines.
-
-    ``n`` must be a column: it is read many times. Lines must have more than ``2 * edits`` characters; then all
-    substrings lie inside the line.
-    """
-    parts, out = edits + 1, []
-    for gap in range(edits + 1):
-        length = n - gap
-        for i in range(parts):
-            start, size = _segment(length, i, parts)
-            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, size))
-                out.append(F.struct(key.alias("key"), F.lit(gap == 0 and shift == 0).alias("own")))
-    return F.array(*out)
-
-
-def _shapes(number: int, least: int, edits: int, only_own: bool = False) -> Column:
-    """array<struct(segment, at, size, kind)> of a class; ``at`` counts from 0, or from the line's end if negative; ``kind`` is twice the class, and one more for own segments."""
+def _shapes(number: int, least: int, edits: int, own: bool, asks: bool) -> list[str]:
+    """SQL structs (segment, at, size, own) of a class; ``at`` counts from 0, or from the line's end if negative."""
     half = edits // 2 + 1
     size = (least - edits) // (2 * half)
     if size < 1:
         raise ValueError(f"lines of {least} characters are too short for {edits} edits")
     out = []
     for j in range(half):
-        for shift in (0,) if only_own else range(-j, j + 1):
-            for back, at in ((0, j * size + shift), (1, shift - (j + 1) * size)):
-                out.append(f"struct({number * 64 + 2 * j + back} AS segment, {at} AS at, {size} AS size, {2 * number + (shift == 0)} AS kind)")
-    return F.expr(f"array({', '.join(out)})")
+        for shift in range(-j, j + 1):
+            if own if shift == 0 else asks:
+                for back, at in ((0, j * size + shift), (1, shift - (j + 1) * size)):
+                    out.append(f"struct({number * 64 + 2 * j + back} AS segment, {at} AS at, {size} AS size, {shift == 0} AS own)")
+    return out
 
 
-def _class_listings(line: Column, n: Column, classes: tuple) -> Column:
-    """array<struct(key, kind)>: the line is found under its own segments, also those of the next class if a line of that could be near, and looks under those of its class."""
-    uppers = [c[0] for c in classes[1:]]
-    main, also = F.lit(None), F.lit(None)
-    for i in reversed(range(len(classes))):
-        main = F.when(n >= classes[i][0], _shapes(i, *classes[i])) if i == len(classes) - 1 else F.when(n < uppers[i], _shapes(i, *classes[i])).otherwise(main)
-        if i:
-            next_class = (n < classes[i][0]) & (n >= classes[i][0] - classes[i][1])
-            also = F.when(next_class, _shapes(i, *classes[i], only_own=True)) if i == len(classes) - 1 else F.when(next_class, _shapes(i, *classes[i], only_own=True)).otherwise(also)
-    shapes = F.concat(main, F.coalesce(also, F.filter(_shapes(0, *classes[0]), lambda s: F.lit(False)))) if len(classes) > 1 else main
+def _keyed(lines: DataFrame, classes: tuple, own: bool, asks: bool) -> DataFrame:
+    """(key, h, own): the rows of all lines (h, line, n), those of their own segments, those that ask, or both.
 
-    def key(s: Column) -> Column:
-        start = F.when(s["at"] < 0, n + s["at"]).otherwise(s["at"])
-        return F.struct(F.xxhash64(s["segment"], F.substring(line, start + 1, s["size"])).alias("key"), s["kind"].alias("kind"))
-
-    return F.transform(shapes, key)
+    A line is also listed in the next class if a line of that could be near.
+    """
+    main, after = [], []
+    for i, (least, edits) in enumerate(classes):
+        below = f"n < {classes[i + 1][0]}" if i + 1 < len(classes) else "true"
+        if shapes := _shapes(i, least, edits, own, asks):
+            main.append(f"WHEN n >= {least} AND {below} THEN array({', '.join(shapes)})")
+        if i and own:
+            after.append(f"WHEN n >= {least - edits} AND n < {least} THEN array({', '.join(_shapes(i, least, edits, True, False))})")
+    chosen = f"CASE {' '.join(main)} END"
+    if after:
+        none = f"filter(array({_shapes(0, *classes[0], True, False)[0]}), x -> false)"
+        chosen = f"concat({chosen}, CASE {' '.join(after)} ELSE {none} END)"
+    plain = F.octet_length("line") == F.col("n")  # then bytes are characters, and no walk leads to a place
+    rows = lines.filter(F.col("n") >= classes[0][0]).select("h", "line", "n", plain.alias("plain"), F.explode(F.expr(chosen)).alias("s"))
+    start = F.when(F.col("s.at") < 0, F.col("n") + F.col("s.at")).otherwise(F.col("s.at")) + 1
+    cut = lambda text: F.xxhash64("s.segment", F.substring(text, start, F.col("s.size")))
+    return rows.select(F.when(F.col("plain"), cut(F.col("line").cast("binary"))).otherwise(cut(F.col("line"))).alias("key"), "h", F.col("s.own").alias("own"))
+
+
+def _word() -> Column:
+    return F.shiftrightunsigned("key", 64 - CELL_BITS + 6).alias("word")
+
+
+def _bit() -> Column:
+    return F.call_function("shiftleft", _bits(1), F.shiftrightunsigned("key", 64 - CELL_BITS).cast("int") % 64)
+
+
+def _with_bits(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows (key, h, own) whose bit ``words`` (word, bits) has: at most 2 ** (CELL_BITS - 6) rows, so they may be broadcast."""
+    return rows.withColumn("word", _word()).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(_bit()) != 0).select("key", "h", "own")
+
+
+def meetings(lines: DataFrame, classes: tuple) -> DataFrame:
+    """(key, h, own, owners): rows of segments that a line owns and another owns or asks for."""
+    owned = settle(_keyed(lines, classes, own=True, asks=False), "owned")
+    keys = owned.select(_word(), "key", F.shiftright("h", 33).cast("int").alias("t")).repartition("word").groupBy("word", "key").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    bits = settle(keys.groupBy("word").agg(F.bit_or(_bit()).alias("seen"), F.bit_or(F.when(F.col("low") < F.col("high"), _bit()).otherwise(_bits(0))).alias("twice")), "bits")
+    asking = settle(_with_bits(_keyed(lines, classes, own=False, asks=True), bits.select("word", F.col("seen").alias("bits"))), "asking") if any(e > 1 for _, e in classes) else None
+    wanted = bits.select("word", F.col("twice").alias("bits")).filter("bits <> 0")
+    if asking is not None:
+        wanted = settle(wanted.union(asking.select(_word(), _bit())).groupBy("word").agg(F.bit_or("bits").alias("bits")), "wanted")
+    rows = _with_bits(owned, wanted)
+    rows = (rows if asking is None else rows.union(asking)).repartition("key").groupBy("key", "h").agg(F.max("own").alias("own"))
+    same = Window.partitionBy("key")
+    counted = rows.select("*", F.count_if("own").over(same).alias("owners"), F.count("*").over(same).alias("all"))
+    met = settle(counted.filter("owners > 0 AND all > 1").select("key", "h", "own", "owners"), "met")
+    unsettle(owned, bits, *([] if asking is None else [asking, wanted]))
+    return met
 
 
-def _near(a: Column, b: Column, n: Column, m: Column, classes: tuple) -> Column:
-    """Whether lines of n and m characters are within the edits of the longer one's class."""
+def _allowed(n: Column, m: Column, classes: tuple) -> Column:
+    """The edits that lines of n and m characters may differ by."""
     longer, edits = F.greatest(n, m), F.lit(classes[0][1])
     for least, more in classes[1:]:
         edits = F.when(longer >= least, more).otherwise(edits)
+    return edits
+
+
+def _near(a: Column, b: Column, n: Column, m: Column, classes: tuple) -> Column:
+    """Whether lines of n and m characters are within the edits of the longer one's class."""
+    edits = _allowed(n, m, classes)
     return F.when(F.abs(n - m) <= edits, F.call_function("levenshtein", a, b, edits) >= 0).otherwise(False)
 
 
-def class_links(distinct: DataFrame, classes: tuple) -> DataFrame:
-    """(x, y): ids of distinct lines within the edits of their class, x the earlier; each line that has an earlier one gets a link to one at least.
+def _side(line: Column, n: Column, classes: tuple) -> list[Column]:
+    """n, edits (allowed by the line's own length), counted (characters in LETTERS) and the counts of LETTERS, four to a number."""
+    counts = [F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))), F.lit(0xFFFF)).cast("long") for x in LETTERS]
+    words = [reduce(lambda u, v: u.bitwiseOR(v), [F.shiftleft(c, 16 * i) for i, c in enumerate(counts[a : a + 4])]).alias(f"w{a // 4}") for a in range(0, len(counts), 4)]
+    return [n.alias("n"), _allowed(n, n, classes).alias("edits"), reduce(lambda u, v: u + v, counts).alias("counted"), *words]
 
-    ``distinct`` has a number of the line (no), id, line and n.
+
+def _may_be_near(a: Column, b: Column) -> Column:
+    """Whether what _side() says of two lines leaves it open that they are near; false only of lines that are not.
+
+    Of counts that go up by u and down by v in all, u and v are no more than the edits; u + v is summed here, u - v is known.
     """
-    listed = distinct.select("no", F.explode(_class_listings(F.col("line"), F.col("n"), classes)).alias("l")).select("no", "l.key", "l.kind")
-    same = Window.partitionBy("key")
-    own = F.col("kind") % 2 == 1
-    counted = listed.select("key", "no", "kind", F.sum(own.cast("int")).over(same).alias("owned"), F.count("*").over(same).alias("all"))
-    met = settle(counted.filter("owned > 0 AND all > 1").select("key", "no", "kind", own.alias("own"), (F.col("owned") > CROWD).alias("crowded")), "met")
-    plain = met.filter("NOT crowded").select("key", "no", "own")
-    pairs = plain.filter("own").select("key", F.col("no").alias("a")).join(plain.withColumnRenamed("no", "b"), "key")
-    pairs = settle(pairs.filter("a <> b AND (NOT own OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    crowd = met.filter("crowded")
-    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("no")).union(crowd.select("no")).distinct(), "asked")
-    texts = settle(distinct.select("no", "id", "line", "n").join(_few(asked), "no", "left_semi"), "texts")
-    a, b = (texts.select(F.col("no").alias(s), F.struct("id", "line", "n").alias(f"of_{s}")) for s in "ab")
-    near = lambda x, y: _near(x["line"], y["line"], x["n"], y["n"], classes)
-    ends = lambda x, y: (F.least(x["id"], y["id"]).alias("x"), F.greatest(x["id"], y["id"]).alias("y"))
-    of_a, of_b = F.col("of_a"), F.col("of_b")
-    links = settle(pairs.join(a, "a").join(b, "b").filter(near(of_a, of_b)).select(*ends(of_a, of_b)), "links")
-    if crowd.isEmpty():
-        return links
-    single = F.col("kind").isin([2 * i + k for i, c in enumerate(classes) if c[1] == 1 for k in (0, 1)])
-    links = links.union(_one_edit(texts.join(crowd.filter(single).select("no").distinct(), "no", "left_semi")))
-    rows = settle(crowd.filter(~single).select("key", "no", "own").join(texts, "no").select("key", "own", F.struct("id", "line", "n").alias("of_b")), "crowd")
-    heads = rows.filter("own").groupBy("key").agg(F.min("of_b").alias("of_a"))
-    first = rows.join(heads, "key").filter(of_a["id"] != of_b["id"]).filter(near(of_a, of_b)).select(*ends(of_a, of_b)).distinct()
-    links = settle(links.union(first), "links")
-    late = links.select(F.col("y").alias("id")).distinct()
-    askers = rows.join(late, rows["of_b"]["id"] == late["id"], "left_anti")
-    askers = askers.select("key", F.col("own").alias("asks_own"), "of_b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    before = rows.select("key", "own", F.col("of_b").alias("of_a"), F.pmod(F.xxhash64("of_b.id"), F.lit(BLOCKS)).cast("int").alias("block"))
-    more = before.join(askers, ["key", "block"]).filter((F.col("own") | F.col("asks_own")) & (of_a["id"] < of_b["id"])).filter(near(of_a, of_b))
-    return links.union(more.select(of_a["id"].alias("x"), of_b["id"].alias("y")))
+    twice = 2 * F.greatest(a["edits"], b["edits"])
+    one = lambda x, i: F.shiftrightunsigned(x[f"w{i // 4}"], 16 * (i % 4)).bitwiseAND(0xFFFF)
+    gaps = [F.abs(one(a, i) - one(b, i)) for i in range(len(LETTERS))]
+    many = F.abs(a["counted"] - b["counted"])
+    few = reduce(lambda u, v: u + v, gaps[:12]) <= twice
+    return (2 * F.abs(a["n"] - b["n"]) <= twice) & (many <= twice) & few & (reduce(lambda u, v: u + v, gaps) + many <= twice)
+
+
+def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
+    """(h, g) of the distinct lines that are within the edits of their class of an earlier, different line.
+
+    ``lines`` has id, h, g, line and n for every line of every document.
+    """
+    met = meetings(lines, classes)
+    needed = settle(met.select("h").distinct(), "needed")
+    held = lines.select("id", "h", "g", "line", "n").join(_few(needed), "h", "left_semi")
+    held = held.groupBy("h", "g").agg(F.min("id").alias("id"), F.any_value("line").alias("line"), F.any_value("n").alias("n"))
+    texts = settle(held.withColumn("no", F.monotonically_increasing_id()), "texts")
+    unsettle(needed)
+    a, b = (texts.select(F.col("no").alias(s), F.struct("line", "n").alias(f"of_{s}")) for s in "xy")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        of_x, of_y = F.col("of_x"), F.col("of_y")
+        return settle(pairs.distinct().join(a, "x").join(b, "y").filter(_near(of_x["line"], of_y["line"], of_x["n"], of_y["n"], classes)).select("y").distinct(), "late")
+
+    named = texts.select("h", F.struct("id", "no", *_side(F.col("line"), F.col("n"), classes)).alias("at"))
+    named = settle(met.join(named, "h").select("key", "at", "own", "owners"), "named")
+    heads = named.filter("own").groupBy("key").agg(F.min("at").alias("head"))
+    heads_first = F.col("head.id") < F.col("at.id")
+    first, second = (F.when(heads_first, F.col(u)).otherwise(F.col(v)) for u, v in (("head", "at"), ("at", "head")))
+    headed = settle(named.join(heads, "key").filter("at.no <> head.no"), "headed")
+    unsettle(met, named)
+    near = lambda a, b: _may_be_near(F.col(a), F.col(b))
+    late = verified(headed.filter(near("at", "head")).select(first["no"].alias("x"), second["no"].alias("y")))
+    blocks = F.ceil(F.col("owners") / CROWD).cast("int")
+    asks = headed.join(late, headed["at"]["no"] == late["y"], "left_anti").select("key", F.col("at").alias("asker"), F.col("own").alias("asker_owns"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    before = headed.select("key", "at", "own", F.pmod(F.xxhash64("at.no"), blocks).cast("int").alias("block"))
+    more = before.join(asks, ["key", "block"]).filter((F.col("own") | F.col("asker_owns")) & (F.col("at.id") < F.col("asker.id")) & near("at", "asker"))
+    later = verified(more.select(F.col("at.no").alias("x"), F.col("asker.no").alias("y")))
+    every = late.union(later).distinct()
+    found = settle(texts.join(every, texts["no"] == every["y"], "left_semi").select("h", "g"), "late")
+    unsettle(headed, late, later, texts)
+    return found
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -231,83 +270,38 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def line_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
-    """(x, y): ids of distinct lines within ``edits`` edits of each other, x the earlier.
-
-    Of lines under a crowded segment, each gets a link to an earlier line if it has any, not all its links.
-    """
-    listed = distinct.select("id", F.explode("listings").alias("l")).select("id", "l.key", "l.own")
-    counts = listed.groupBy("key").agg(F.count_if("own").alias("own"), F.count("*").alias("all")).filter("own > 0 AND all > 1").select("key", (F.col("own") > CROWD).alias("crowded"))
-    met = settle(listed.join(counts, "key"), "met")
-    plain = met.filter("NOT crowded").select("key", "id", "own")
-    pairs = plain.filter("own").select("key", F.col("id").alias("a")).join(plain.withColumnRenamed("id", "b"), "key")
-    pairs = pairs.filter("a <> b AND (NOT own OR a < b)").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    pairs = settle(pairs, "pairs")
-    crowd = met.filter("crowded").select("id").distinct()
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).union(crowd).distinct()
-    asked = settle(asked, "asked")
-    texts = settle(lines.drop("n").join(_few(asked), "id", "left_semi"), "texts")
-    x = texts.select(F.col("id").alias("x"), F.col("line").alias("a"))
-    y = texts.select(F.col("id").alias("y"), F.col("line").alias("b"))
-    links = pairs.join(x, "x").join(y, "y").filter(within_edits(F.col("a"), F.col("b"), edits)).select("x", "y")
-    crowded = texts.join(_few(settle(crowd, "crowd")), "id", "left_semi")
-    if edits == 1:
-        return links.union(_one_edit(crowded))
-    wide = met.filter("crowded").select("key", "id", "own")
-    more = wide.filter("own").select("key", F.col("id").alias("a")).join(wide.withColumnRenamed("id", "b"), "key").filter("a <> b AND (NOT own OR a < b)")
-    more = more.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    return links.union(more.join(x, "x").join(y, "y").filter(within_edits(F.col("a"), F.col("b"), edits)).select("x", "y"))
-
-
-def _one_edit(crowd: DataFrame) -> DataFrame:
-    """(x, y) links of lines within one edit by leaving out each character, groups linked to their earliest line."""
-    n = F.length("line")
-    holes = crowd.select("id", "line", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
-    rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at") - 1), F.substring(F.col("line"), F.col("at") + 1, F.col("n")))
-    holes = holes.select("id", "n", "at", F.xxhash64(rest).alias("h"), F.xxhash64(F.lit(11), rest).alias("g"))
-    heads = holes.groupBy("n", "at", "h", "g").agg(F.min("id").alias("x"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    swapped = holes.join(heads, ["n", "at", "h", "g"]).filter("id <> x").select("x", F.col("id").alias("y"))
-    whole = crowd.select(F.col("id").alias("short"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"))
-    longer = holes.select("id", "h", "g").distinct().join(whole, ["h", "g"]).select(F.least("id", "short").alias("x"), F.greatest("id", "short").alias("y"))
-    return swapped.union(longer)
-
-
 def dedup_lines(docs: DataFrame, edits: int | tuple = 1, least: int = 32) -> DataFrame:
     """``docs`` with the kept lines as text, and two more columns, n_lines and n_removed.
 
     Lines are what newline characters part. Of lines with at least ``least`` characters, one stays if no line
     of all documents that is equal or within ``edits`` edits comes earlier, by doc_id and then by place; all
-    others go. Shorter lines stay. With classes (least characters, edits) as ``edits``, lines are compared by the
+    others go. Shorter lines stay. Long lines are compared whole. With classes (least characters, edits) as ``edits``, lines are compared by the
     edits of the longer one's class, and from ``least`` characters up to the first class by equality alone; lines
     without anything but white space then stay. Equality is that of 128 bits of hash. A null text stays null with 0 lines;
     an empty one has one empty line. Rows that share doc_id and text are one document, rows that share only
     doc_id are ordered by a hash of the text; a null doc_id comes first. An empty table gives no rows. Other
     columns pass through; columns already named n_lines or n_removed are replaced.
     """
-    classes = edits if isinstance(edits, tuple) else None
-    if classes is None and least <= 2 * edits:
-        raise ValueError(f"lines of {least} characters are too short for {edits} edits")
+    classes = edits if isinstance(edits, tuple) else ((least, edits),)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = _lines(docs, least)
-    twins = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"))
-    if classes:
-        lines = lines.filter(F.col("line").rlike(NOT_SPACE))
-        spread = lines.select("id", *twins, F.when(F.col("n") >= classes[0][0], F.col("line")).alias("line"))
-        distinct = spread.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.any_value("line").alias("line"))
-        distinct = settle(distinct.select("*", F.length("line").alias("n"), F.monotonically_increasing_id().alias("no")), "lines")
-        links = class_links(distinct.filter("n IS NOT NULL"), classes)
-    else:
-        spread = lines.select("id", *twins, _listings(F.col("line"), F.col("n"), edits).alias("listings"))
-        distinct = settle(spread.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.any_value("listings").alias("listings")), "lines")
-        links = line_links(lines, distinct, edits)
-    late = links.select(F.col("y").alias("id")).distinct().withColumn("late", F.lit(True))
-    changed = distinct.select("h", "g", "id", "many").join(late, "id", "left").filter("many > 1 OR late").select("h", "g", F.col("id").alias("head"), F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.select("id", *twins).join(changed, ["h", "g"]).filter("late OR id <> head")
-    by_doc = gone.groupBy(F.col("id.doc").alias("__doc"), F.col("id.mark").alias("__mark")).agg(F.collect_set("id.pos").alias("__gone"))
-    whole = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias("__own"))
-    joined = whole.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    if isinstance(edits, tuple):
+        lines = lines.filter((F.ascii("line") > 32) | F.col("line").rlike(NOT_SPACE))
+    lines = lines.select("id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"), "line", "n")
+    distinct = settle(lines.groupBy("h", "g").agg(F.min("id").alias("head"), F.count("*").alias("many")), "lines")
+    late = late_lines(lines, classes)
+    marked = late.withColumn("late", F.lit(True))
+    changed = distinct.join(_few(marked), ["h", "g"], "left").filter("many > 1 OR late").select("h", "g", "head", F.coalesce("late", F.lit(False)).alias("late"))
+    changed = settle(changed, "changed")
+    unsettle(distinct, late)
+    gone = lines.select("id", "h", "g").join(_few(changed), ["h", "g"]).filter("late OR id <> head")
+    doc, mark, places, own = (unused(docs, c) for c in ("of_doc", "of_text", "places", "own_text"))
+    by_doc = gone.groupBy(F.col("id.doc").alias(doc), F.col("id.mark").alias(mark)).agg(F.collect_set("id.pos").alias(places))
+    whole = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias(own))
+    joined = whole.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)), "left")
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(places))
+    left = let(F.split("text", "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n"))
+    kept = F.when(F.col(places).isNull(), F.col("text")).otherwise(left)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return joined.select(*[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0)).alias("n_removed"))
+    n_removed = F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).cast("long")
+    return joined.select(*[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
