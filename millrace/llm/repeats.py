@@ -325,8 +325,9 @@ def repeated_spans(docs: DataFrame, least: int = 50, gram: int | None = None) ->
     """
     gram = gram or min(GRAM, max(1, least * 3 // 5))
     cells = Cells(min(1 << 16, 8 * parts_for(docs.sparkSession)))  # a reducer needs some fifty bytes of memory for each of its part's text
-    counted = count_cells(docs, partial(_keys, least=least, gram=gram), cells, 1 << 62)
-    bitmap, _, _ = read_ranks(counted, cells)
+    counting = Cells(parts_for(docs.sparkSession))  # a row for each task and part: bits need no more parts than that
+    counted = count_cells(docs, partial(_keys, least=least, gram=gram), counting, 1 << 62)
+    bitmap, _, _ = read_ranks(counted, counting)
     unsettle(counted)
     return _meet(docs, least, gram, cells, bitmap).groupBy("part").applyInArrow(_merge, "doc long, mark long, spans binary")
 
@@ -335,6 +336,7 @@ def _copies(source: DataFrame) -> DataFrame:
     """(doc_id, digest, copied) of documents whose whole text, by 128 bits of hash, a smaller doc_id has."""
     hashed = source.filter("doc_id IS NOT NULL").select("doc_id", "digest", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(11), F.col("text")).alias("g"))
     firsts = hashed.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    firsts = bounded_broadcast(settle(firsts, "firsts"))  # a text of a third of all rows must not meet in one task
     return hashed.join(firsts, ["h", "g"]).filter("doc_id > first").select("doc_id", "digest").distinct().withColumn("copied", F.lit(True))
 
 
