@@ -337,8 +337,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> t
 
     own = hits.filter("k = 0").select(F.col("doc").alias("doc_id"), "n", "token", "twin")
     full = own.filter("n > 0")
-    heads = full.groupBy("token", "twin", "n").agg(F.min("doc_id").alias("head"))
-    headed = full.join(heads, ["token", "twin", "n"]).select("doc_id", "n", "head").union(own.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("head")))
+    heads = full.groupBy("token", "twin", "n").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").drop("last")
+    heads = bounded_broadcast(settle(heads, "heads"))  # a set of a third of all rows must not meet in one task
+    headed = full.join(heads, ["token", "twin", "n"], "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")).union(own.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("head")))
     classes = headed.join(roots, F.col("head") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "head").alias("component_id"), F.col("head").alias("class_id"))
     # rows that share a doc_id are one node
     return classes, links
