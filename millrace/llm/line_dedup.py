@@ -133,11 +133,8 @@ def _shapes(number: int, least: int, edits: int, own: bool, asks: bool) -> list[
     return out
 
 
-def _keyed(lines: DataFrame, classes: tuple, own: bool, asks: bool) -> DataFrame:
-    """(key, h, own): the rows of all lines (h, line, n), those of their own segments, those that ask, or both.
-
-    A line is also listed in the next class if a line of that could be near.
-    """
+def _chosen(classes: tuple, own: bool, asks: bool) -> Column:
+    """array<struct(segment, at, size, own)> of a line of n characters; a line is also listed in the next class if a line of that could be near."""
     main, after = [], []
     for i, (least, edits) in enumerate(classes):
         below = f"n < {classes[i + 1][0]}" if i + 1 < len(classes) else "true"
@@ -149,11 +146,21 @@ def _keyed(lines: DataFrame, classes: tuple, own: bool, asks: bool) -> DataFrame
     if after:
         none = f"filter(array({_shapes(0, *classes[0], True, False)[0]}), x -> false)"
         chosen = f"concat({chosen}, CASE {' '.join(after)} ELSE {none} END)"
+    return F.expr(chosen)
+
+
+def _key(line: Column, n: Column, shape: Column) -> Column:
+    start = F.when(shape["at"] < 0, n + shape["at"]).otherwise(shape["at"]) + 1
+    return F.xxhash64(shape["segment"], F.substring(line, start, shape["size"]))
+
+
+def _keyed(lines: DataFrame, classes: tuple, own: bool, asks: bool) -> DataFrame:
+    """(key, h, own): the rows of all lines (h, line, n), those of their own segments, those that ask, or both."""
     plain = F.octet_length("line") == F.col("n")  # then bytes are characters, and no walk leads to a place
-    rows = lines.filter(F.col("n") >= classes[0][0]).select("h", "line", "n", plain.alias("plain"), F.explode(F.expr(chosen)).alias("s"))
-    start = F.when(F.col("s.at") < 0, F.col("n") + F.col("s.at")).otherwise(F.col("s.at")) + 1
-    cut = lambda text: F.xxhash64("s.segment", F.substring(text, start, F.col("s.size")))
-    return rows.select(F.when(F.col("plain"), cut(F.col("line").cast("binary"))).otherwise(cut(F.col("line"))).alias("key"), "h", F.col("s.own").alias("own"))
+    some = lines.filter((F.octet_length("line") >= classes[0][0]) & (F.col("n") >= classes[0][0]))
+    rows = some.select("h", "line", "n", F.when(plain, F.col("line").cast("binary")).alias("raw"), F.explode(_chosen(classes, own, asks)).alias("s"))
+    n, s = F.col("n"), F.col("s")
+    return rows.select(F.when(F.col("raw").isNotNull(), _key(F.col("raw"), n, s)).otherwise(_key(F.col("line"), n, s)).alias("key"), "h", F.col("s.own").alias("own"))
 
 
 def _word() -> Column:
@@ -238,7 +245,8 @@ def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
         of_x, of_y = F.col("of_x"), F.col("of_y")
         return settle(pairs.distinct().join(a, "x").join(b, "y").filter(_near(of_x["line"], of_y["line"], of_x["n"], of_y["n"], classes)).select("y").distinct(), "late")
 
-    named = texts.select("h", F.struct("id", "no", *_side(F.col("line"), F.col("n"), classes)).alias("at"))
+    keys = F.transform(_chosen(classes, True, False), lambda x: _key(F.col("line"), F.col("n"), x)).alias("keys")
+    named = texts.select("h", F.struct("id", "no", keys, *_side(F.col("line"), F.col("n"), classes)).alias("at"))
     named = settle(met.join(named, "h").select("key", "at", "own", "owners"), "named")
     heads = named.filter("own").groupBy("key").agg(F.min("at").alias("head"))
     heads_first = F.col("head.id") < F.col("at.id")
@@ -250,7 +258,9 @@ def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
     blocks = F.ceil(F.col("owners") / CROWD).cast("int")
     asks = headed.join(late, headed["at"]["no"] == late["y"], "left_anti").select("key", F.col("at").alias("asker"), F.col("own").alias("asker_owns"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     before = headed.select("key", "at", "own", F.pmod(F.xxhash64("at.no"), blocks).cast("int").alias("block"))
-    more = before.join(asks, ["key", "block"]).filter((F.col("own") | F.col("asker_owns")) & (F.col("at.id") < F.col("asker.id")) & near("at", "asker"))
+    shared = F.array_intersect("at.keys", "asker.keys")
+    once = (F.size(shared) == 0) | (F.col("key") == F.array_min(shared))  # lines that own several segments together meet under one
+    more = before.join(asks, ["key", "block"]).filter((F.col("own") | F.col("asker_owns")) & (F.col("at.id") < F.col("asker.id")) & near("at", "asker") & once)
     later = verified(more.select(F.col("at.no").alias("x"), F.col("asker.no").alias("y")))
     every = late.union(later).distinct()
     found = settle(texts.join(every, texts["no"] == every["y"], "left_semi").select("h", "g"), "late")
@@ -262,7 +272,9 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(id, line, n): id is doc_id, a hash of the text and the line's number; only lines of ``least`` characters."""
     parts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("parts"))
     rows = parts.select("doc", "mark", F.posexplode("parts").alias("pos", "line"))  # the text itself must not ride along with each line
-    return rows.select(F.struct("doc", "mark", "pos").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= least)
+    octets = F.octet_length("line")
+    long_enough = (octets >= least) & ((octets >= 4 * least) | (F.length("line") >= least))  # most lines need no count of their characters
+    return rows.filter(long_enough).select(F.struct("doc", "mark", "pos").alias("id"), "line", F.length("line").alias("n"))
 
 
 def _few(df: DataFrame) -> DataFrame:
