@@ -77,6 +77,8 @@ class Scanner:
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         started = self.starts.hits(np.frombuffer(b"\xff" + b"\xff".join(texts), np.uint8)[::-1])[::-1][1:]
         places = np.flatnonzero(started)
+        if not len(places):
+            return out
         owner = np.searchsorted(begins, places, side="right") - 1
         edges = np.flatnonzero(np.diff(owner, prepend=-1))
         for a, b in zip(edges.tolist(), np.append(edges[1:], len(owner)).tolist(), strict=True):

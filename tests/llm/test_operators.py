@@ -593,6 +593,13 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "clean text")], [(1, None), (2, None)], [(1, ""), (2, "")], [(1, "clean"), (2, None), (3, ""), (4, "password=abcdefgh1"), (5, "é" * 40)]])
+def test_secrets_of_clean_batches(spark, rows):
+    for parts in (1, len(rows)):
+        got = {r["doc_id"]: tuple(r)[1:5] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()}
+        assert got == {i: plain_secrets(t) for i, t in rows}
+
+
 def test_automaton_is_minimal_and_right():
     from millrace.llm.regex_automaton import compile_rules
 
