@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
+from millrace.llm import decontaminate, importance, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
 from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -109,6 +109,41 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_documents(spark, sf_dir))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t256(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t256 WHERE k < 8
+), crcs AS (SELECT list(v ORDER BY i) AS tab FROM t256 WHERE k = 8),
+texts AS (
+  SELECT true AS own, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT false, item_id, coalesce(text, '') FROM benchmark
+), w AS (
+  SELECT own, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), g AS (
+  SELECT own, id, array_to_string(w[i:i + k - 1], ' ') AS f
+  FROM (SELECT own, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS r(k))
+), f AS (
+  SELECT f, list_reduce(list_prepend(4294967295, [CAST(concat('0x', h[2 * j - 1:2 * j]) AS BIGINT) FOR j IN range(1, len(h) // 2 + 1)]), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])) AS c
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM g), crcs
+), b AS (SELECT g.own, g.id, xor(f.c, 4294967295) % 10000 AS b FROM g JOIN f USING (f)
+), n AS (
+  SELECT i AS b, CAST(count(b.b) FILTER (own) AS DOUBLE) AS s, CAST(count(b.b) FILTER (NOT own) AS DOUBLE) AS t FROM range(10000) AS r(i) LEFT JOIN b ON b.b = i GROUP BY i
+), gain AS (
+  SELECT b, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n
+), d AS (
+  SELECT id, count(*) AS n_features, sum(gain) AS weight FROM b JOIN gain USING (b) WHERE own GROUP BY id
+), s AS (
+  SELECT w.id AS doc_id, len(w.w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(concat('0x', sha256('42:' || w.id)[1:8]) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN d ON w.id = d.id WHERE w.own
+), r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -121,8 +156,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_secret_scan": op10_secret_scan,
+        "op12_importance": op12_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op12_importance": OP12_SQL}
