@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, importance, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
+from millrace.llm import alignment, decontaminate, importance, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
 from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -113,6 +113,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokenizers(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP12_SQL = r"""
 WITH RECURSIVE t256(i, k, v) AS (
   SELECT i, 0, i FROM range(256) AS r(i)
@@ -157,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_secret_scan": op10_secret_scan,
         "op12_importance": op12_importance,
+        "op13_alignment": op13_alignment,
     }
 
 
