@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import alignment, decontaminate, importance, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
+from millrace.llm import alignment, decontaminate, importance, line_dedup, minhash_join, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc
 from millrace.session import scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -109,6 +109,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = minhash_join.minhash_components(_documents(spark, sf_dir), size=3, threshold=85)
+    return classes.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5)
 
@@ -162,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_secret_scan": op10_secret_scan,
+        "op11_minhash": op11_minhash,
         "op12_importance": op12_importance,
         "op13_alignment": op13_alignment,
     }
