@@ -5,9 +5,10 @@ side has not matched yet; it takes the next token of the side that lags. Transit
 token. An empty residue closes a group: both sides end at the same byte. The token that is taken overlaps the last
 token of the leader, so each step but a group's first makes one link.
 
-Both tokenizers part a text at a single space between two characters that are not white space, whatever comes before
-or after, so both always end there and a group never crosses it. Texts are cut at such spaces, and a worker remembers
-each piece with its groups and links.
+Texts are cut where both tokenizers part them whatever comes before or after: at a single space or line end between two
+characters that are not white space, and before marks that follow a letter. The first side's splitter always parts there; the second
+side's tokens never hold the two bytes beside the cut, which its vocabulary shows. So both sides end at a cut and a group never crosses
+it, and a worker remembers each piece with its groups and links.
 
 How often a pair of ids is linked is counted over the whole corpus. A worker takes documents in batches of bounded
 size; a batch's distinct pairs leave it as rows with their counts, all else goes into the shared folder as one block.
@@ -17,8 +18,8 @@ The corpus-wide counts come back to the batch by a join on the pairs, and each b
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,17 +37,17 @@ from millrace.session import scratch, settle
 
 #: Bytes of text in a batch, unless one document alone has more, and distinct pieces that end one early.
 BATCH_BYTES = 16 << 20
-BATCH_PIECES = 300_000
-#: A worker forgets its pieces after a batch that leaves it with this many, or with so many bytes of them.
-KEPT_PIECES = 150_000
-KEPT_BYTES = 16 << 20
+BATCH_PIECES = 500_000
+#: After a batch that leaves a worker with this many pieces, or with so many bytes of them, it keeps the batch's repeated ones.
+KEPT_PIECES = 300_000
+KEPT_BYTES = 32 << 20
 #: Transitions that a worker remembers.
 KEPT_STEPS = 1 << 18
 
 START, MISMATCH = 0, -1
-_STOP, _CUT = b"\xfe", b"\xff"  # never part of UTF-8
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
-_LETTERS = {b: c for c, b in byte_letters().items()}
+_STOP, _CUT, _BARE = b"\xfe", b"\xff", b"\xfd"  # never part of UTF-8; the last one leads a piece that no space comes before
+#: The splitter of byte-level tokenizers (fixed).
+SPLITTER = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Bytes that may stand beside a cut. White space beyond ASCII, and the mark that stands for a space in pieces, begin with C2, E1, E2 or E3.
 _SEEN = np.zeros(256, bool)
@@ -54,8 +55,14 @@ _SEEN[33:127] = True
 _LEADS = np.zeros(256, bool)
 _LEADS[[0xE1, 0xE2, 0xE3]] = True
 _AFTER = _SEEN.copy()
-_AFTER[0x80:0xFE] = True
+_AFTER[0x80:0xFD] = True
 _AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_LETTER_C3 = np.zeros(256, bool)  # second bytes of letters that begin with C3
+_LETTER_C3[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+_MARK = _SEEN & ~_LETTER
+_MARK[48:58] = False
 
 
 class SuffixTransducer:
@@ -90,26 +97,29 @@ class SuffixTransducer:
         if len(self.steps) > KEPT_STEPS:
             self._forget()
         steps, states = self.steps, self.states
-        at, taken = [0, 0], (a, b)
-        state, groups, links = START, [], []
-        while state != START or at[0] < len(a):
-            side = states[state][0]
-            if at[side] == len(taken[side]):
-                return None
-            token = taken[side][at[side]]
-            at[side] += 1
+        i = j = state = START
+        groups, links = [], []
+        while state != START or i < len(a):
+            if states[state][0] == 0:
+                if i == len(a):
+                    return None
+                key = state << 32 | a[i]
+                i += 1
+            else:
+                if j == len(b):
+                    return None
+                key = state << 32 | b[j]
+                j += 1
             if state != START:
-                links.append(a[at[0] - 1] << 32 | b[at[1] - 1])
-            key = state << 32 | token
-            after = steps.get(key)
-            if after is None:
-                after = steps[key] = self._step(state, token)
-            if after == MISMATCH:
+                links.append(a[i - 1] << 32 | b[j - 1])
+            state = steps.get(key)
+            if state is None:
+                state = steps[key] = self._step(key >> 32, key & 0xFFFFFFFF)
+            if state == MISMATCH:
                 return None
-            state = after
             if state == START:
-                groups.append((at[0], at[1]))
-        return (groups, links) if at[1] == len(b) else None
+                groups.append((i, j))
+        return (groups, links) if j == len(b) else None
 
 
 class Pieces(dict):
@@ -125,64 +135,113 @@ class Pieces(dict):
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        self.model = self.a.model
         of = byte_letters()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
         spelled_a = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             spelled_a[number] = bytes(of[c] for c in token)
+        self.encode_a = self._quick(json.loads(self.a.to_str()), spelled_a) or (lambda text: self.a.encode(text, add_special_tokens=False).ids)
         self.b = SentencePieceProcessor(model_file=b_path)
-        spelled_b = []
+        spelled_b, self.joined = [], np.zeros((256, 256), bool)  # pairs of bytes that some token of the second side holds
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             spelled_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+            at = np.frombuffer(spelled_b[-1], np.uint8)
+            self.joined[at[:-1], at[1:]] = True
         self.transducer = SuffixTransducer(spelled_a, spelled_b)
+        self.lead = self.b.encode("\n")  # the added space and a line end, which no token joins to what follows
+        self.bare = not self.joined[10].any() and len(self.lead) == 2
         self.forget()
 
-    def forget(self) -> None:
+    @staticmethod
+    def _quick(spec: dict, spelled: list[bytes]):
+        """The same ids by ranks, which is three times faster, if the file is a byte-level one whose merges stand in the order of their ids."""
+        model, split = spec["model"], spec["pre_tokenizer"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if spec["normalizer"] or split != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model["end_of_word_suffix"] or model["ignore_merges"]:
+            return None
+        if len(spelled) != 256 + len(merges) or any(model["vocab"].get("".join(m)) != 256 + i for i, m in enumerate(merges)):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=SPLITTER, mergeable_ranks={t: i for i, t in enumerate(spelled)}, special_tokens={}).encode_ordinary
+
+    def forget(self, but: np.ndarray | None = None) -> None:
+        """Forget all pieces but those of these numbers; their numbers change."""
+        kept = []
+        if but is not None:
+            named = list(self)
+            for i in but[but > 1].tolist():
+                kept.append((named[i], tuple(c[i] for c in self.sizes), self.written[i], self.links[self.link_ends[i - 1] : self.link_ends[i]]))
         self.clear()
         self.sizes = [array("q"), array("q"), array("q")]  # tokens of both sides, groups; no tokens where the bytes differ
         self.written: list[bytes] = []
         self.link_ends, self.links = array("q"), array("q")
         self.bytes = 0
-        for piece in (_STOP, b""):
-            self._add(piece, (0, 0, 0), b"", [])
+        for piece in [(_STOP, (0, 0, 0), b"", []), (b"", (0, 0, 0), b"", []), *kept]:
+            self._add(*piece)
 
-    def _add(self, piece: bytes, sizes: tuple[int, int, int], written: bytes, links: list[int]) -> int:
-        number = self[piece] = len(self.written)
+    def _add(self, piece: bytes, sizes: tuple[int, int, int], written: bytes, links: list[int] | array) -> None:
+        self[piece] = len(self.written)
         for column, size in zip(self.sizes, sizes, strict=True):
             column.append(size)
         self.written.append(written)
         self.links.extend(links)
         self.link_ends.append(len(self.links))
         self.bytes += len(piece) + len(written)
-        return number
 
-    def __missing__(self, piece: bytes) -> int:
-        a, b = self._ids(piece)
+    def numbers(self, texts: list[bytes]) -> np.ndarray:
+        """Numbers of the pieces of all texts, 0 between texts and 1 for an empty text."""
+        pieces = self.cut(texts)
+        known = list(map(self.get, pieces))
+        if None not in known:
+            return np.array(known, np.int64)
+        new = list({p for p, n in zip(pieces, known, strict=True) if n is None})
+        bare = [p[:1] == _BARE for p in new]
+        words = [(p[1:] if b else p).decode("utf-8", "replace") for p, b in zip(new, bare, strict=True)]
+        found = self.b.encode([f"\n{w}" if b else w for w, b in zip(words, bare, strict=True)], num_threads=1)
         spelled = self.transducer.spelled[0]
-        found = self.transducer.align(a, b) if b"".join([spelled[i] for i in a]) == b" " + piece else None
-        if found is None:
-            return self._add(piece, (0, 0, 0), b"", [])
-        groups, links = found
-        parts, i, j = [], 0, 0
-        for to_a, to_b in groups:
-            parts.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))};")
-            i, j = to_a, to_b
-        return self._add(piece, (len(a), len(b), len(groups)), "".join(parts).encode(), links)
-
-    def _ids(self, piece: bytes) -> tuple[list[int], list[int]]:
-        """Both sides' ids of a space and the piece."""
-        text = piece.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(piece)  # letters, then marks: two words of the first side's splitter
-        if plain:
-            found = self.model.tokenize((b" " + plain[1]).decode("latin-1").translate(_LETTERS))
-            if plain[2]:
-                found += self.model.tokenize(plain[2].decode())
-            a = [t.id for t in found]
+        for piece, b, word, ids in zip(new, bare, words, found, strict=True):
+            one = self.encode_a(word if b else f" {word}")
+            right = b"".join([spelled[i] for i in one]) == (piece[1:] if b else b" " + piece) and (not b or ids[:2] == self.lead)
+            aligned = self.transducer.align(one, ids[2:] if b else ids) if right else None
+            if aligned is None:
+                self._add(piece, (0, 0, 0), b"", [])
+                continue
+            groups, links = aligned
+            other, parts, i, j = ids[2:] if b else ids, [], 0, 0
+            for to_i, to_j in groups:
+                parts.append(f"{one[i]}|{other[j]};" if to_i == i + 1 and to_j == j + 1 else f"{','.join(map(str, one[i:to_i]))}|{','.join(map(str, other[j:to_j]))};")
+                i, j = to_i, to_j
+            self._add(piece, (len(one), len(other), len(groups)), "".join(parts).encode(), links)
+        return np.array(list(map(self.__getitem__, pieces)), np.int64)
+
+    def cut(self, texts: list[bytes]) -> list[bytes]:
+        """The pieces of all texts, with _STOP between texts; an empty text is an empty piece. The space before a piece is not part of it."""
+        joined = bytearray((_CUT + _STOP + _CUT).join(texts))
+        data = np.frombuffer(joined, np.uint8)
+
+        def parted(at: np.ndarray) -> np.ndarray:
+            """Those of the places that have characters other than white space on both sides."""
+            before = data[at - 1]
+            beyond = (before >= 0x80) & (before < 0xFD) & (data[at - 2] != 0xC2) & ~_LEADS[data[at - 3]]
+            return at[_AFTER[data[at + 1]] & (_SEEN[before] | beyond)]
+
+        spaces = parted(np.flatnonzero(data[3:-1] == 32) + 3)
+        spaces = spaces[~self.joined[data[spaces - 1], 32]]
+        if self.bare:
+            lines = parted(np.flatnonzero(data[3:-1] == 10) + 3)
+            marks = np.flatnonzero(_MARK[data[2:]]) + 2
+            before = data[marks - 1]
+            marks = marks[_LETTER[before] | _LETTER_C3[before] & (data[marks - 2] == 0xC3)]
+            places = np.concatenate([lines, marks])
+            places = places[~self.joined[data[places - 1], data[places]]]
+            data[spaces] = _CUT[0]
+            places.sort()
+            joined = np.insert(data, np.repeat(places, 2), np.tile(np.frombuffer(_CUT + _BARE, np.uint8), len(places))).tobytes()
         else:
-            a = self.a.encode(" " + text, add_special_tokens=False).ids
-        return a, self.b.encode(text)
+            data[spaces] = _CUT[0]
+        return bytes(joined).split(_CUT)
 
 
 @lru_cache(1)
@@ -190,17 +249,6 @@ def pieces_of(a_path: str, b_path: str) -> Pieces:
     return Pieces(a_path, b_path)
 
 
-def cut(texts: list[bytes]) -> list[bytes]:
-    """The pieces of all texts, with _STOP between texts; an empty text is an empty piece."""
-    joined = bytearray((_CUT + _STOP + _CUT).join(texts))
-    data = np.frombuffer(joined, np.uint8)
-    at = np.flatnonzero(data[3:-1] == 32) + 3
-    before = data[at - 1]
-    beyond = (before >= 0x80) & (before < 0xFE) & (data[at - 2] != 0xC2) & ~_LEADS[data[at - 3]]
-    data[at[_AFTER[data[at + 1]] & (_SEEN[before] | beyond)]] = _CUT[0]
-    return bytes(joined).split(_CUT)
-
-
 def _planes(numbers: np.ndarray) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
@@ -226,7 +274,7 @@ class _Batch:
         self.size = 0
 
     def add(self, keys: pa.Array, texts: list[bytes]) -> None:
-        numbers = np.array(list(map(self.pieces.__getitem__, cut(texts))), np.int64)
+        numbers = self.pieces.numbers(texts)
         stops = np.flatnonzero(numbers == 0)
         starts = np.concatenate([[0], stops + 1])
         ends = np.append(stops, len(numbers))
@@ -268,7 +316,7 @@ class _Batch:
         block = _to_block(pa.RecordBatch.from_arrays([pa.array([v], pa.large_binary()) for v in block.values()], list(block)))
         self.tables, self.held, self.size = [], [], 0
         if len(pieces.written) > KEPT_PIECES or pieces.bytes > KEPT_BYTES:
-            pieces.forget()
+            pieces.forget(used[counts[used] > 2][: KEPT_PIECES // 2])
         return block, pairs, linked
 
 
