@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.rows import RowError
+from millrace.sources import json_stream
 from millrace.session import drop_folder
 
 _SPACE = re.compile(r"[ \t\r\n]*")
@@ -56,23 +57,8 @@ def read_json_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(raw): the objects of JSON files. Files in which each line holds whole objects are split and read in parallel;
-    only where an object spans lines is all of the input read by whole files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[str | None, bool]] = []
-            for line in batch.column("value").to_pylist():
-                try:
-                    rows += [(raw, True) for _, raw in json_objects(line)]
-                except ValueError:
-                    rows.append((None, False))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["raw", "whole"])
-
-    by_line = spark.read.text(path).mapInArrow(run, "raw string, whole boolean")
-    if by_line.filter("NOT whole").isEmpty():
-        return by_line.select("raw")
-    return read_json_stream(spark, path).select("raw")
+    """(raw): the objects of JSON files, over lines or not; files are split and read in parallel."""
+    return json_stream.read_objects(spark, path).select("raw")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,9 +97,19 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
 
 
-def _typed(raw: DataFrame) -> DataFrame:
+def _stream_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an object stream; the scan that finds their schema finds the first bad object too."""
+    found = json_stream.found_objects(spark, path)
+    wrong = F.min(F.when(F.col("error").isNotNull(), F.struct("file", "offset", "error"))).alias("e")
+    seen = found.select(F.schema_of_variant_agg(F.when(F.col("error").isNull(), F.try_parse_json("raw"))).alias("s"), wrong).first()
+    if seen["e"]:
+        raise RowError(f"{seen['e']['file']}: {seen['e']['error']}")
+    return _typed(found.select("raw"), seen["s"])
+
+
+def _typed(raw: DataFrame, schema: str | None = None) -> DataFrame:
     """Rows of JSON texts with the schema that all of them together have."""
-    schema = raw.select(F.schema_of_variant_agg(F.parse_json("raw")).alias("s")).first()["s"]
+    schema = schema or raw.select(F.schema_of_variant_agg(F.parse_json("raw")).alias("s")).first()["s"]
     if not schema or schema == "VOID":
         raise RowError("the input has no rows")
     ddl = schema.removeprefix("OBJECT").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
@@ -121,7 +117,7 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 READERS = {
-    "jsonl": lambda spark, path: _typed(read_json_objects(spark, path)),
+    "jsonl": _stream_rows,
     "json": lambda spark, path: _typed(read_json_array(spark, path)),
     "csv": read_csv,
     "parquet": lambda spark, path: spark.read.parquet(path),
