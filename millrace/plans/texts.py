@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, edits, endpoint, repair
+from millrace.operators import best_fit, chunking, edits, endpoint, repair
 from millrace.plans.registry import register, table
 from millrace.session import scratch
 from millrace.sources import files, markup
@@ -63,10 +63,47 @@ def wrapped_packing_totals(spark, sf_dir):
     return wrapped_packing(spark, sf_dir).agg(F.sum("length").alias("tokens"), F.countDistinct("packed").alias("sequences"))
 
 
-@register("best_fit_packing")
+def _best_fit_sql(rows: str, size: int, result: str) -> str:
+    """Best-fit decreasing one row after the other: the rooms of all bins in a list that each step changes at one place."""
+    return f"""WITH RECURSIVE d AS ({rows}), s AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS bin, CAST([] AS BIGINT[]) AS rooms
+      UNION ALL
+      SELECT i, doc_id, n, p - 1, CASE WHEN p <= len(rooms) THEN list_transform(rooms, lambda x, k: CASE WHEN k = p THEN x - n ELSE x END) ELSE list_append(rooms, greatest({size}, n) - n) END
+      FROM (SELECT d.i, d.doc_id, d.n, s.rooms, CASE WHEN len(list_filter(s.rooms, lambda x: x >= d.n)) > 0 THEN list_position(s.rooms, list_min(list_filter(s.rooms, lambda x: x >= d.n))) ELSE len(s.rooms) + 1 END AS p FROM s JOIN d ON d.i = s.i + 1)
+    ) {result}"""
+
+
+@register(
+    "best_fit_packing",
+    _best_fit_sql("SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i, doc_id, CAST(n_chars AS BIGINT) AS n FROM documents", 16384, "SELECT doc_id, CAST(bin AS BIGINT) AS bin FROM s WHERE i > 0"),
+)
 def best_fit_packing(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 100).alias("batch"), "doc_id", "n_chars")
-    return chunking.best_fit_decreasing(rows, "batch", "doc_id", "n_chars", 16384)
+    """Bins of 16384 characters over the whole table, the plan made from the histogram of lengths."""
+    return best_fit.best_fit(_docs(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", 16384, "doc_id").select("doc_id", "bin")
+
+
+@register(
+    "best_fit_bins",
+    _best_fit_sql(
+        """SELECT row_number() OVER (ORDER BY l DESC, doc_id, o) AS i, doc_id, l AS n FROM (SELECT doc_id, o, least(2048, n - o) AS l FROM (SELECT doc_id, n, unnest(range(0, n, 2048)) AS o FROM (SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS n FROM documents)))""",
+        2048,
+        "SELECT CAST(bin AS BIGINT) AS bin, count(*) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, min(doc_id) AS first_doc FROM s WHERE i > 0 GROUP BY bin",
+    ),
+)
+def best_fit_bins(spark, sf_dir):
+    """Totals of bins of 2048 tokens; documents over that are cut."""
+    rows = _docs(spark, sf_dir).select("doc_id", chunking.estimated_tokens(F.col("text")).alias("tokens"))
+    found = best_fit.best_fit_pieces(rows, "doc_id", "tokens", 2048)
+    return found.groupBy("bin").agg(F.count("*").alias("pieces"), F.sum("length").cast("long").alias("tokens"), F.min("doc_id").alias("first_doc"))
+
+
+@register("json_objects_over_lines", "SELECT conv_id, turn, role, text FROM conversations")
+def json_objects_over_lines(spark, sf_dir):
+    """Objects written over several lines each and read back in parallel."""
+    path = scratch(spark, "objects") + ".jsonl"
+    rows = table(spark, sf_dir, "conversations")
+    rows.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.text(path)
+    return files.read_rows(spark, path).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import quality
-from millrace.operators import chunking, pairs, profile, quantize, routing, series
+from millrace.operators import best_fit, chunking, pairs, profile, quantize, routing, series
 from millrace.plans.registry import register, table
 from millrace.session import scratch
 from millrace.streaming import metrics
@@ -97,8 +97,8 @@ def round_trip_counters(spark, sf_dir):
 )
 def split_contributions(spark, sf_dir):
     """Pieces and tokens of each document in best-fit bins of 512 with long rows cut."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("batch"), chunking.estimated_tokens(F.col("text")).alias("tokens"))
-    found = chunking.best_fit_split(rows, "batch", "doc_id", "tokens", 512)
+    rows = _docs(spark, sf_dir).select("doc_id", chunking.estimated_tokens(F.col("text")).alias("tokens"))
+    found = best_fit.best_fit_pieces(rows, "doc_id", "tokens", 512)
     return found.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("length").cast("long").alias("tokens"))
 
 
