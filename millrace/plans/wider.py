@@ -8,7 +8,7 @@ from millrace.functions import quality
 from millrace.operators import best_fit, chunking, pairs, profile, quantize, routing, series
 from millrace.plans.registry import register, table
 from millrace.session import scratch
-from millrace.streaming import metrics
+from millrace.streaming import metrics, stages
 
 
 def _docs(spark, sf_dir):
@@ -167,3 +167,37 @@ def stream_state(spark, sf_dir):
     query.stop()
     found = spark.read.schema("file string, metric string, n long, step long, last double").parquet(folder + "/state")
     return found.select("metric", "n", F.round("last", 6).alias("last"))
+
+
+_STAGES_SQL = """WITH RECURSIVE e AS (
+  SELECT user_id AS u, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'count' ELSE 'note' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), s AS (
+  SELECT DISTINCT u, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS depth, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS counted, CAST(0 AS BIGINT) AS waits, false AS shown, '' AS kind FROM e
+  UNION ALL
+  SELECT u, i, CASE WHEN kind = 'start' THEN depth + 1 WHEN kind IN ('end', 'fail') AND depth > 0 THEN depth - 1 ELSE depth END,
+    CASE WHEN shown OR last IS NULL THEN us ELSE last + waits * 21600000000 END, CASE WHEN shown AND kind = 'count' THEN us ELSE counted END, waits, shown, kind
+  FROM (
+    SELECT e.u, e.i, e.us, e.kind, s.depth, s.last, s.counted, CASE WHEN s.depth > 0 THEN greatest((e.us - s.last - 1) // 21600000000, 0) ELSE 0 END AS waits,
+      CASE WHEN e.kind IN ('start', 'note') THEN true WHEN s.depth = 0 THEN false WHEN e.kind = 'count' THEN s.counted IS NULL OR e.us - s.counted >= 7200000000 ELSE true END AS shown
+    FROM s JOIN e ON e.u = s.u AND e.i = s.i + 1
+  )
+), tail AS (
+  SELECT s.u, CASE WHEN depth > 0 THEN ((SELECT max(us) FROM e) - last) // 21600000000 ELSE 0 END AS waits FROM s JOIN (SELECT u, max(i) AS i FROM e GROUP BY u) m ON s.u = m.u AND s.i = m.i
+), shown AS (
+  SELECT u, kind, CAST(1 AS BIGINT) AS n FROM s WHERE shown UNION ALL SELECT u, 'waiting', waits FROM s WHERE waits > 0 UNION ALL SELECT u, 'waiting', waits FROM tail WHERE waits > 0
+)
+SELECT u AS user_id, kind, CAST(sum(n) AS BIGINT) AS n FROM shown GROUP BY u, kind"""
+
+
+@register("stage_notices", _STAGES_SQL)
+def stage_notices(spark, sf_dir):
+    """Rows shown for each user's jobs, by kind: notices of six hours' silence while a job is open, counts once in two hours."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "click", "count").otherwise("note")
+    rows = _events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit("job").alias("label"), F.col("event_id").alias("completed"), F.lit(None).cast("long").alias("total"), F.lit("events").alias("unit"), F.col("event_type").alias("message")
+    )
+    folder = scratch(spark, "stage-events")
+    rows.write.parquet(folder)
+    shown = stages.replayed(spark, folder, scratch(spark, "stage-shown"), scratch(spark, "stage-state"), wait=21600.0, gap=7200.0)
+    return shown.groupBy(F.col("source").cast("long").alias("user_id"), "kind").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -133,3 +133,16 @@ def stage_notices(events: DataFrame, wait: float = 10.0, gap: float = 1.0, clock
     rows = rows.withColumn("seconds", F.unix_micros("at") / 1e6)
     processor = StageNotices(wait, gap, by_event, forget)
     return rows.groupBy("source").transformWithStateInPandas(processor, outputStructType=SHOWN, outputMode="append", timeMode="EventTime" if by_event else "ProcessingTime")
+
+
+def replayed(spark: SparkSession, folder: str, to: str, checkpoint: str, **how) -> DataFrame:
+    """stage_notices() of the Parquet files of EVENTS in ``folder``, run until all are read, by the events' own clock; the rows are in ``to``."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        out = stage_notices(spark.readStream.schema(EVENTS).parquet(folder), clock="event", **how)
+        out.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(SHOWN).parquet(to)
