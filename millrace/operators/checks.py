@@ -150,10 +150,11 @@ def log_tail(spark: SparkSession, path: str, size: int = 65_536) -> str:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Names for SQL: similarity, label_key, answer_key, answer_scores."""
-    from millrace.functions import quality, rewards
+    """Names for SQL: similarity, label_key, answer_key, answer_scores; the table functions chunk_text, md_sections, heal."""
+    from millrace.functions import quality, rewards, tables
 
     spark.udf.register("similarity", rewards.similarity)
     spark.udf.register("label_key", quality.label_column)
     spark.udf.register("answer_key", quality.answer_column)
     spark.udf.register("answer_scores", quality.answer_scores)
+    tables.register_tables(spark)

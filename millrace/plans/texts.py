@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import best_fit, chunking, edits, endpoint, repair
+from millrace.operators import best_fit, checks, chunking, edits, endpoint, repair
 from millrace.plans.registry import register, table
 from millrace.session import scratch
 from millrace.sources import files, markup
@@ -114,28 +114,66 @@ def budget_fit(spark, sf_dir):
     return chunking.fitted(_docs(spark, sf_dir), "source", "lang", "doc_id", "n_chars", 20000).select("doc_id", "source")
 
 
-_BROKEN = [
-    '{"a": 1,}',
-    "{'a': 'it\\'s', 'b': \"x\"}",
-    "{a: True, b: None}",
-    '{"a": 1}{"b": 2} {"c": 3}',
-    '{"a": [1, 2',
-    '{"a": }',
-    '{"a": 1}',
-    "",
-    '{"a": "cut',
-]
+_HEALED_SQL = """WITH l AS (
+  SELECT user_id, event_id, regexp_extract(props, '[0-9]+') AS k, event_id % 9 AS c, event_id = max(event_id) OVER (PARTITION BY {file}) AS is_last FROM events
+)
+SELECT {columns} event_id AS line_no, CAST(CASE WHEN c = 8 AND is_last THEN -1 ELSE p END AS BIGINT) AS part,
+  CASE WHEN c = 7 THEN '{{"k": }}' WHEN c = 8 AND is_last THEN NULL WHEN c = 8 THEN '{{"k": "cut' WHEN c = 6 THEN '{{"k": [true, ' || k || ', null]}}' ELSE '{{"k": ' || k || '}}' END AS line,
+  CASE c WHEN 1 THEN 'trailing commas (1)' WHEN 2 THEN 'single quotes (1)' WHEN 3 THEN 'unquoted keys (1)' WHEN 4 THEN 'concatenated objects split into 2' WHEN 5 THEN 'unclosed final brace or bracket (1)'
+    WHEN 6 THEN 'Python literals (2)' WHEN 8 THEN CASE WHEN is_last THEN 'truncated last line dropped' ELSE '' END ELSE '' END AS repairs,
+  c = 7 OR c = 8 AND NOT is_last AS failed
+FROM l, (VALUES (0), (1)) t(p) WHERE p = 0 OR c = 4"""
+
+
+def _broken(spark, sf_dir):
+    """Each event's props as a line of JSON, broken in one of eight ways or left whole."""
+    k, way = F.regexp_extract("props", "[0-9]+", 0), F.col("event_id") % 9
+    forms = ["{'k': %s}", "{k: %s}", '{"k": %s}{"k": %s}', '{"k": %s', '{"k": [True, %s, None]}', '{"k": }', '{"k": "cut']
+    line = F.when(way == 0, F.col("props")).when(way == 1, F.format_string('{"k": %s,}', k))
+    for i, form in enumerate(forms, 2):
+        line = line.when(way == i, F.format_string(form, *[k] * form.count("%s")))
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+@register("heal_lines", _HEALED_SQL.format(file="1", columns=""))
+def heal_lines(spark, sf_dir):
+    """All events' broken lines as those of one file."""
+    healed = repair.heal_lines(_broken(spark, sf_dir))
+    return healed.select("line_no", "part", "line", F.array_join("repairs", ";").alias("repairs"), F.col("error").isNotNull().alias("failed"))
+
+
+@register("sql_heal", _HEALED_SQL.format(file="user_id", columns="user_id,"))
+def sql_heal(spark, sf_dir):
+    """The same from SQL, each user's lines being a file."""
+    checks.register_functions(spark)
+    healed = spark.sql("SELECT * FROM heal(TABLE({lines}) PARTITION BY user_id ORDER BY line_no, key => 'user_id', number => 'line_no', line => 'line')", lines=_broken(spark, sf_dir))
+    return healed.select("user_id", "line_no", "part", "line", F.array_join("repairs", ";").alias("repairs"), F.col("error").isNotNull().alias("failed"))
 
 
 @register(
-    "heal_lines",
-    """SELECT CAST(line_no AS BIGINT) AS line_no, CAST(part AS BIGINT) AS part, line, repairs, failed FROM (VALUES (1, 0, '{"a": 1}', 'trailing commas (1)', false), (2, 0, '{"a": "it''s", "b": "x"}', 'single quotes (3)', false), (3, 0, '{"a": true, "b": null}', 'Python literals (2);unquoted keys (2)', false),
-    (4, 0, '{"a": 1}', 'concatenated objects split into 3', false), (4, 1, '{"b": 2}', 'concatenated objects split into 3', false), (4, 2, '{"c": 3}', 'concatenated objects split into 3', false),
-    (5, 0, '{"a": [1, 2]}', 'unclosed final brace or bracket (2)', false), (6, 0, '{"a": }', '', true), (7, 0, '{"a": 1}', '', false), (8, 0, '', '', false), (9, -1, NULL, 'truncated last line dropped', false)) t(line_no, part, line, repairs, failed)""",
+    "sql_chunk_text",
+    r"""SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS characters, true AS numbered, true AS fits, length(text) <= 3.5 * 256 AND NOT regexp_matches(text, '\n\s*\n') AS one FROM documents WHERE regexp_matches(text, '\S')""",
 )
-def heal_lines(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(_BROKEN, 1)), "line_no long, line string")
-    return repair.heal_lines(lines).select("line_no", "part", "line", F.array_join("repairs", ";").alias("repairs"), F.col("error").isNotNull().alias("failed"))
+def sql_chunk_text(spark, sf_dir):
+    """Chunks from SQL: they keep all characters but white space, are numbered without gaps and hold 256 tokens at most."""
+    checks.register_functions(spark)
+    found = spark.sql("SELECT doc_id, chunk_no, chunk FROM chunk_text(TABLE({docs}), key => 'doc_id', text => 'text', most => 256)", docs=_docs(spark, sf_dir).select("doc_id", "text"))
+    solid = F.length(F.regexp_replace("chunk", r"\s", "")).cast("long")
+    chunked = found.groupBy("doc_id").agg(F.sum(solid).alias("characters"), (F.max("chunk_no") + 1 == F.count_distinct("chunk_no")).alias("numbered"), (F.max(chunking.estimated_tokens(F.col("chunk"))) <= 256).alias("fits"), F.count("*").alias("n"))
+    small = _docs(spark, sf_dir).select("doc_id", ((F.length("text") <= 3.5 * 256) & ~F.col("text").rlike(r"\n\s*\n")).alias("small"))
+    return chunked.join(small, "doc_id").select("doc_id", "characters", "numbered", "fits", (F.col("small") & (F.col("n") == 1)).alias("one"))
+
+
+@register(
+    "sql_md_sections",
+    "SELECT doc_id, h AS heading, CAST(l AS BIGINT) AS level, CAST(f AS BIGINT) AS first_line FROM (SELECT doc_id, lang FROM documents), LATERAL (SELECT 'Top ' || lang, 1, 0 UNION ALL SELECT 'Inner', 2, 2 UNION ALL SELECT 'Next', 1, 7) t(h, l, f)",
+)
+def sql_md_sections(spark, sf_dir):
+    """Sections of documents from SQL, the text on a line of its own among headings and a fence."""
+    checks.register_functions(spark)
+    text = F.concat(F.lit("# Top "), "lang", F.lit("\nx\n## Inner\n```\n# no heading\n```\n."), F.regexp_replace("text", r"[\x0A-\x0D\x1C-\x1E\u0085\u2028\u2029]", " "), F.lit("\n# Next\nend"))
+    docs = _docs(spark, sf_dir).select("doc_id", text.alias("text"))
+    return spark.sql("SELECT doc_id, heading, level, first_line FROM md_sections(TABLE({docs}), key => 'doc_id', text => 'text')", docs=docs)
 
 
 @register("html_headings")
