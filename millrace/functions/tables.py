@@ -8,6 +8,7 @@ file in order: ``SELECT * FROM heal(TABLE(lines) PARTITION BY file ORDER BY line
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
@@ -32,36 +33,49 @@ def _named(table: AnalyzeArgument, argument: str, name: AnalyzeArgument, kinds:
     raise ValueError(f"{argument}: the table has no column {name.value}; it has {', '.join(table.dataType.names)}")
 
 
-def _result(key: StructField, *columns: tuple) -> AnalyzeResult:
-    return AnalyzeResult(StructType([StructField(key.name, key.dataType), *[StructField(n, t) for n, t in columns]]))
+@dataclass
+class Found(AnalyzeResult):
+    """The result's columns, and where in a row the named columns are."""
+
+    places: tuple[int, ...] = ()
+
+
+def _result(table: AnalyzeArgument, named: list[StructField], *columns: tuple) -> Found:
+    """``named``: the key and the other columns that are read."""
+    schema = StructType([StructField(named[0].name, named[0].dataType), *[StructField(n, t) for n, t in columns]])
+    return Found(schema, places=tuple(table.dataType.names.index(c.name) for c in named))
 
 
 class ChunkText:
     """(key, chunk_no, chunk): chunks of at most ``most`` estimated tokens, in order; null and blank texts give none."""
 
+    def __init__(self, found: Found):
+        self.key, self.text = found.places
+
     @staticmethod
-    def analyze(table: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument, most: AnalyzeArgument) -> AnalyzeResult:
-        _named(table, "text", text, (StringType,))
+    def analyze(table: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument, most: AnalyzeArgument) -> Found:
         if not most.isConstantExpression or not isinstance(most.value, int) or most.value < 1:
             raise ValueError("most is a whole number of tokens, 1 or more")
-        return _result(_named(table, "key", key), ("chunk_no", LongType()), ("chunk", StringType()))
+        return _result(table, [_named(table, "key", key), _named(table, "text", text, (StringType,))], ("chunk_no", LongType()), ("chunk", StringType()))
 
     def eval(self, row: Row, key: str, text: str, most: int) -> Iterator[tuple]:
-        for n, chunk in enumerate(chunks(row[text] or "", most)):
-            yield row[key], n, chunk
+        for n, chunk in enumerate(chunks(row[self.text] or "", most)):
+            yield row[self.key], n, chunk
 
 
 class MarkdownSections:
     """(key, heading, level, first_line, end_line, body) of each text's sections by its headings."""
 
+    def __init__(self, found: Found):
+        self.key, self.text = found.places
+
     @staticmethod
-    def analyze(table: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
-        _named(table, "text", text, (StringType,))
-        return _result(_named(table, "key", key), ("heading", StringType()), ("level", LongType()), ("first_line", LongType()), ("end_line", LongType()), ("body", StringType()))
+    def analyze(table: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument) -> Found:
+        return _result(table, [_named(table, "key", key), _named(table, "text", text, (StringType,))], ("heading", StringType()), ("level", LongType()), ("first_line", LongType()), ("end_line", LongType()), ("body", StringType()))
 
     def eval(self, row: Row, key: str, text: str) -> Iterator[tuple]:
-        for section in markdown_sections(row[text] or ""):
-            yield row[key], *section
+        for section in markdown_sections(row[self.text] or ""):
+            yield row[self.key], *section
 
 
 class Heal:
@@ -71,14 +85,14 @@ class Heal:
     then it is known that they are not the last.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, found: Found):
+        self.key, self.number, self.line = found.places
         self.held: list[tuple] = []
 
     @staticmethod
-    def analyze(table: AnalyzeArgument, key: AnalyzeArgument, number: AnalyzeArgument, line: AnalyzeArgument) -> AnalyzeResult:
-        _named(table, "number", number, (IntegralType,))
-        _named(table, "line", line, (StringType,))
-        return _result(_named(table, "key", key), ("line_no", LongType()), ("part", LongType()), ("line", StringType()), ("repairs", ArrayType(StringType())), ("error", StringType()))
+    def analyze(table: AnalyzeArgument, key: AnalyzeArgument, number: AnalyzeArgument, line: AnalyzeArgument) -> Found:
+        named = [_named(table, "key", key), _named(table, "number", number, (IntegralType,)), _named(table, "line", line, (StringType,))]
+        return _result(table, named, ("line_no", LongType()), ("part", LongType()), ("line", StringType()), ("repairs", ArrayType(StringType())), ("error", StringType()))
 
     def _healed(self, is_last: bool) -> Iterator[tuple]:
         for key, number, line in self.held:
@@ -88,10 +102,10 @@ class Heal:
         self.held = []
 
     def eval(self, row: Row, key: str, number: str, line: str) -> Iterator[tuple]:
-        text = row[line] or ""
+        text = row[self.line] or ""
         if text.strip():
             yield from self._healed(False)
-        self.held.append((row[key], row[number], text))
+        self.held.append((row[self.key], row[self.number], text))
 
     def terminate(self) -> Iterator[tuple]:
         yield from self._healed(True)
