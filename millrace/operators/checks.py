@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import identity_tree
 from millrace.operators.profile import ordered_digest
 from millrace.operators.rows import RowError, dedup_append
 
@@ -52,10 +53,15 @@ def inspect_inputs(df: DataFrame, prompt_tokens: str, new_tokens: int, window: i
 
 
 def input_identity(df: DataFrame, order: str, ids: str) -> DataFrame:
-    """SHA-256 over the token ids of all rows as JSON lines, in order; they stream through one task."""
+    """SHA-256 over the token ids of all rows as JSON lines, in order: defined from front to back, see ordered_digest(). input_tree() has no task that sees all."""
     return ordered_digest(df, order, F.encode(F.concat(F.to_json(F.col(ids)), F.lit("\n")), "UTF-8"), "identity").select("identity")
 
 
+def input_tree(df: DataFrame, order: str, ids: str, fan: int = 4096) -> DataFrame:
+    """The nodes of an identity_tree over the token ids of each row as a JSON line; another value than input_identity()."""
+    return identity_tree.tree(df, order, F.sha2(F.concat(F.to_json(F.col(ids)), F.lit("\n")), 256), fan)
+
+
 def response_ids(full: Column, prompt_tokens: Column) -> Column:
     """The ids after the prompt's."""
     return F.slice(full, prompt_tokens + 1, F.greatest(F.size(full) - prompt_tokens, F.lit(0)))

@@ -7,10 +7,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import identity_tree
 from millrace.operators.order import running_sum
+from millrace.session import settle
 
 
 def row_digest(*columns: str) -> Column:
@@ -21,19 +25,29 @@ def row_digest(*columns: str) -> Column:
 def ordered_digest(df: DataFrame, order: str, piece: Column, into: str) -> DataFrame:
     """One row: SHA-256 over the binary pieces in order (then by piece), and n_rows.
 
-    Such a digest is defined from front to back: sorted ranges stream through one task, which holds a batch at a time.
+    Such a digest is defined from front to back, so one task must see all pieces. They are sorted and written by ranges
+    first, in parallel; the one task only reads these files one after the other, a batch at a time. identity_tree has
+    no such task.
     """
+    pieces = settle(df.select(F.col(order).alias("o"), piece.alias("piece")).orderBy("o", "piece"), "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, n = hashlib.sha256(), 0
         for batch in batches:
-            for x in batch.column("piece").to_pylist():
-                digest.update(x)
-            n += batch.num_rows
+            for folder in batch.column("folder").to_pylist():
+                system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+                found = system.get_file_info(fs.FileSelector(path))
+                for name in sorted(f.path for f in found if f.base_name.startswith("part-")):  # parts are numbered by range
+                    with system.open_input_file(name) as handle:
+                        for rows in pq.ParquetFile(handle).iter_batches(columns=["piece"]):
+                            for x in rows.column("piece").to_pylist():
+                                if x is not None:
+                                    digest.update(x)
+                            n += rows.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], [into, "n_rows"])
 
-    pieces = df.select(F.col(order).alias("o"), piece.alias("piece"))
-    return pieces.orderBy("o", "piece").coalesce(1).select("piece").mapInArrow(run, f"`{into}` string, n_rows long")
+    spark = df.sparkSession
+    return spark.range(1).select(F.lit(pieces.settled_at).alias("folder")).coalesce(1).mapInArrow(run, f"`{into}` string, n_rows long")
 
 
 def fingerprint(df: DataFrame, order: str, *columns: str) -> DataFrame:
@@ -42,12 +56,8 @@ def fingerprint(df: DataFrame, order: str, *columns: str) -> DataFrame:
 
 
 def tree_fingerprint(df: DataFrame, order: str, *columns: str, chunk: int = 100_000) -> DataFrame:
-    """As fingerprint(), over the fingerprints of runs of ``chunk`` order values: no row holds more than a run."""
-    runs = df.groupBy(F.floor(F.col(order) / chunk).alias("run")).agg(
-        F.sha2(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row_digest(*columns).alias("d")))), lambda x: x["d"]), "")), 256).alias("d"),
-        F.count("*").alias("n"),
-    )
-    return runs.agg(F.sha2(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "d"))), lambda x: x["d"]), "")), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
+    """As fingerprint(), over the fingerprints of runs of ``chunk`` order values, and over those of ``chunk`` runs, up to one: no row holds more."""
+    return identity_tree.root(identity_tree.tree(df, order, row_digest(*columns), chunk)).select("fingerprint", "n_rows")
 
 
 def duplicates(df: DataFrame, digest: Column, index: str) -> DataFrame:

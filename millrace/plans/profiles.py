@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import pairs, profile, quantize
+from millrace.operators import checks, identity_tree, pairs, profile, quantize
 from millrace.plans.registry import register, table
 
 
@@ -50,6 +50,25 @@ def dataset_fingerprint(spark, sf_dir):
     return profile.fingerprint(_docs(spark, sf_dir), "doc_id", "source", "doc_id", "n_chars")
 
 
+_TREE_SQL = """WITH d AS (SELECT doc_id, sha256('[' || doc_id || ',' || n_chars || ']' || chr(10)) AS d FROM documents),
+    a AS (SELECT doc_id // 16 AS i, sha256(unhex(string_agg(d, '' ORDER BY doc_id))) AS d, count(*) AS n FROM d GROUP BY 1),
+    b AS (SELECT i // 16 AS i, sha256(unhex(string_agg(d, '' ORDER BY i))) AS d, sum(n) AS n FROM a GROUP BY 1),
+    c AS (SELECT i // 16 AS i, sha256(unhex(string_agg(d, '' ORDER BY i))) AS d, sum(n) AS n FROM b GROUP BY 1),
+    e AS (SELECT i // 16 AS i, sha256(unhex(string_agg(d, '' ORDER BY i))) AS d, sum(n) AS n FROM c GROUP BY 1),
+    t AS (SELECT 0 AS level, i, d, n FROM a UNION ALL SELECT 1, i, d, n FROM b UNION ALL SELECT 2, i, d, n FROM c WHERE (SELECT max(i) FROM b) > 0 UNION ALL SELECT 3, i, d, n FROM e WHERE (SELECT max(i) FROM c) > 0)
+    SELECT CAST(level AS INTEGER) AS level, CAST(i AS BIGINT) AS node, d AS digest, CAST(n AS BIGINT) AS n FROM t"""
+
+
+@register("input_tree", _TREE_SQL)
+def input_tree(spark, sf_dir):
+    """All nodes of the tree over the documents' inputs, of sixteen children each; grown by rows that come behind the first two thirds."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.array("doc_id", "n_chars").alias("ids"))
+    first = docs.agg(F.max("doc_id").alias("m")).first()["m"] * 2 // 3 + 1
+    line = F.sha2(F.concat(F.to_json("ids"), F.lit("\n")), 256)
+    nodes = checks.input_tree(docs.filter(F.col("doc_id") < first), "doc_id", "ids", 16)
+    return identity_tree.appended(nodes, docs, "doc_id", line, first, 16)
+
+
 @register(
     "tree_fingerprint",
     """WITH d AS (SELECT doc_id, doc_id // 256 AS run, sha256('{"doc_id":' || doc_id || ',"source":"' || source || '"}') AS d FROM documents),
