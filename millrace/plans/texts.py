@@ -247,7 +247,7 @@ def stream_metric_tail_all(spark, sf_dir):
     folder = scratch(spark, "tail")
     record = F.struct(F.col("event_id").alias("step"), F.create_map("event_type", "value").alias("log"))
     table(spark, sf_dir, "events").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value")).write.text(folder + "/in")
-    values = metrics.metric_values(metrics.shared_tail(spark, folder.removeprefix("file://") + "/in/part-*"))
+    values = metrics.metric_values(metrics.shared_tail(spark, folder + "/in/part-*", maxBytes=1 << 20))
     query = values.select("step", "metric", "value").writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/check").start()
     query.processAllAvailable()
     query.stop()

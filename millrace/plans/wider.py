@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import quality
 from millrace.operators import best_fit, chunking, pairs, profile, quantize, routing, series
 from millrace.plans.registry import register, table
 from millrace.session import scratch
-from millrace.streaming import metrics, stages
+from millrace.sources import runs, storage
+from millrace.streaming import metrics, rounds, stages
 
 
 def _docs(spark, sf_dir):
@@ -201,3 +203,69 @@ def stage_notices(spark, sf_dir):
     rows.write.parquet(folder)
     shown = stages.replayed(spark, folder, scratch(spark, "stage-shown"), scratch(spark, "stage-state"), wait=21600.0, gap=7200.0)
     return shown.groupBy(F.col("source").cast("long").alias("user_id"), "kind").agg(F.count("*").alias("n"))
+
+
+def _run_folders(spark, sf_dir) -> str:
+    """A folder with a run folder for each user: its events as metric records, purchases as evaluations, checkpoints at each fifth event of
+    all, a verification of each seventh user's."""
+    root = scratch(spark, "runs")
+    rows = _events(spark, sf_dir).crossJoin(F.broadcast(_events(spark, sf_dir).agg((F.max("event_id") - 20).alias("most"))))  # one row
+    log = F.when(F.col("event_type") == "purchase", F.create_map(F.lit("eval_loss"), "value")).otherwise(F.create_map(F.lit("loss"), "value"))
+    quality = F.when(F.col("event_id") % 3 == 0, F.struct(F.lit("scheduled").alias("phase"), F.col("event_type").alias("preset")))
+    record = F.to_json(F.struct(F.col("event_id").alias("step"), F.col("most").alias("max_steps"), (F.col("event_type") == "purchase").alias("eval"), log.alias("log"), quality.alias("quality")))
+
+    def write(table: pa.Table) -> pa.Table:
+        table = table.sort_by("event_id")
+        user = table.column("user_id")[0].as_py()
+        system, path = storage.system_of(f"{root}/user-{user}")
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{runs.METRICS}", compression=None) as f:
+            for line in table.column("record").to_pylist():
+                f.write(line.encode() + b"\n")
+        for step in table.column("event_id").to_pylist():
+            if step % 5 == 0:
+                system.create_dir(f"{path}/checkpoint-{step}")
+        if user % 7 == 0:
+            with system.open_output_stream(f"{path}/{runs.VERIFY}", compression=None) as f:
+                f.write(b'{"ok": true}')
+        return pa.table({"user_id": [user]})
+
+    rows.select("user_id", "event_id", record.alias("record")).groupBy("user_id").applyInArrow(write, "user_id long").count()
+    return root
+
+
+@register(
+    "run_records",
+    """SELECT 'user-' || user_id AS run, count(*) AS records, round(sum(CASE WHEN event_type = 'purchase' THEN value END), 6) AS eval_loss, round(sum(CASE WHEN event_type <> 'purchase' THEN value END), 6) AS loss, count(*) FILTER (event_id % 3 = 0) AS judged,
+    max(event_id) AS last_step FROM events WHERE event_id >= 100 GROUP BY user_id""",
+)
+def run_records(spark, sf_dir):
+    """Totals of the metric records of all run folders from step 100 on."""
+    found = runs.read_runs(spark, _run_folders(spark, sf_dir), steps=(100, None), most=1 << 16)
+    total = lambda name: F.round(F.sum(F.col("log")[name]), 6).alias(name)
+    return found.groupBy("run").agg(F.count("*").alias("records"), total("eval_loss"), total("loss"), F.count("preset").alias("judged"), F.max("step").alias("last_step"))
+
+
+@register(
+    "run_states",
+    """WITH e AS (SELECT *, max(event_id) OVER () - 20 AS most FROM events), c AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN value END AS loss FROM e WHERE event_id % 5 = 0),
+    b AS (SELECT user_id, count(*) AS n, min(loss) AS low FROM c GROUP BY user_id), s AS (SELECT user_id, max(event_id) AS step, max(most) AS most FROM e GROUP BY user_id)
+    SELECT 'user-' || s.user_id AS run, CASE WHEN s.user_id % 7 = 0 THEN 'verified' WHEN step >= most THEN 'trained' ELSE 'training' END AS phase, step, CAST(coalesce(n, 0) AS BIGINT) AS checkpoints,
+      (SELECT min(event_id) FROM c WHERE c.user_id = s.user_id AND c.loss = b.low) AS best, s.user_id % 7 = 0 AS verified FROM s LEFT JOIN b ON s.user_id = b.user_id""",
+)
+def run_states(spark, sf_dir):
+    """Phase, checkpoints and the best of them for each run folder."""
+    states = runs.run_states(spark, _run_folders(spark, sf_dir))
+    best = F.array_min(F.transform(F.filter("checkpoints", lambda c: c["best"]), lambda c: c["step"]))
+    return states.select("run", "phase", "step", F.size("checkpoints").cast("long").alias("checkpoints"), best.alias("best"), F.col("verify").isNotNull().alias("verified"))
+
+
+@register("published_rounds", "SELECT event_type AS preset, count(*) AS results, round(sum(value), 6) AS total FROM events GROUP BY event_type")
+def published_rounds(spark, sf_dir):
+    """All events streamed into a folder of rounds, and streamed again after the checkpoint is lost: each is there once."""
+    folder, schema = scratch(spark, "rounds"), "event_id long, event_type string, value double"
+    _events(spark, sf_dir).select("event_id", "event_type", "value").write.parquet(folder + "/in")
+    for attempt in ("first", "again"):
+        rounds.append_rounds(spark.readStream.schema(schema).parquet(folder + "/in"), folder + "/out", f"{folder}/{attempt}").awaitTermination()
+    found = rounds.read_rounds(spark, folder + "/out", schema)
+    return found.groupBy(F.col("event_type").alias("preset")).agg(F.count("*").alias("results"), F.round(F.sum("value"), 6).alias("total"))

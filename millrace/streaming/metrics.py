@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,9 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.sources import storage
+
 SCHEMA = "file string, offset bigint, line string"
 
 
+def _line(data: bytes) -> str:
+    return data.decode("utf-8").rstrip("\r\n")
+
+
 class TailReader(SimpleDataSourceStreamReader):
     """Whole new lines of files that grow; a last line without its newline waits until it is complete."""
 
@@ -25,38 +30,28 @@ class TailReader(SimpleDataSourceStreamReader):
         return {}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], dict(start)
-        for name in sorted(glob.glob(self.pattern)):
-            if os.path.getsize(name) <= end.get(name, 0):
-                continue
-            with open(name, "rb") as f:
-                f.seek(end.get(name, 0))
-                data = f.read(self.most)
-                while b"\n" not in data and (more := f.read(self.most)):  # a line may be longer than a read
-                    data += more
-            whole = data[: data.rfind(b"\n") + 1]
-            at = end.get(name, 0)
-            for line in whole.splitlines(keepends=True):
-                rows.append((name, at, line.decode("utf-8").rstrip("\r\n")))
-                at += len(line)
-            end[name] = at
+        rows, end = [], {}
+        for f in storage.found_files(self.pattern):  # files that are gone leave the offset
+            at = end[f.name] = start.get(f.name, 0)
+            stop = at + self.most
+            for offset, line in storage.lines_between(f.name, at, min(stop, f.size), at):
+                if line.endswith(b"\n") and (offset + len(line) <= stop or offset == at):  # a line may be longer than a read
+                    rows.append((f.name, offset, _line(line)))
+                    end[f.name] = offset + len(line)
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for name, stop in sorted(end.items()):
             at = start.get(name, 0)
-            with open(name, "rb") as f:
-                f.seek(at)
-                for line in f.read(stop - at).splitlines(keepends=True):
-                    yield name, at, line.decode("utf-8").rstrip("\r\n")
-                    at += len(line)
+            for offset, line in storage.lines_between(name, at, stop, at):
+                yield name, offset, _line(line)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class Tail(DataSource):
-    """Format ``tail``: option path is a glob of local files that one writer appends to, as a run's metrics are."""
+    """Format ``tail``: option path is a glob of files that one writer appends to, as a run's metrics are; the driver reads them."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,54 +65,65 @@ class Tail(DataSource):
 
 
 class FilePart(InputPartition):
-    """Whole lines of one file, from one byte to another."""
+    """Lines of one file that begin from one byte to another; ``base`` is where the batch begins in it."""
 
-    def __init__(self, name: str, start: int, stop: int):
-        self.name, self.start, self.stop = name, start, stop
+    def __init__(self, name: str, start: int, stop: int, base: int):
+        self.name, self.start, self.stop, self.base = name, start, stop, base
 
 
 class SharedTailReader(DataSourceStreamReader):
-    """The same lines read by the executors: the driver only looks for the last newline of each file."""
+    """The same lines read by the executors, a file by several of them: the driver only looks for the last newline of each file.
 
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    An offset holds, for each file, its bytes and the time of its last change. With ``finished`` seconds, a file that was
+    read to its end and has not changed for so long leaves the offset, which keeps the time up to which that holds;
+    such files must not grow any more. Files that are gone leave it too.
+    """
+
+    def __init__(self, pattern: str, most: int, finished: float | None):
+        self.pattern, self.most, self.finished = pattern, most, finished
+        self.before: dict = {}
 
     def initialOffset(self) -> dict:
-        return {}
+        return {"files": {}, "finished": 0.0}
 
     def latestOffset(self) -> dict:
-        end = {}
-        for name in sorted(glob.glob(self.pattern)):
-            with open(name, "rb") as f:
-                at = f.seek(0, os.SEEK_END)
-                while at > 0:
-                    begin = max(0, at - (1 << 16))
-                    f.seek(begin)
-                    newline = f.read(at - begin).rfind(b"\n")
-                    if newline >= 0:
-                        end[name] = begin + newline + 1
-                        break
-                    at = begin
-        return end
+        known = self.before.get("files", {})
+        floor = self.before.get("finished", 0.0)
+        listed, ends = storage.found_files(self.pattern), {}
+        for f in listed:
+            if f.name not in known and f.changed <= floor:
+                continue
+            old = known.get(f.name)
+            ends[f.name] = [old[0] if old and old[0] == f.size else storage.end_of_lines(f.name, f.size), f.changed]
+        if self.finished is not None:
+            sizes = {f.name: f.size for f in listed}
+            done = {n for n, (at, _) in ends.items() if at == sizes[n] and known.get(n, [None])[0] == at}
+            limit = min([time.time() - self.finished, *[changed - 1e-6 for n, (_, changed) in ends.items() if n not in done]])
+            floor = max(floor, limit)
+            ends = {n: e for n, e in ends.items() if n not in done or e[1] > floor}
+        self.before = {"files": ends, "finished": floor}
+        return self.before
 
     def partitions(self, start: dict, end: dict) -> list[FilePart]:
-        return [FilePart(name, start.get(name, 0), stop) for name, stop in sorted(end.items()) if stop > start.get(name, 0)]
+        parts = []
+        for name, (stop, changed) in sorted(end["files"].items()):
+            if name not in start["files"] and changed <= start["finished"]:
+                continue
+            at = start["files"].get(name, [0])[0]
+            parts += [FilePart(name, a, b, at) for a, b in storage.ranges(at, stop, self.most)]
+        return parts
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
-        at = partition.start
-        with open(partition.name, "rb") as f:
-            f.seek(at)
-            while at < partition.stop:
-                line = f.readline()
-                yield partition.name, at, line.decode("utf-8").rstrip("\r\n")
-                at += len(line)
+        for offset, line in storage.lines_between(partition.name, partition.start, partition.stop, partition.base):
+            yield partition.name, offset, _line(line)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class SharedTail(DataSource):
-    """Format ``shared_tail``: option path is a glob of files in a folder that the driver and all executors see."""
+    """Format ``shared_tail``: option path is a glob of files that the driver and all executors reach, maxBytes the part of a file
+    that one task reads, finishedAfter the seconds after which a file that does not change is finished (none: never)."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,12 +133,13 @@ class SharedTail(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> SharedTailReader:
-        return SharedTailReader(self.options["path"])
+        finished = self.options.get("finishedAfter")
+        return SharedTailReader(self.options["path"], int(self.options.get("maxBytes", str(32 << 20))), None if finished is None else float(finished))
 
 
-def shared_tail(spark: SparkSession, pattern: str) -> DataFrame:
+def shared_tail(spark: SparkSession, pattern: str, **options: object) -> DataFrame:
     spark.dataSource.register(SharedTail)
-    return spark.readStream.format("shared_tail").option("path", pattern).load()
+    return spark.readStream.format("shared_tail").options(path=pattern, **options).load()
 
 
 def tail(spark: SparkSession, pattern: str) -> DataFrame:
@@ -211,12 +218,3 @@ def distinct_events(events: DataFrame, *keys: str, watermark: tuple[str, str] |
 def request_states(events: DataFrame) -> DataFrame:
     """(state, n): requests by the state of their last event."""
     return events.groupBy("request").agg(F.max_by("state", "seq").alias("state")).groupBy("state").agg(F.count("*").alias("n"))
-
-
-def append_rounds(rounds: DataFrame, path: str, checkpoint: str):
-    """Append each complete round of a stream as JSON lines, once."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").json(f"{path}/batch={number}")
-
-    return rounds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
