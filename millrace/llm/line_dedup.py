@@ -15,6 +15,10 @@ Under each segment, lines are first held against its earliest owner; a line that
 held against all earlier ones of that segment, in blocks of CROWD owners. Groups of near copies are linear by
 this. Lines that share a segment without being near, and are near no earlier line, meet in pairs; of these only those
 are verified whose counts of LETTERS allow it: an edit changes one count up and one down at most.
+
+A segment that more than CROWD lines own is often a fixed lead or end, and its lines are not near each other. Where one edit is allowed,
+such lines do not meet in pairs: two of them are near if one character taken from the same place of both, or from the
+longer one, leaves the same text. So each is listed under all its texts with one character less, which is linear in their number.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ CELL_BITS = 27
 LETTERS = "eanirtsoldhucmpgbfvyqwkjxz0123456789"
 #: (least characters, edits): two more edits each time that the length doubles.
 CLASSES = ((32, 1), (64, 1), *((64 << i, 2 * i + 1) for i in range(1, 11)))
+#: Lines of so many characters meet in pairs in crowds, too: texts with one character less take the square of a line's length.
+LONGEST_LISTED = 512
 _BITS = 62
 _MASK = (1 << _BITS) - 1
 
@@ -228,6 +234,27 @@ def _may_be_near(a: Column, b: Column) -> Column:
     return (2 * F.abs(a["n"] - b["n"]) <= twice) & (many <= twice) & few & (reduce(lambda u, v: u + v, gaps) + many <= twice)
 
 
+def _listed_below(classes: tuple) -> int:
+    """Lines of fewer characters are allowed one edit, as the longer one of a pair, and are short enough to be listed."""
+    if classes[0][1] != 1:
+        return 0
+    return min([LONGEST_LISTED, *[least for least, edits in classes if edits > 1]])
+
+
+def _one_edit_apart(lines: DataFrame) -> DataFrame:
+    """(x, y), y the later one: of lines (no, id, line, n), pairs that differ by one character at one place or by one more, such that each line that has an earlier one in
+    such a distance is a y. Of lines that agree but for one place, the first stands for all earlier ones."""
+    less = lines.select("no", "id", "line", "n", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    less = less.select("no", "id", "i", F.concat(F.substring("line", F.lit(1), F.col("i") - 1), F.substring("line", F.col("i") + 1, F.col("n"))).alias("rest"))
+    same = less.select(F.xxhash64("i", "rest").alias("key"), "no", "id")
+    first = same.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("many")).filter("many > 1")
+    changed = same.join(first, "key").filter(F.col("no") != F.col("first.no")).select(F.col("first.no").alias("x"), F.col("no").alias("y"))
+    whole = lines.select(F.xxhash64("line").alias("key"), F.struct("id", "no").alias("a"))
+    longer = less.select(F.xxhash64("rest").alias("key"), F.struct("id", "no").alias("b")).distinct()
+    met = longer.join(whole, "key")
+    return changed.union(met.select(F.least("a", "b")["no"].alias("x"), F.greatest("a", "b")["no"].alias("y")))
+
+
 def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
     """(h, g) of the distinct lines that are within the edits of their class of an earlier, different line.
 
@@ -256,15 +283,21 @@ def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
     near = lambda a, b: _may_be_near(F.col(a), F.col(b))
     late = verified(headed.filter(near("at", "head")).select(first["no"].alias("x"), second["no"].alias("y")))
     blocks = F.ceil(F.col("owners") / CROWD).cast("int")
-    asks = headed.join(late, headed["at"]["no"] == late["y"], "left_anti").select("key", F.col("at").alias("asker"), F.col("own").alias("asker_owns"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    before = headed.select("key", "at", "own", F.pmod(F.xxhash64("at.no"), blocks).cast("int").alias("block"))
+    listed = _listed_below(classes)
+    short, crowded = F.col("at.n") < listed, F.col("owners") > CROWD
+    crowd = headed.filter(short & crowded).select(F.col("at.no").alias("no")).distinct()
+    listed_late = verified(_one_edit_apart(texts.join(crowd, "no")))
+    sides = F.when(short & crowded, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))  # short lines of a crowd meet longer ones only
+    asks = headed.join(late, headed["at"]["no"] == late["y"], "left_anti").select("key", F.col("at").alias("asker"), F.col("own").alias("asker_owns"), F.explode(sides).alias("short"), blocks.alias("blocks"))
+    asks = asks.select("key", "asker", "asker_owns", "short", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    before = headed.select("key", "at", "own", short.alias("short"), F.pmod(F.xxhash64("at.no"), blocks).cast("int").alias("block"))
     shared = F.array_intersect("at.keys", "asker.keys")
     once = (F.size(shared) == 0) | (F.col("key") == F.array_min(shared))  # lines that own several segments together meet under one
-    more = before.join(asks, ["key", "block"]).filter((F.col("own") | F.col("asker_owns")) & (F.col("at.id") < F.col("asker.id")) & near("at", "asker") & once)
+    more = before.join(asks, ["key", "block", "short"]).filter((F.col("own") | F.col("asker_owns")) & (F.col("at.id") < F.col("asker.id")) & near("at", "asker") & once)
     later = verified(more.select(F.col("at.no").alias("x"), F.col("asker.no").alias("y")))
-    every = late.union(later).distinct()
+    every = late.union(later).union(listed_late).distinct()
     found = settle(texts.join(every, texts["no"] == every["y"], "left_semi").select("h", "g"), "late")
-    unsettle(headed, late, later, texts)
+    unsettle(headed, late, later, listed_late, texts)
     return found
 
 

@@ -432,6 +432,35 @@ def test_lines_with_edits_by_length(spark, monkeypatch, crowd):
     assert got == {i for i, x in enumerate(lines) if any(near(x, y) for y in lines[:i])}
 
 
+@pytest.mark.parametrize("crowd", [256, 20])
+def test_lines_under_a_shared_lead(spark, monkeypatch, crowd):
+    """Some hundred log lines with one lead, most of them near no other, some one edit from an earlier one, some longer than one edit allows for."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rng = random.Random(6)
+    lead = "2024-01-01 INFO worker says: line "
+    lines = [lead + "".join(rng.choice("abcdefgh01é") for _ in range(rng.choice([20, 36, 60, 93, 94, 110]))) for _ in range(260)]
+    for base in lines[::4]:
+        b, at = list(base), rng.randrange(20, len(base))
+        kind = rng.randrange(4)
+        b[at : at + (kind != 1)] = [] if kind == 2 else ["z"]
+        lines.append("".join(b) if kind < 3 else base[:-1] + "!")
+    rng.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), SCHEMA)
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(df, line_dedup.CLASSES, 1).filter("n_removed > 0").collect()}
+    allowed = lambda a, b: max(e for n, e in line_dedup.CLASSES if n <= max(len(a), len(b)))
+    assert got == {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= allowed(x, y) and edit_distance(x, y) <= allowed(x, y) for y in lines[:i])}
+
+
+def test_lines_one_edit_apart(spark):
+    lines = ["abc", "abd", "abe", "ab", "xabc", "zzz", "éa", "a", "a"[:0] + "b"]
+    df = spark.createDataFrame([(i, i, t, len(t)) for i, t in enumerate(lines)], "no long, id long, line string, n int")
+    got = {tuple(r) for r in line_dedup._one_edit_apart(df).collect()}
+    assert all(x < y and edit_distance(lines[x], lines[y]) == 1 for x, y in got)
+    assert {y for _, y in got} == {j for j, t in enumerate(lines) if any(edit_distance(t, u) == 1 for u in lines[:j])}
+    leads = spark.range(3000).select(F.col("id").alias("no"), "id", F.concat(F.lit("lead " * 8), F.md5(F.col("id").cast("string"))).alias("line"), F.lit(72).alias("n"))
+    assert line_dedup._one_edit_apart(leads).count() == 0  # no pairs of lines that are not near
+
+
 def test_lines_of_production_allow_more_edits(spark, monkeypatch):
     """A changed date in a long line, and equal lines under 32 characters, as the query and the pipeline's stage read them."""
     from millrace.llm import catalog
