@@ -22,11 +22,11 @@ def _digested(children: DataFrame) -> DataFrame:
     return children.groupBy("node").agg(F.sha2(F.unhex(F.array_join(listed, "")), 256).alias("digest"), F.sum("n").cast("long").alias("n"))
 
 
-def _grown(leaves: DataFrame, top: int, fan: int, kept: DataFrame | None) -> DataFrame:
-    """All levels over (node, digest, n) of the leaves that are new; ``kept`` has the nodes that did not change."""
+def _grown(leaves: DataFrame, top: int, fan: int, kept: DataFrame | None, least: int = 0) -> DataFrame:
+    """All levels over (node, digest, n) of the leaves that are new, up to level ``least`` at least; ``kept`` has the nodes that did not change."""
     made = [settle(leaves.select(F.lit(0).alias("level"), "node", "digest", "n"), "leaves")]
     level = 0
-    while top > 0:
+    while top > 0 or level < least:
         top //= fan
         below = made[-1].select("node", "digest", "n")
         if kept is not None:  # the unchanged children of the first node that changes
@@ -55,14 +55,14 @@ def _last(df: DataFrame, order: str) -> int:
     return ends["b"]
 
 
-def tree(df: DataFrame, order: str, digest: Column, fan: int = 4096) -> DataFrame:
-    """(level, node, digest, n): all nodes; ``digest`` is a row's SHA-256 in hexadecimal digits, ``order`` a whole number from 0 up.
+def tree(df: DataFrame, order: str, digest: Column, fan: int = 4096, least: int = 0) -> DataFrame:
+    """(level, node, digest, n): all nodes, up to level ``least`` even if one leaf holds all rows; ``digest`` is a row's SHA-256 in hexadecimal digits, ``order`` a whole number from 0 up.
 
     Order values should be dense: a leaf takes ``fan`` values however many rows have them, rows that share one by their digests.
     """
     if fan < 2:
         raise RowError(f"a node has at least 2 children, got {fan}")
-    return _grown(_leaves(df, order, digest, fan), _last(df, order) // fan, fan, None)
+    return _grown(_leaves(df, order, digest, fan), _last(df, order) // fan, fan, None, least)
 
 
 def appended(nodes: DataFrame, df: DataFrame, order: str, digest: Column, first: int, fan: int = 4096) -> DataFrame:

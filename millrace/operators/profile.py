@@ -57,7 +57,7 @@ def fingerprint(df: DataFrame, order: str, *columns: str) -> DataFrame:
 
 def tree_fingerprint(df: DataFrame, order: str, *columns: str, chunk: int = 100_000) -> DataFrame:
     """As fingerprint(), over the fingerprints of runs of ``chunk`` order values, and over those of ``chunk`` runs, up to one: no row holds more."""
-    return identity_tree.root(identity_tree.tree(df, order, row_digest(*columns), chunk)).select("fingerprint", "n_rows")
+    return identity_tree.root(identity_tree.tree(df, order, row_digest(*columns), chunk, 1)).select("fingerprint", "n_rows")
 
 
 def duplicates(df: DataFrame, digest: Column, index: str) -> DataFrame:

@@ -103,7 +103,7 @@ def _stream_rows(spark: SparkSession, path: str) -> DataFrame:
     wrong = F.min(F.when(F.col("error").isNotNull(), F.struct("file", "offset", "error"))).alias("e")
     seen = found.select(F.schema_of_variant_agg(F.when(F.col("error").isNull(), F.try_parse_json("raw"))).alias("s"), wrong).first()
     if seen["e"]:
-        raise RowError(f"{seen['e']['file']}: {seen['e']['error']}")
+        raise RowError(f"{seen['e']['file']}: cannot read: {seen['e']['error']}")
     return _typed(found.select("raw"), seen["s"])
 
 
