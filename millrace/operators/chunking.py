@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.order import running_sum
 from millrace.operators.rows import RowError
 
 #: Fixed value: characters that the estimate takes for a token, on the safe side.
@@ -115,15 +116,9 @@ def fitted(pieces: DataFrame, by: str, priority: str, order: str, tokens: str, b
 def wrapped(df: DataFrame, order: str, tokens: str, size: int) -> DataFrame:
     """(order, piece, packed, start, length): documents end to end in sequences of ``size``, cut where one is full.
 
-    Offsets are prefix sums over dense runs: totals by run first, so that no task sees all rows.
+    Offsets are running sums over ranges, so that no task sees all rows.
     """
-    from pyspark.sql import Window
-
-    runs = df.withColumn("__run", F.floor(F.col(order) / 4096))
-    total = runs.groupBy("__run").agg(F.sum(tokens).alias("__n"))
-    before = total.select("__run", F.coalesce(F.sum("__n").over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum(tokens).over(Window.partitionBy("__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = runs.withColumn("__in", inside).join(before, "__run").withColumn("__at", F.col("__in") + F.col("__before"))
+    placed = running_sum(df.select(order, tokens), tokens, order, into="__at")
     first, last = F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col(tokens) - 1) / size)
     cut = placed.filter(F.col(tokens) > 0).select(order, "__at", tokens, F.posexplode(F.sequence(first, last)).alias("piece", "packed"))
     low = F.greatest(F.col("__at"), F.col("packed") * size)

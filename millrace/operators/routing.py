@@ -35,8 +35,8 @@ def coverage(total: DataFrame, score: str = "slots", layer: str = "layer", exper
     return prior.groupBy(layer).agg(*[F.count_if(F.col("__prior") < f * F.col("__all")).alias(f"experts_{int(100 * f)}") for f in fractions])
 
 
-def select_top_p(scored: DataFrame, top_p: float, score: str = "token_score", layer: str = "layer", expert: str = "expert") -> DataFrame:
-    """Experts by falling score until the sum reaches ``top_p``, the one that crosses it included; ties go to the lower number."""
+def select_top_p(scored: DataFrame, top_p: float | Column, score: str = "token_score", layer: str = "layer", expert: str = "expert") -> DataFrame:
+    """Experts by falling score until the sum reaches ``top_p``, a number or a column of each layer's own, the one that crosses it included; ties go to the lower number."""
     return scored.withColumn("__prior", _before(score, layer, expert)).filter(F.col("__prior") < top_p).drop("__prior")
 
 

@@ -182,14 +182,7 @@ def route_select_top_p(spark, sf_dir):
     total = routing.totals(_slots(spark, sf_dir))
     whole = total.groupBy("layer").agg(F.sum("slots").alias("a"))
     # whole numbers of slots keep the threshold exact
-    return routing.select_top_p(total.join(whole, "layer").withColumn("share", F.col("slots") * 10), float("inf"), "share").select("layer", "expert", "slots", "a").transform(_top_share)
-
-
-def _top_share(df):
-    from pyspark.sql import Window
-
-    prior = F.coalesce(F.sum("slots").over(Window.partitionBy("layer").orderBy(F.desc("slots"), "expert").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("p", prior).filter(F.col("p") < 0.3 * F.col("a")).select("layer", "expert")
+    return routing.select_top_p(total.join(whole, "layer"), 0.3 * F.col("a"), "slots").select("layer", "expert")
 
 
 @register(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import quality, rewards
+from millrace.operators import order
 from millrace.plans.registry import register, table
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -49,8 +49,8 @@ def reference_match_all(spark, sf_dir):
     """Documents dealt over all items by their count."""
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
-    dealt = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"), F.col("text").alias("want"))
-    rows = _docs(spark, sf_dir).join(F.broadcast(dealt), F.col("doc_id") % n == F.col("i"))
+    dealt = order.dense_index(items, "item_id", into="i").select("i", F.col("text").alias("want"))
+    rows = _docs(spark, sf_dir).join(dealt, F.col("doc_id") % n == F.col("i"))
     return rows.select("doc_id", rewards.reference_match(F.col("text"), F.col("want"), "equals").alias("equals"), rewards.reference_match(F.col("text"), F.col("want"), "contains").alias("contains"))
 
 

@@ -50,7 +50,12 @@ def strip_reasoning(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", chunking.without_reasoning(reply).alias("r")).select("conv_id", "turn", "r.text", "r.error")
 
 
-@register("wrapped_packing")
+@register(
+    "wrapped_packing",
+    """WITH d AS (SELECT doc_id, n_chars AS n, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM documents),
+    c AS (SELECT doc_id, n, CAST(f AS BIGINT) AS f, unnest(range(CAST(f AS BIGINT) // 4096, (CAST(f AS BIGINT) + n - 1) // 4096 + 1)) AS p FROM d WHERE n > 0)
+    SELECT doc_id, CAST(p - f // 4096 AS INTEGER) AS piece, p AS packed, greatest(f, p * 4096) - p * 4096 AS start, least(f + n, (p + 1) * 4096) - greatest(f, p * 4096) AS length FROM c""",
+)
 def wrapped_packing(spark, sf_dir):
     return chunking.wrapped(_docs(spark, sf_dir), "doc_id", "n_chars", 4096)
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import quality
-from millrace.operators import best_fit, chunking, pairs, profile, quantize, routing, series
+from millrace.operators import best_fit, chunking, methods, pairs, profile, quantize, routing, series
 from millrace.plans.registry import register, table
 from millrace.session import scratch
 from millrace.sources import runs, storage
@@ -269,3 +269,63 @@ def published_rounds(spark, sf_dir):
         rounds.append_rounds(spark.readStream.schema(schema).parquet(folder + "/in"), folder + "/out", f"{folder}/{attempt}").awaitTermination()
     found = rounds.read_rounds(spark, folder + "/out", schema)
     return found.groupBy(F.col("event_type").alias("preset")).agg(F.count("*").alias("results"), F.round(F.sum("value"), 6).alias("total"))
+
+
+_METHODS = ("sft", "dpo", "kto", "reward", "grpo")
+_EFFECTS_SQL = """WITH d AS (SELECT doc_id, least(n_chars, 900) AS n, least(n_chars, 900) // 3 AS p, least(n_chars, 900) // 2 AS m FROM documents), w AS (
+  SELECT *, least(n, 400) AS nk, least(m, 400) AS mk FROM d
+), r AS (
+  SELECT 'sft' AS method, n AS raw, nk AS kept, greatest(nk - p, 0) AS loss, nk < n AS cut, greatest(nk - p, 0) = 0 AS gone FROM w
+  UNION ALL SELECT 'dpo', n + m, nk + mk, least(n, 400) - greatest(n - 400, p, CASE WHEN n > 400 THEN n - 399 ELSE 1 END) + (n - least(n, 400)) + least(m, 400) - greatest(m - 400, p, CASE WHEN m > 400 THEN m - 399 ELSE 1 END) + (m - least(m, 400)), nk + mk < n + m, false FROM w
+  UNION ALL SELECT 'kto', n, nk, greatest(nk - greatest(p, 1), 0), nk < n, p >= 400 FROM w
+  UNION ALL SELECT 'reward', n + m, n + m, NULL, false, greatest(n, m) > 400 FROM w
+  UNION ALL SELECT 'grpo', n, n, NULL, false, false FROM w
+)
+SELECT method, count(*) AS n_rows, CAST(sum(raw) AS BIGINT) AS raw_tokens, CAST(sum(CASE WHEN gone THEN 0 ELSE kept END) AS BIGINT) AS retained_tokens, CAST(sum(CASE WHEN loss IS NULL THEN NULL WHEN gone THEN 0 ELSE greatest(loss, 0) END) AS BIGINT) AS loss_tokens,
+  count(*) FILTER (cut AND (method = 'sft' OR NOT gone)) AS truncated_rows, count(*) FILTER (gone) AS dropped_rows FROM r GROUP BY method"""
+
+
+def _effects(spark, sf_dir):
+    """For each method, documents as rows of up to 900 tokens, the first third of the first branch a prompt."""
+    n = F.least("n_chars", F.lit(900)).cast("int")
+    docs = _docs(spark, sf_dir).select("doc_id", n.alias("n"), F.floor(n / 3).cast("int").alias("p"), F.floor(n / 2).cast("int").alias("m"))
+    mask = lambda length: F.concat(F.array_repeat(F.lit(0), F.col("p")), F.array_repeat(F.lit(1), F.col(length) - F.col("p")))
+    out = None
+    for method in _METHODS:
+        branches = F.array(mask("n"), mask("m")) if method in ("dpo", "reward") else F.array(mask("n"))
+        rows = methods.row_effects(docs.withColumn("masks", branches), method, "masks", "p", 400, keep_end=method == "dpo")
+        rows = rows.select(F.lit(method).alias("method"), "effect.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("method_rows", _EFFECTS_SQL)
+def method_rows(spark, sf_dir):
+    """Totals of what each method keeps, cuts and drops; dpo keeps the ends."""
+    return _effects(spark, sf_dir).groupBy("method").agg(
+        F.count("*").alias("n_rows"), F.sum("raw").alias("raw_tokens"), F.sum("retained").alias("retained_tokens"), F.sum("loss").alias("loss_tokens"), F.count_if("truncated").alias("truncated_rows"), F.count_if("dropped").alias("dropped_rows")
+    )
+
+
+@register(
+    "method_findings",
+    f"""WITH e AS ({_EFFECTS_SQL}), l AS (SELECT count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM labels), k AS (SELECT n_rows - dropped_rows AS rows FROM e WHERE method = 'kto'), w AS (SELECT n_rows - dropped_rows AS rows, dropped_rows FROM e WHERE method = 'reward'), b AS (SELECT count(*) AS n FROM benchmark)
+    SELECT 'kto' AS method, 'kto_kl_batch' AS code, 'warning' AS severity, '1,8,random' AS evidence UNION ALL SELECT 'kto', 'kto_weighted_balance', CASE WHEN good = 0 OR bad = 0 THEN 'warning' ELSE 'info' END, good || ',' || bad FROM l
+    UNION ALL SELECT 'dpo', 'dpo_aot_batch', 'info', '4,8' UNION ALL SELECT 'dpo', 'dpo_inactive_smoothing', 'warning', 'ipo,sigmoid' UNION ALL SELECT 'reward', 'reward_filtered_pairs', 'warning', dropped_rows || ',' || rows FROM w WHERE dropped_rows > 0
+    UNION ALL SELECT 'sft', 'replay_exposure', 'info', (SELECT count(DISTINCT source) FROM documents) || ',0.25'
+    UNION ALL SELECT m, 'evaluation_coverage', CASE WHEN m = 'grpo' THEN 'warning' ELSE 'info' END, (SELECT n FROM b) || ',' || CASE WHEN m = 'grpo' THEN 'no' ELSE 'steps' END FROM (VALUES ('sft'), ('dpo'), ('kto'), ('reward'), ('grpo')) t(m)""",
+)
+def method_findings(spark, sf_dir):
+    """Findings for a row of settings of each method, with counts taken from the tables."""
+    seen = method_rows(spark, sf_dir).select("method", (F.col("n_rows") - F.col("dropped_rows")).alias("effective_rows"), "dropped_rows")
+    labels = table(spark, sf_dir, "labels").agg(F.count_if(F.col("quality") == 1).alias("desirable"), F.count_if(F.col("quality") == 0).alias("undesirable"))
+    counts = labels.crossJoin(table(spark, sf_dir, "benchmark").agg(F.count("*").alias("eval_rows"))).crossJoin(_docs(spark, sf_dir).agg(F.count_distinct("source").alias("sources")))  # one row each
+    method = F.col("method")
+    losses = F.when(method == "dpo", F.array(F.lit("sigmoid"), F.lit("aot"), F.lit("ipo"))).otherwise(F.array(F.lit("kto")))
+    settings = seen.crossJoin(F.broadcast(counts)).withColumns(
+        {
+            "per_device": F.when(method == "kto", 1).otherwise(4).cast("long"), "accumulation": F.lit(8).cast("long"), "sampling": F.lit("random"), "loss_types": losses, "workers": F.lit(None).cast("long"), "smoothing": F.lit(0.1), "fused": F.lit(False),
+            "row_errors": F.lit(0).cast("long"), "replay_fraction": F.when(method == "sft", 0.25), "synthetic_eval": F.lit(False), "eval_strategy": F.when(method == "grpo", "no").otherwise("steps"),
+        }
+    )
+    return methods.method_findings(settings)

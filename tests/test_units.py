@@ -558,3 +558,16 @@ def test_token_f1_of_long_texts(spark):
     got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(rewards.token_f1(F.col("a"), F.col("b")).alias("f")).collect()
     want = [2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b)) if a or b else 1.0 for a, b in rows]
     assert [round(r["f"], 9) for r in got] == [round(w, 9) for w in want]
+
+
+def test_choices_are_stripped_before_they_are_looked_up():
+    from millrace.functions.quality import Labels
+
+    assert Labels(("yes.", "no")).said("yes.", True) is None and Labels(("yes.", "no")).said("yes.", False) == "yes."
+    assert Labels(("option a", "b")).said("option a", True) is None
+    b = Labels(("b", "c d"))
+    for said in ("b", "b.", "(b)", "b)", "( b ) !", "the final answer is (b).", "answer: b", "option b"):
+        assert b.said(said, True) == "b", said
+    for said in ("b!!", "((b))", "b or c d", "the b", "answer", ""):
+        assert b.said(said, True) is None, said
+    assert b.said("answer is c d.", True) == "c d" and b.said("b.", False) is None
