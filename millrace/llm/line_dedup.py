@@ -16,8 +16,8 @@ held against all earlier ones of that segment, in blocks of CROWD owners. Groups
 this. Lines that share a segment without being near, and are near no earlier line, meet in pairs; of these only those
 are verified whose counts of LETTERS allow it: an edit changes one count up and one down at most.
 
-A segment that more than CROWD lines own is often a fixed lead or end, and its lines are not near each other. Where one edit is allowed,
-such lines do not meet in pairs: two of them are near if one character taken from the same place of both, or from the
+A segment that more than CROWD lines own is often a fixed lead or end, and its lines are not near each other. Where one edit is allowed
+and many of these lines are not late yet, they do not meet in pairs: two of them are near if one character taken from the same place of both, or from the
 longer one, leaves the same text. So each is listed under all its texts with one character less, which is linear in their number.
 """
 
@@ -245,12 +245,16 @@ def _one_edit_apart(lines: DataFrame) -> DataFrame:
     """(x, y), y the later one: of lines (no, id, line, n), pairs that differ by one character at one place or by one more, such that each line that has an earlier one in
     such a distance is a y. Of lines that agree but for one place, the first stands for all earlier ones."""
     less = lines.select("no", "id", "line", "n", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    less = less.select("no", "id", "i", F.concat(F.substring("line", F.lit(1), F.col("i") - 1), F.substring("line", F.col("i") + 1, F.col("n"))).alias("rest"))
-    same = less.select(F.xxhash64("i", "rest").alias("key"), "no", "id")
-    first = same.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("many")).filter("many > 1")
-    changed = same.join(first, "key").filter(F.col("no") != F.col("first.no")).select(F.col("first.no").alias("x"), F.col("no").alias("y"))
+    last = F.substring("line", F.col("i"), F.lit(1)) != F.substring("line", F.col("i") + 1, F.lit(1))  # of a run of one character, any leaves the same rest
+    less = less.select("no", "id", "i", last.alias("last"), F.concat(F.substring("line", F.lit(1), F.col("i") - 1), F.substring("line", F.col("i") + 1, F.col("n"))).alias("rest"))
+    same = less.select(F.xxhash64("i", "rest").alias("key"), F.struct("id", "no").alias("a"))
+    groups = same.groupBy("key").agg(F.min("a").alias("first"), F.max("a").alias("then"), F.count("*").alias("many")).filter("many > 1")
+    groups = settle(groups, "one-off")
+    two = groups.filter("many = 2").select(F.col("first.no").alias("x"), F.col("then.no").alias("y"))
+    more = same.join(_few(groups.filter("many > 2").select("key", "first")), "key").filter(F.col("a.no") != F.col("first.no")).select(F.col("first.no").alias("x"), F.col("a.no").alias("y"))
+    changed = two.union(more)
     whole = lines.select(F.xxhash64("line").alias("key"), F.struct("id", "no").alias("a"))
-    longer = less.select(F.xxhash64("rest").alias("key"), F.struct("id", "no").alias("b")).distinct()
+    longer = less.filter("last").select(F.xxhash64("rest").alias("key"), F.struct("id", "no").alias("b"))
     met = longer.join(whole, "key")
     return changed.union(met.select(F.least("a", "b")["no"].alias("x"), F.greatest("a", "b")["no"].alias("y")))
 
@@ -283,12 +287,14 @@ def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
     near = lambda a, b: _may_be_near(F.col(a), F.col(b))
     late = verified(headed.filter(near("at", "head")).select(first["no"].alias("x"), second["no"].alias("y")))
     blocks = F.ceil(F.col("owners") / CROWD).cast("int")
-    listed = _listed_below(classes)
-    short, crowded = F.col("at.n") < listed, F.col("owners") > CROWD
-    crowd = headed.filter(short & crowded).select(F.col("at.no").alias("no")).distinct()
+    short = F.col("at.n") < _listed_below(classes)
+    asking = headed.join(late, headed["at"]["no"] == late["y"], "left_anti")
+    busy = asking.filter(short & (F.col("owners") > CROWD)).groupBy("key").agg(F.count("*").alias("asks")).filter(F.col("asks") > CROWD // 8)
+    busy = settle(busy.select("key", F.lit(True).alias("busy")), "busy")
+    crowd = headed.filter(short).join(_few(busy), "key", "left_semi").select(F.col("at.no").alias("no")).distinct()
     listed_late = verified(_one_edit_apart(texts.join(crowd, "no")))
-    sides = F.when(short & crowded, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))  # short lines of a crowd meet longer ones only
-    asks = headed.join(late, headed["at"]["no"] == late["y"], "left_anti").select("key", F.col("at").alias("asker"), F.col("own").alias("asker_owns"), F.explode(sides).alias("short"), blocks.alias("blocks"))
+    sides = F.when(short & F.col("busy"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))  # short lines of a crowd meet longer ones only
+    asks = asking.join(_few(busy), "key", "left").select("key", F.col("at").alias("asker"), F.col("own").alias("asker_owns"), F.explode(sides).alias("short"), blocks.alias("blocks"))
     asks = asks.select("key", "asker", "asker_owns", "short", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     before = headed.select("key", "at", "own", short.alias("short"), F.pmod(F.xxhash64("at.no"), blocks).cast("int").alias("block"))
     shared = F.array_intersect("at.keys", "asker.keys")
@@ -297,7 +303,7 @@ def late_lines(lines: DataFrame, classes: tuple) -> DataFrame:
     later = verified(more.select(F.col("at.no").alias("x"), F.col("asker.no").alias("y")))
     every = late.union(later).union(listed_late).distinct()
     found = settle(texts.join(every, texts["no"] == every["y"], "left_semi").select("h", "g"), "late")
-    unsettle(headed, late, later, listed_late, texts)
+    unsettle(headed, late, later, listed_late, busy, texts)
     return found
 
 
