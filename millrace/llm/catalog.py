@@ -62,6 +62,27 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "n_shingles", "component_id")
 
 
+def _components_sql(size: int, threshold: int, more: str) -> str:
+    """Shingle sets, all pairs that share a shingle, and the least document that links reach."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {size} - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size} + 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {threshold} * (a.n + b.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y
+), f AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT f.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, f.c AS component_id{more} FROM f LEFT JOIN n ON n.doc_id = f.doc_id
+"""
+
+
+OP1_SQL = _components_sql(4, 85, "")
+OP11_SQL = _components_sql(3, 85, ", f.doc_id = f.c AS kept")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     index = token_files.write_tokens(_documents(spark, sf_dir), folder, _tokenizer(), end=2)
@@ -174,4 +195,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op12_importance": OP12_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op11_minhash": OP11_SQL, "op4_quality_rules": OP4_SQL, "op5_warc": OP5_SQL, "op12_importance": OP12_SQL}
