@@ -75,8 +75,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, key: st
     """Write the ids of every row, in ascending key order over files and frames; the index of frames.
 
     Null texts are encoded as empty texts (the end id alone); null keys come first; rows of equal keys are
-    ordered by their text. A document is never parted over frames; one of less than 2 GiB, which is the most that a
-    column holds, fits into the four bytes that the seek table has for a frame's size. An empty table writes no file. The index is a table in ``folder``/index; its rows
+    ordered by their text. A document is never parted over frames; one of less than 1 GiB fits into the four bytes that
+    the seek table has for a frame's size, whatever the width of an id. An empty table writes no file. The index is a table in ``folder``/index; its rows
     name only files of task attempts that succeeded.
     """
     spark = docs.sparkSession
