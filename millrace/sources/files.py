@@ -135,11 +135,17 @@ def extension(path: str) -> str:
     return found
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows by extension; a missing or empty input is one kind of error that names the path."""
+def read_rows(spark: SparkSession, path: str, first_seen: bool = False) -> DataFrame:
+    """Rows by extension; a missing or empty input is one kind of error that names the path.
+
+    ``first_seen``: the columns of an object stream come in the order in which their names are first seen, as a CSV writer
+    that takes the union of all rows' columns has them, instead of by name; this scans the input once more.
+    """
     kind = extension(path)
     try:
         df = READERS[kind](spark, path)
+        if first_seen and kind == "jsonl":
+            df = df.select(*[F.col(f"`{c}`") for c in json_stream.columns_in_order(json_stream.found_objects(spark, path))])
         empty = df.isEmpty()
     except RowError:
         raise

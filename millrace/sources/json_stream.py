@@ -22,9 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.rows import RowError
+
 MAPS = "file string, block long, size long, bytes long, lines long, last_line long, ends0 long, depth0 long, least0 long, ends1 long, depth1 long, least1 long"
 FOUND = "file string, offset long, line long, column long, origin long, raw binary, error string"
 _WHITE = b" \t\r\n"
+_CHANGED = "the file, or how the session splits files, has changed since it was scanned; read it again"
 _KINDS = {"[": "list", '"': "str", "t": "bool", "f": "bool", "n": "NoneType"}
 
 
@@ -88,7 +91,7 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Entry:
     """What is known where a split begins: in a string or not, depth, byte, line, byte at which that line begins, the
-    block of the split that began the open object; and whether the file's last brace is not in the file."""
+    block of the split that began the open object; whether the file's last brace is not in the file; and the byte at which the split ends."""
 
     quoted: int
     depth: int
@@ -97,6 +100,7 @@ class Entry:
     line_start: int
     origin: int
     unclosed: bool = False
+    end: int = 0
 
 
 @dataclass
@@ -119,6 +123,7 @@ def compose(maps: list[tuple]) -> Layout:
             ends, depth, least = both[3 * now.quoted : 3 * now.quoted + 3]
             origin = block if now.depth + least <= 0 else now.origin
             before = now
+            before.end = now.offset + count
             now = Entry(ends, now.depth + depth, now.offset + count, now.line + lines, now.offset + last + 1 if last >= 0 else now.line_start, origin)
             total += count
         # the file ends with a brace, or the one behind its last piece was added; a byte order mark is not among the pieces
@@ -229,10 +234,14 @@ def _reader(layout, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = None
         for file, block, _, data, ends in _runs(batches):
-            entry = layout.value.entries[file, block]
+            entry = layout.value.entries.get((file, block))
+            if entry is None:
+                raise RowError(f"{file}: {_CHANGED}")
             split = split or _Split(file, block, entry)
             rows = [] if split.broken else list(split.chunk(data[:-1] if ends and entry.unclosed else data, whole))
             if ends:
+                if not split.broken and split.offset != entry.end - entry.unclosed:
+                    raise RowError(f"{file}: {_CHANGED}")
                 rows += split.close(whole)
                 split = None
             if rows:
@@ -250,9 +259,10 @@ def _joined(table: pa.Table) -> pa.Table:
 def found_objects(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, line, raw, error): each object with its first byte and line, and what is wrong with it, or else null.
 
-    A row with an error may be no object; nothing behind it in its split is read. Files are parted by JSON white
+    Rows come in the order of their splits; where objects cross splits, they are sorted by file and byte. A row with an error may be no object; nothing behind it in its split is read. Files are parted by JSON white
     space alone. An empty file gives no rows. Columns of errors count characters from the object's line; where
-    several objects share that line, bytes. In a compressed file, which is one split, a last object without its closing brace is taken as closed.
+    several objects share that line, bytes. Files and the session's way to split them (spark.sql.files.*, cores) must stay as they are
+    until the rows have been read; a change is an error that says so. In a compressed file, which is one split, a last object without its closing brace is taken as closed.
     """
     pieces = _pieces(spark, path)
     maps = pieces.mapInArrow(_maps, MAPS).collect()  # one row for each split
@@ -261,7 +271,7 @@ def found_objects(spark: SparkSession, path: str) -> DataFrame:
     found = pieces.mapInArrow(_reader(shared, True), FOUND)
     if layout.crossing:
         parts = pieces.mapInArrow(_reader(shared, False), FOUND)
-        found = found.unionByName(parts.groupBy("file", "origin").applyInArrow(_joined, FOUND))
+        found = found.unionByName(parts.groupBy("file", "origin").applyInArrow(_joined, FOUND)).orderBy("file", "offset")
     return found.select("file", "offset", "line", F.col("raw").cast("string").alias("raw"), "error")
 
 
@@ -276,3 +286,10 @@ def first_error(found: DataFrame) -> str | None:
     """The first error of found_objects() in the order of files and bytes."""
     row = found.filter("error IS NOT NULL").agg(F.min(F.struct("file", "offset", "error")).alias("e")).first()
     return f"{row['e']['file']}: {row['e']['error']}" if row["e"] else None
+
+
+def columns_in_order(found: DataFrame) -> list[str]:
+    """Names of all objects' members in the order in which they are first seen, by file, byte and place in the object: one row for each name goes to the driver."""
+    keys = found.filter("error IS NULL").select("file", "offset", F.posexplode(F.json_object_keys("raw")).alias("place", "name"))
+    first = keys.groupBy("name").agg(F.min(F.struct("file", "offset", "place")).alias("at")).collect()
+    return [r["name"] for r in sorted(first, key=lambda r: tuple(r["at"]))]

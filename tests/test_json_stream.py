@@ -107,3 +107,17 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, split_small):
     rows = files.read_rows(spark, f"file://{path}")
     assert rows.agg(F.sum("i"), F.count("*")).first() == (3000 * 2999 // 2, 3000)
     assert json_stream._pieces(spark, f"file://{path}").rdd.getNumPartitions() > 8
+
+
+def test_columns_and_rows_in_the_order_of_the_file(spark, tmp_path, split_small):
+    rows = [{"z": i, "n": {"b": 1}} if i < 40 else {"m": 1, "a b": "x", "z": i} for i in range(90)]
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps(r, indent=1) + "\n" for r in rows))
+    split_small(100)  # objects cross splits
+    df = files.read_rows(spark, f"file://{tmp_path}/a.jsonl", first_seen=True)
+    assert df.columns == ["z", "n", "m", "a b"]
+    assert [r["z"] for r in df.collect()] == list(range(90))
+    files.write_rows(df.drop("n").limit(2), f"file://{tmp_path}/out.csv")
+    assert files.read_rows(spark, f"file://{tmp_path}/out.csv").columns == ["z", "m", "a b"]
+    split_small(1 << 20)  # fewer splits than were scanned
+    with pytest.raises(Exception, match="read it again"):
+        df.filter("z >= 0").collect()
