@@ -22,13 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow_docs import frugal, frugal_group, slices, utf8
-from millrace.llm.shingle_join import Cells, bounded_broadcast, count_cells, parts_for, read_ranks
+from millrace.llm.shingle_join import Cells, bounded_broadcast, count_cells, read_ranks
 from millrace.llm.word_hashes import gram_hashes, mix, range_hashes
 from millrace.session import settle, unsettle
 
 #: Bytes of the k-grams that lead strings: long ones meet less by chance, short ones make fewer pieces.
 GRAM = 20
 RUN_BYTES = 16 << 20
+#: Bytes of all texts for each part in which pieces meet; spans are fewer and take one for each SPAN_PARTS of those.
+PART_BYTES = 1 << 20
+SPAN_PARTS = 16
+#: Bytes of a text that is transformed, which takes some fifty times as much memory.
+TEXT_BYTES = 2 << 20
 #: Bytes that are copied by their places at once.
 AT_ONCE = 1 << 20
 _SEPARATOR = 0xFF  # never part of UTF-8
@@ -171,6 +176,78 @@ def later_strings(data: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray
     return places[owner[places] > np.repeat(first, size)]
 
 
+def _marks(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """range_hashes() of the pieces, which take some hundred bytes of memory for each byte, so only some at once."""
+    out = [np.zeros(0, np.uint64)]
+    for a, b in _blocks(sizes):
+        ends = np.cumsum(sizes[a:b])
+        out.append(range_hashes(gathered(data, at[a:b], sizes[a:b]), ends - sizes[a:b], ends))
+    return np.concatenate(out)
+
+
+def _cut_again(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Rows (piece, start in ``data``, size, key) of the pieces that ``gram``-grams cut each piece into."""
+    out = []
+    for a, b in _blocks(sizes):
+        stops = np.cumsum(sizes[a:b] + 1)
+        piece, start, end, key = pieces(gathered(data, at[a:b], sizes[a:b], gap=1), stops, least, gram)
+        out.append(np.stack([a + piece, start + (at[a:b] - stops + sizes[a:b] + 1)[piece], end - start, key.view(np.int64)]))
+    return np.concatenate(out, axis=1)
+
+
+def later_spans(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, key: np.ndarray, doc: np.ndarray, least: int, gram: int, most: int = TEXT_BYTES) -> np.ndarray:
+    """Rows (piece, start, end): what strings of ``least`` bytes that also start under a smaller ``doc`` cover in each piece.
+
+    Pieces of one key are led by one ``gram``-gram. Equal ones settle each other; of the others, one of a kind is transformed,
+    ``most`` bytes at once. A key that has more is cut again by longer grams, at last into single strings, which are equal.
+    """
+    order, head, later = _settle_equal(key, _marks(data, at, sizes), doc, doc)
+    gone = order[later]
+    spans = [np.stack([gone, np.zeros(len(gone), np.int64), sizes[gone]])]
+    heads = order[np.unique(head)]  # one piece of each content, under its least doc; still by key
+    group = np.cumsum(np.concatenate([[0], key[heads][1:] != key[heads][:-1]]))
+    edge = np.flatnonzero(np.diff(group, prepend=-1))
+    differ = np.minimum.reduceat(doc[heads], edge) < np.maximum.reduceat(doc[heads], edge)
+    heads = heads[differ[group]]
+    if not len(heads):
+        return spans[0]
+    ends = np.cumsum(sizes[heads] + 1)
+    begins = ends - sizes[heads] - 1
+    last = np.append(np.flatnonzero(np.diff(key[heads])), len(heads) - 1)  # of each key
+    found, a = [], 0
+    while a < len(heads):
+        full = np.searchsorted(ends[last], begins[a] + most, side="right")  # keys that end within most bytes, or one
+        b = int(last[max(full - 1, np.searchsorted(last, a))]) + 1
+        some = heads[a:b]
+        if ends[b - 1] - begins[a] > most and gram < least:
+            longer = gram + (least - gram + 1) // 2
+            piece, start, size, lead = _cut_again(data, at[some], sizes[some], least, longer)
+            sub, low, high = later_spans(data, start, size, lead.view(np.uint64), doc[some][piece], least, longer, most)
+            base = (begins[a:b] - at[some])[piece[sub]] + start[sub]
+            by = np.argsort(base + low, kind="stable")
+            found.append(np.stack([base + low, base + high])[:, by])
+        else:
+            places = np.sort(later_strings(gathered(data, at[some], sizes[some], gap=1), np.repeat(doc[some], sizes[some] + 1), least)) + begins[a]
+            found.append(np.stack([places, places + least]))
+        a = b
+    from_, to = np.concatenate(found, axis=1)
+    from_, to = merged(np.searchsorted(begins, from_, side="right"), from_, to)
+    which = np.searchsorted(begins, from_, side="right") - 1
+    # the strings found in a piece count for every row of its content under the same doc
+    run_of = np.full(len(order), -1, np.int64)
+    run_of[heads] = np.arange(len(heads))
+    rows = order[~later]
+    run = run_of[order[head[~later]]]
+    rows, run = rows[run >= 0], run[run >= 0]
+    by = np.argsort(run, kind="stable")
+    rows, run = rows[by], run[by]
+    a, b = np.searchsorted(run, which), np.searchsorted(run, which, side="right")
+    many = b - a
+    row = rows[np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)]
+    spans.append(np.stack([row, np.repeat(from_ - begins[which], many), np.repeat(to - begins[which], many)]))
+    return np.concatenate(spans, axis=1)
+
+
 # Blobs: kind 0, pieces: key, doc, digest, start, size, then the bytes; kind 1, spans: doc, digest, start, end.
 ROWS = "kind int, part int, n int, blob binary, bytes binary"
 
@@ -193,7 +270,7 @@ def _settle_equal(key, mark, doc, digest):
     return order, head, doc > doc[head] if len(key) else np.zeros(0, bool)
 
 
-def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarray) -> DataFrame:
+def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, coarse: Cells, bitmap: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     @frugal
@@ -213,7 +290,7 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
             order, _, later = _settle_equal(key, mark, doc, digest)
             gone = order[later]
             if len(gone):
-                parts, counts, blobs = _span_rows(doc[gone], digest[gone], start[gone], start[gone] + sizes[gone], cells)
+                parts, counts, blobs = _span_rows(doc[gone], digest[gone], start[gone], start[gone] + sizes[gone], coarse)
                 yield batch_of(1, parts, counts, blobs, [b""] * len(parts))
             rows = order[~later]  # by key, so by part
             parts = cells.part(key[rows])
@@ -255,36 +332,9 @@ def _meet(docs: DataFrame, least: int, gram: int, cells: Cells, bitmap: np.ndarr
             tool = zstandard.ZstdDecompressor()
             data = np.frombuffer(b"".join(map(tool.decompress, table.column("bytes").to_pylist())), np.uint8)
             at = np.cumsum(sizes) - sizes
-            order, head, later = _settle_equal(key, range_hashes(data, at, at + sizes), doc, digest)
-            gone = order[later]
-            spans = [np.stack([doc[gone], digest[gone], start[gone], start[gone] + sizes[gone]])]
-            heads = order[np.unique(head)]  # one piece of each content, under its least doc; still by key
-            group = np.cumsum(np.concatenate([[0], key[heads][1:] != key[heads][:-1]]))
-            edge = np.flatnonzero(np.diff(group, prepend=-1))
-            differ = np.minimum.reduceat(doc[heads], edge) < np.maximum.reduceat(doc[heads], edge)
-            heads = heads[differ[group]]
-            if len(heads):
-                text = gathered(data, at[heads], sizes[heads], gap=1)
-                begins = np.cumsum(sizes[heads] + 1) - sizes[heads] - 1
-                number = np.repeat(np.arange(len(heads)), sizes[heads] + 1)
-                places = np.sort(later_strings(text, doc[heads][number], least))
-                which = number[places]
-                from_, to = merged(which, places, places + least)
-                which = number[from_]
-                # the strings found in a piece count for every row of its content under the same doc
-                run_of = np.full(len(order), -1, np.int64)
-                run_of[heads] = np.arange(len(heads))
-                rows = order[~later]
-                run = run_of[order[head[~later]]]
-                rows, run = rows[run >= 0], run[run >= 0]
-                by = np.argsort(run, kind="stable")
-                rows, run = rows[by], run[by]
-                a, b = np.searchsorted(run, which), np.searchsorted(run, which, side="right")
-                many = b - a
-                row = rows[np.arange(many.sum()) + np.repeat(a - (np.cumsum(many) - many), many)]
-                low, high = np.repeat(from_ - begins[which], many), np.repeat(to - begins[which], many)
-                spans.append(np.stack([doc[row], digest[row], start[row] + low, start[row] + high]))
-        parts, counts, blobs = _span_rows(*np.concatenate(spans, axis=1), cells)
+            row, low, high = later_spans(data, at, sizes, key, doc, least, gram)
+            spans = [np.stack([doc[row], digest[row], start[row] + low, start[row] + high])]
+        parts, counts, blobs = _span_rows(*np.concatenate(spans, axis=1), coarse)
         return pa.table({"part": pa.array(parts, pa.int32()), "n": pa.array(counts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     made = docs.mapInArrow(gather, ROWS)
@@ -324,12 +374,13 @@ def repeated_spans(docs: DataFrame, least: int = 50, gram: int | None = None) ->
     ``docs`` has doc_id, digest (a hash of the text, for rows that share a doc_id) and text.
     """
     gram = gram or min(GRAM, max(1, least * 3 // 5))
-    cells = Cells(min(1 << 16, 8 * parts_for(docs.sparkSession)))  # a reducer needs some fifty bytes of memory for each of its part's text
-    counting = Cells(parts_for(docs.sparkSession))  # a row for each task and part: bits need no more parts than that
-    counted = count_cells(docs, partial(_keys, least=least, gram=gram), counting, 1 << 62)
-    bitmap, _, _ = read_ranks(counted, counting)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    cells = Cells(min(1 << 16, 1 << max(6, (size // PART_BYTES).bit_length())))  # by the texts, whatever the session's partitions
+    coarse = Cells(max(64, cells.parts // SPAN_PARTS))  # bits and spans: a row for each task and part
+    counted = count_cells(docs, partial(_keys, least=least, gram=gram), coarse, 1 << 62)
+    bitmap, _, _ = read_ranks(counted, coarse)
     unsettle(counted)
-    return _meet(docs, least, gram, cells, bitmap).groupBy("part").applyInArrow(_merge, "doc long, mark long, spans binary")
+    return _meet(docs, least, gram, cells, coarse, bitmap).groupBy("part").applyInArrow(_merge, "doc long, mark long, spans binary")
 
 
 def _copies(source: DataFrame) -> DataFrame:

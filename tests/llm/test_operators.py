@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,50 @@ def test_repeats_on_small_alphabets(spark):
     assert got == plain_repeats(rows, 24)
 
 
+def crowded(n):
+    """(texts' bytes, ends, documents): one passage amid ``n`` different surroundings, some of them alike."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, 7)) + b" " for _ in range(60)]
+    around = lambda: b"".join(words[i] for i in rng.integers(0, 60, 8))
+    texts = [around() + b"the one passage of all the many documents, " + around() for _ in range(n)]
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    return data, np.cumsum([len(t) + 1 for t in texts]), rng.permutation(n)
+
+
+def pieces_by_key(n):
+    data, ends, docs = crowded(n)
+    text, start, end, key = repeats.pieces(data, ends, 50, 20)
+    by = np.argsort(key, kind="stable")
+    return data, start[by], (end - start)[by], key[by], docs[text[by]]
+
+
+def test_crowded_grams_are_cut_again():
+    rows = pieces_by_key(400)
+    found = []
+    for most in (1 << 40, 3000, 1):
+        covered = {(p, x) for p, a, b in repeats.later_spans(*rows, 50, 20, most).T.tolist() for x in range(a, b)}
+        found.append(covered)
+    data, start, sizes, _, docs = rows
+    first = {}
+    for p in range(len(start)):
+        for x in range(start[p], start[p] + sizes[p] - 49):
+            s = data[x : x + 50].tobytes()
+            first[s] = min(first.get(s, docs[p]), docs[p])
+    want = {(p, x + k - start[p]) for p in range(len(start)) for x in range(start[p], start[p] + sizes[p] - 49) if first[data[x : x + 50].tobytes()] < docs[p] for k in range(50)}
+    assert found[0] == found[1] == found[2] == want and want
+
+
+def test_a_crowded_gram_takes_bounded_memory():
+    data, start, sizes, key, docs = pieces_by_key(60000)
+    one = key == np.unique(key)[np.argmax(np.unique(key, return_counts=True)[1])]
+    rows = data, start[one], sizes[one], key[one], docs[one]
+    tracemalloc.start()
+    repeats.later_spans(*rows, 50, 20, 1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes[one].sum() > 3 << 20 and peak < 32 * sizes[one].sum(), (sizes[one].sum(), peak)
+
+
 def test_repeats_of_odd_rows(spark):
     text = "x" * 10 + "the same long line of text that two documents hold, word for word"
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (6, text), (7, None)], SCHEMA)
