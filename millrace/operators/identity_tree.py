@@ -22,9 +22,9 @@ def _digested(children: DataFrame) -> DataFrame:
     return children.groupBy("node").agg(F.sha2(F.unhex(F.array_join(listed, "")), 256).alias("digest"), F.sum("n").cast("long").alias("n"))
 
 
-def _grown(leaves: DataFrame, top: int, fan: int, kept: DataFrame | None, least: int = 0) -> DataFrame:
+def _grown(lowest: DataFrame, top: int, fan: int, kept: DataFrame | None, least: int = 0) -> DataFrame:
     """All levels over (node, digest, n) of the leaves that are new, up to level ``least`` at least; ``kept`` has the nodes that did not change."""
-    made = [settle(leaves.select(F.lit(0).alias("level"), "node", "digest", "n"), "leaves")]
+    made = [settle(lowest.select(F.lit(0).alias("level"), "node", "digest", "n"), "leaves")]
     level = 0
     while top > 0 or level < least:
         top //= fan
@@ -41,12 +41,14 @@ def _grown(leaves: DataFrame, top: int, fan: int, kept: DataFrame | None, least:
     return out
 
 
-def _leaves(df: DataFrame, order: str, digest: Column, fan: int) -> DataFrame:
+def leaves(df: DataFrame, order: str, digest: Column, fan: int) -> DataFrame:
+    """(node, digest, n) of the lowest level."""
     rows = df.select(F.floor(F.col(order) / fan).alias("node"), F.col(order).alias("place"), digest.alias("digest"), F.lit(1).cast("long").alias("n"))
     return _digested(rows)
 
 
-def _last(df: DataFrame, order: str) -> int:
+def last(df: DataFrame, order: str) -> int:
+    """The last order value; rows without one, values below 0 and empty tables are refused."""
     ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count_if(F.col(order).isNull()).alias("nulls")).first()
     if ends["nulls"] or (ends["a"] is not None and ends["a"] < 0):
         raise RowError(f"{order} numbers rows from 0 up in every row")
@@ -62,7 +64,7 @@ def tree(df: DataFrame, order: str, digest: Column, fan: int = 4096, least: int
     """
     if fan < 2:
         raise RowError(f"a node has at least 2 children, got {fan}")
-    return _grown(_leaves(df, order, digest, fan), _last(df, order) // fan, fan, None, least)
+    return _grown(leaves(df, order, digest, fan), last(df, order) // fan, fan, None, least)
 
 
 def appended(nodes: DataFrame, df: DataFrame, order: str, digest: Column, first: int, fan: int = 4096) -> DataFrame:
@@ -71,8 +73,8 @@ def appended(nodes: DataFrame, df: DataFrame, order: str, digest: Column, first:
     Of ``df``, only rows from the start of ``first``'s leaf on are read.
     """
     edge = df.filter(F.col(order) >= first // fan * fan)
-    top, levels = _last(edge, order) // fan, nodes.agg(F.max("level").alias("m")).first()["m"]
-    made = settle(_grown(_leaves(edge, order, digest, fan), top, fan, nodes), "edge")
+    top, levels = last(edge, order) // fan, nodes.agg(F.max("level").alias("m")).first()["m"]
+    made = settle(_grown(leaves(edge, order, digest, fan), top, fan, nodes), "edge")
     while top > 0:  # a tree that grows by a level keeps its old root as a node of the level below
         top //= fan
         levels -= 1

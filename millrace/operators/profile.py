@@ -60,6 +60,13 @@ def tree_fingerprint(df: DataFrame, order: str, *columns: str, chunk: int = 100_
     return identity_tree.root(identity_tree.tree(df, order, row_digest(*columns), chunk, 1)).select("fingerprint", "n_rows")
 
 
+def run_fingerprint(df: DataFrame, order: str, *columns: str, chunk: int = 100_000) -> DataFrame:
+    """As tree_fingerprint(), of two levels however many runs there are: the fingerprints of all runs are digested from front to back, a ``chunk``-th of what fingerprint() reads."""
+    identity_tree.last(df, order)
+    runs = settle(identity_tree.leaves(df, order, row_digest(*columns), chunk), "runs")
+    return ordered_digest(runs, "node", F.unhex("digest"), "fingerprint").select("fingerprint").crossJoin(runs.agg(F.sum("n").cast("long").alias("n_rows")))
+
+
 def duplicates(df: DataFrame, digest: Column, index: str) -> DataFrame:
     """(digest, n_rows, first_row, rows): groups of two rows or more, ascending; counts first, so that only rows of groups are gathered."""
     keyed = df.select(digest.alias("digest"), F.col(index).alias("i"))

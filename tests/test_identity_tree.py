@@ -2,9 +2,12 @@
 
 import hashlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from millrace.operators import identity_tree, profile
 from millrace.operators.rows import RowError
 
@@ -61,3 +64,17 @@ def test_front_to_back_reads_sorted_files(spark):
     assert got.first() == (want, 500)
     assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
     assert profile.ordered_digest(df.limit(0), "i", F.unhex("d"), "x").first() == (hashlib.sha256().hexdigest(), 0)
+
+
+@pytest.mark.parametrize("name", ["input_tree", "tree_fingerprint"])
+def test_queries_past_the_levels_of_their_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    n = 16**4 + 300
+    docs = pa.table({"doc_id": range(n), "n_chars": [i % 911 for i in range(n)], "source": [f"s{i % 7}" for i in range(n)]})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", docs)
+    found = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = __spark_entry__.queries()[name](spark, str(tmp_path)).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
