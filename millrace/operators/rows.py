@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.order import running_sum, seeded
+from millrace.operators.order import dense_index, running_sum, seeded
 
 
 class RowError(ValueError):
@@ -24,16 +24,37 @@ def shuffle(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(seeded(seed, *keys), *keys)
 
 
+#: Rows that a top-k may gather in one task.
+TOP = 10_000
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The ``n`` rows that come first in ``order``, in no order themselves.
+
+    More than TOP of them are those up to the n-th order value, which is found among the order columns by ranges; no row meets the others.
+    """
+    if n <= TOP:
+        return df.orderBy(*order).limit(n)
+    numbered = dense_index(df.select(*order), *order, into="__at")
+    last = numbered.filter(F.col("__at") == n - 1).first()
+    if last is None:
+        return df
+    kinds, key = dict(df.dtypes), F.struct(*order)
+    bound = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in order])
+    before = numbered.filter(key < bound).count()
+    return df.filter(key < bound).unionByName(df.filter(key == bound).limit(n - before))  # rows that share the last value, mostly one
+
+
 def sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """Exactly ``n`` rows without replacement, in input order. A top-k, not a full sort."""
+    """Exactly ``n`` rows without replacement, in input order."""
     if n < 0:
         raise RowError(f"cannot sample {n} rows")
     mark = "__rank"
-    return df.withColumn(mark, seeded(seed, *keys)).orderBy(mark, *keys).limit(n).drop(mark).orderBy(*keys)
+    return first_rows(df.withColumn(mark, seeded(seed, *keys)), n, mark, *keys).drop(mark).orderBy(*keys)
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    return first_rows(df, n, *order).orderBy(*order)
 
 
 def split_count(total: int, n: int | None = None, fraction: float | None = None) -> int:

@@ -64,6 +64,17 @@ def test_mix_and_replay(spark, numbers):
         rows.replay_mix(numbers, other, 0.2, "id")
 
 
+@pytest.mark.parametrize("n", [6, 40, 99, 150])
+def test_samples_past_a_top_k_meet_in_no_task(spark, monkeypatch, n):
+    monkeypatch.setattr(rows, "TOP", 5, raising=False)
+    df = spark.range(120).select((F.col("id") % 100).alias("id"), F.lit("text").alias("text"))  # some keys twice
+    rank = lambda i: __import__("hashlib").md5(f"3:{i}".encode()).hexdigest()
+    want = sorted(sorted((i % 100 for i in range(120)), key=lambda i: (rank(i), i))[:n])
+    got = rows.sample(df, n, 3, "id")
+    assert [r["id"] for r in got.collect()] == want
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString() and "Sort [__rank" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dedup_append_compares_nulls(spark):
     old = spark.createDataFrame([("a", None), ("b", "r")], "u string, r string")
     new = spark.createDataFrame([(0, "a", None), (1, "a", ""), (2, "c", None), (3, "c", None)], "i long, u string, r string")
