@@ -117,4 +117,4 @@ TABLE_FUNCTIONS = {"chunk_text": ChunkText, "md_sections": MarkdownSections, "he
 
 def register_tables(spark: SparkSession) -> None:
     for name, function in TABLE_FUNCTIONS.items():
-        spark.udtf.register(name, udtf(function, useArrow=True))
+        spark.udtf.register(name, udtf(function, useArrow=False))  # with Arrow, Spark makes a batch of what each single row gives

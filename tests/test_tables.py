@@ -22,6 +22,12 @@ def test_chunks(spark, sql):
     assert sql("SELECT * FROM chunk_text(TABLE({docs}), key => 'name', text => 'body', most => 10)", docs=docs.limit(0)).count() == 0
 
 
+def test_rows_do_not_each_become_a_batch(sql):
+    lines = "(SELECT id % 7 AS file, id AS n, '{\"k\": 1,}' AS line FROM range(50))"
+    plan = sql(f"SELECT * FROM heal(TABLE({lines[1:-1]}) PARTITION BY file ORDER BY n, key => 'file', number => 'n', line => 'line')")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
 @pytest.mark.parametrize(
     "call, said",
     [
