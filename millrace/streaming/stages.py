@@ -63,9 +63,11 @@ class StageNotices(StatefulProcessor):
             i = places[-1]
             _, before, known, known_unit, started, measured = stack[i]
             stack[i] = (label, completed, known if total is None else total, unit or known_unit, started, measured if completed == before else now)
-            shown = self.counts.getValue((label,))
+            if label not in self.known:  # the store is asked once for each label and batch
+                self.known[label] = self.counts.getValue((label,))
+            shown = self.known[label]
             if shown is None or now - shown[0] >= self.gap:
-                self.counts.updateValue((label,), (now,))
+                self.known[label] = self.fresh[label] = (now,)
                 yield now, kind, described(*stack[i][:4])
         elif kind in ("end", "fail") and places:  # the innermost of that label; a failure leaves the enclosing stage open, too
             done = stack.pop(places[-1])
@@ -83,13 +85,15 @@ class StageNotices(StatefulProcessor):
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["source", "at", "kind", "text"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["seconds", "seq"])
+        columns = ("seconds", "seq", "kind", "label", "completed", "total", "unit", "message")
+        events = [e for frame in rows for e in zip(*[frame[c].tolist() for c in columns], strict=True)]
+        events.sort(key=lambda e: e[:2])
         stack, out = self._open(), []
+        self.known, self.fresh = {}, {}
         last = self.last.get()[0] if self.last.exists() else None
-        columns = [events[c].astype(object).where(events[c].notna(), None) for c in ("kind", "label", "completed", "total", "unit", "message")]
-        for at, event in zip(events["seconds"], zip(*columns, strict=True), strict=True):
+        for at, _, *event in events:
             now = float(at) if self.by_event_time else timerValues.getCurrentProcessingTimeInMs() / 1000
-            event = tuple(int(v) if i in (2, 3) and v is not None else v for i, v in enumerate(event))
+            event = [None if v is None or v != v else int(v) if i in (2, 3) else v for i, v in enumerate(event)]
             while self.by_event_time and stack and last + self.wait < now:  # what the timer would have said before this event
                 last += self.wait
                 out.append(self._notice(stack, last))
@@ -98,6 +102,8 @@ class StageNotices(StatefulProcessor):
             if shown or last is None:
                 last = now
         self._keep(stack)
+        for label, shown in self.fresh.items():
+            self.counts.updateValue((label,), shown)
         self.last.update((last,))
         self._alarm(stack, last)
         yield self._frame(key, out)
