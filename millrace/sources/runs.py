@@ -72,6 +72,8 @@ def records_between(uri: str, start: int, stop: int, size: int, required: tuple[
 
 #: Ranges that one task opens at most; small runs share a task.
 RANGES = 200
+#: Runs whose states make a batch; a log alone may have LOG_BYTES.
+TOGETHER = 64
 
 
 class RunPart(InputPartition):
@@ -157,26 +159,27 @@ def _state(folder: str, lines: int) -> tuple:
     """A row of STATES. Records are read one after the other; those of evaluations are kept by step."""
     uri = f"{folder}/{METRICS}"
     last, losses = None, {}
-    for f in storage.found_files(uri):
-        for _, r in records_between(uri, 0, f.size, f.size):
+    system, path = storage.system_of(folder)
+    inside = system.get_file_info(storage.fs.FileSelector(path))
+    files = {i.base_name: i.size for i in inside if i.type == storage.fs.FileType.File}
+    if METRICS in files:
+        for _, r in records_between(uri, 0, files[METRICS], files[METRICS]):
             last = (r["step"], r.get("max_steps"))
             if r.get("eval") and r["log"].get("eval_loss") is not None:
                 losses[r["step"]] = float(r["log"]["eval_loss"])
-    system, path = storage.system_of(folder)
-    inside = system.get_file_info(storage.fs.FileSelector(path))
     steps = sorted(int(m[1]) for i in inside if i.type == storage.fs.FileType.Directory and (m := re.fullmatch(r"checkpoint-(\d+)", i.base_name)))
     best = min((losses[s] for s in steps if s in losses), default=None)
     checkpoints = [{"step": s, "eval_loss": losses.get(s), "best": s in losses and losses[s] == best} for s in steps]
-    verify = _json_file(f"{folder}/{VERIFY}")
+    verify, preflight = (_json_file(f"{folder}/{name}") if name in files else None for name in (VERIFY, PREFLIGHT))
     if verify is not None:
         phase = "verified"
     elif last is None:
         phase = "starting"
     else:
         phase = "trained" if last[1] and last[0] >= last[1] else "training"
-    config = storage.whole_text(f"{folder}/{CONFIG}")
+    config = storage.whole_text(f"{folder}/{CONFIG}") if CONFIG in files else None
     step, most = last or (None, None)
-    return folder.rsplit("/", 1)[1], phase, step, most, checkpoints, config.decode() if config is not None else None, _json_file(f"{folder}/{PREFLIGHT}"), verify, _log(f"{folder}/{LOG}", lines)
+    return folder.rsplit("/", 1)[1], phase, step, most, checkpoints, config.decode() if config is not None else None, preflight, verify, _log(f"{folder}/{LOG}", lines) if LOG in files else []
 
 
 def _log(uri: str, lines: int) -> list[str]:
@@ -202,9 +205,10 @@ def run_states(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("run").to_pylist():
-                row = _state(f"{root}/{name}", lines)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], columns)
+            found = batch.column("run").to_pylist()
+            for i in range(0, len(found), TOGETHER):
+                rows = [_state(f"{root}/{name}", lines) for name in found[i : i + TOGETHER]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
 
     listed = spark.createDataFrame([(n,) for n in names], "run string").repartition("run")
     return listed.mapInArrow(run, STATES)
