@@ -205,9 +205,9 @@ def stage_notices(spark, sf_dir):
     return shown.groupBy(F.col("source").cast("long").alias("user_id"), "kind").agg(F.count("*").alias("n"))
 
 
-def _run_folders(spark, sf_dir) -> str:
-    """A folder with a run folder for each user: its events as metric records, purchases as evaluations, checkpoints at each fifth event of
-    all, a verification of each seventh user's."""
+def _run_folders(spark, sf_dir, checkpoints: bool) -> str:
+    """A folder with a run folder for each user: its events as metric records, purchases as evaluations, with ``checkpoints`` one at each fifth
+    event of all, a verification of each seventh user's."""
     root = scratch(spark, "runs")
     rows = _events(spark, sf_dir).crossJoin(F.broadcast(_events(spark, sf_dir).agg((F.max("event_id") - 20).alias("most"))))  # one row
     log = F.when(F.col("event_type") == "purchase", F.create_map(F.lit("eval_loss"), "value")).otherwise(F.create_map(F.lit("loss"), "value"))
@@ -223,7 +223,7 @@ def _run_folders(spark, sf_dir) -> str:
             for line in table.column("record").to_pylist():
                 f.write(line.encode() + b"\n")
         for step in table.column("event_id").to_pylist():
-            if step % 5 == 0:
+            if checkpoints and step % 5 == 0:
                 system.create_dir(f"{path}/checkpoint-{step}")
         if user % 7 == 0:
             with system.open_output_stream(f"{path}/{runs.VERIFY}", compression=None) as f:
@@ -241,7 +241,7 @@ def _run_folders(spark, sf_dir) -> str:
 )
 def run_records(spark, sf_dir):
     """Totals of the metric records of all run folders from step 100 on."""
-    found = runs.read_runs(spark, _run_folders(spark, sf_dir), steps=(100, None), most=1 << 16)
+    found = runs.read_runs(spark, _run_folders(spark, sf_dir, False), steps=(100, None), most=1 << 16)
     total = lambda name: F.round(F.sum(F.col("log")[name]), 6).alias(name)
     return found.groupBy("run").agg(F.count("*").alias("records"), total("eval_loss"), total("loss"), F.count("preset").alias("judged"), F.max("step").alias("last_step"))
 
@@ -255,7 +255,7 @@ def run_records(spark, sf_dir):
 )
 def run_states(spark, sf_dir):
     """Phase, checkpoints and the best of them for each run folder."""
-    states = runs.run_states(spark, _run_folders(spark, sf_dir))
+    states = runs.run_states(spark, _run_folders(spark, sf_dir, True))
     best = F.array_min(F.transform(F.filter("checkpoints", lambda c: c["best"]), lambda c: c["step"]))
     return states.select("run", "phase", "step", F.size("checkpoints").cast("long").alias("checkpoints"), best.alias("best"), F.col("verify").isNotNull().alias("verified"))
 

@@ -32,12 +32,18 @@ def found_files(pattern: str) -> list[Found]:
     base, wanted = "/".join(parts[:fixed]) or "/", parts[fixed:]
     system, path = system_of(base)
     path = path.rstrip("/")
-    listed = system.get_file_info(fs.FileSelector(path or "/", allow_not_found=True, recursive=len(wanted) > 1))
+    at, listed = [path], []
+    for part in wanted:  # only folders that match are listed, and none for a name that is given
+        if any(c in part for c in "*?["):
+            listed = [i for p in at for i in system.get_file_info(fs.FileSelector(p or "/", allow_not_found=True)) if fnmatch.fnmatchcase(i.base_name, part)]
+        else:
+            listed = system.get_file_info([f"{p}/{part}" for p in at])
+        at = [i.path for i in listed if i.type == fs.FileType.Directory]
     out = []
     for info in listed:
-        inner = info.path[len(path) :].strip("/").split("/")
-        if info.type == fs.FileType.File and len(inner) == len(wanted) and all(map(fnmatch.fnmatchcase, inner, wanted)):
-            out.append(Found("/".join([base.rstrip("/"), *inner]), info.size, info.mtime.timestamp() if info.mtime else 0.0))
+        if info.type == fs.FileType.File:
+            inner = info.path[len(path) :].strip("/")
+            out.append(Found(f"{base.rstrip('/')}/{inner}", info.size, info.mtime.timestamp() if info.mtime else 0.0))
     return sorted(out, key=lambda f: f.name)
 
 
