@@ -7,14 +7,16 @@ at most m - 1 edits, hence a segment j of it, counted from its end of the line,
 outside it: it has moved by j characters at most. So each line is listed under its own segments and asks under its
 substrings at places shifted by up to j. Pairs that meet are verified by the banded edit distance.
 
-Most segments are nobody else's. Rows are kept from the shuffle by bits of fixed number, set for the hashes of own
+Most segments are nobody else's. Rows are kept from the shuffle by bits of fixed number, three of a word set for each hash of own
 segments: an asking row passes if some line owns its hash, an owning row if another line owns it or a row that
 passed asks for it. A false hit costs work only.
 
 Under each segment, lines are first held against its earliest owner; a line that no link makes late by then is
 held against all earlier ones of that segment, in blocks of CROWD owners. Groups of near copies are linear by
 this. Lines that share a segment without being near, and are near no earlier line, meet in pairs; of these only those
-are verified whose counts of LETTERS allow it: an edit changes one count up and one down at most.
+are verified whose counts of LETTERS allow it: an edit changes one count up and one down at most. Counts are kept
+modulo 10 as codes of five bits of which neighbours differ in one bit, so the bits in which two lines differ are no more
+than what their counts do, and one comparison takes few operations: the JVM does not compile methods of over 8000 bytes.
 
 A segment that more than CROWD lines own is often a fixed lead or end, and its lines are not near each other. Where one edit is allowed
 and many of these lines are not late yet, they do not meet in pairs: two of them are near if one character taken from the same place of both, or from the
@@ -34,9 +36,10 @@ from millrace.session import settle, unsettle
 
 #: Owners of a segment that one block of comparisons holds.
 CROWD = 256
-SMALL_ROWS = 1 << 19
-#: Bits for the hashes of segments, 64 to a row of what the executors get: two million rows of two numbers.
+SMALL_ROWS = 1 << 18
+#: Bits for the hashes of segments, 16 MB in all, WORDS numbers of 64 bits to a row of what the executors get: 262144 rows.
 CELL_BITS = 27
+WORDS = 8
 #: Characters that are counted; any would do, frequent ones come first as they tell most lines apart.
 LETTERS = "eanirtsoldhucmpgbfvyqwkjxz0123456789"
 #: (least characters, edits): two more edits each time that the length doubles.
@@ -141,18 +144,16 @@ def _shapes(number: int, least: int, edits: int, own: bool, asks: bool) -> list[
 
 def _chosen(classes: tuple, own: bool, asks: bool) -> Column:
     """array<struct(segment, at, size, own)> of a line of n characters; a line is also listed in the next class if a line of that could be near."""
-    main, after = [], []
-    for i, (least, edits) in enumerate(classes):
-        below = f"n < {classes[i + 1][0]}" if i + 1 < len(classes) else "true"
-        if shapes := _shapes(i, least, edits, own, asks):
-            main.append(f"WHEN n >= {least} AND {below} THEN array({', '.join(shapes)})")
-        if i and own:
-            after.append(f"WHEN n >= {least - edits} AND n < {least} THEN array({', '.join(_shapes(i, least, edits, True, False))})")
-    chosen = f"CASE {' '.join(main)} END"
-    if after:
-        none = f"filter(array({_shapes(0, *classes[0], True, False)[0]}), x -> false)"
-        chosen = f"concat({chosen}, CASE {' '.join(after)} ELSE {none} END)"
-    return F.expr(chosen)
+    reach = [least - edits if i else least for i, (least, edits) in enumerate(classes)]
+    bounds = sorted({least for least, _ in classes} | (set(reach) if own else set()))
+    branches = []
+    for i, low in enumerate(bounds):
+        main = max((k for k, (least, _) in enumerate(classes) if least <= low), default=None)
+        shapes = [] if main is None else _shapes(main, *classes[main], own, asks)
+        shapes += [x for k, (least, edits) in enumerate(classes) if own and reach[k] <= low < least for x in _shapes(k, least, edits, True, False)]
+        if shapes:
+            branches.append(f"WHEN n >= {low} AND {f'n < {bounds[i + 1]}' if i + 1 < len(bounds) else 'true'} THEN array({', '.join(shapes)})")
+    return F.expr(f"CASE {' '.join(branches)} END")
 
 
 def _key(line: Column, n: Column, shape: Column) -> Column:
@@ -169,34 +170,49 @@ def _keyed(lines: DataFrame, classes: tuple, own: bool, asks: bool) -> DataFrame
     return rows.select(F.when(F.col("raw").isNotNull(), _key(F.col("raw"), n, s)).otherwise(_key(F.col("line"), n, s)).alias("key"), "h", F.col("s.own").alias("own"))
 
 
-def _word() -> Column:
-    return F.shiftrightunsigned("key", 64 - CELL_BITS + 6).alias("word")
+def _part() -> Column:
+    return F.shiftrightunsigned("key", 64 - CELL_BITS + 9).alias("part")
 
 
 def _bit() -> Column:
-    return F.call_function("shiftleft", _bits(1), F.shiftrightunsigned("key", 64 - CELL_BITS).cast("int") % 64)
+    """Three bits of the key's word, by 18 bits of the key."""
+    return reduce(lambda u, v: u.bitwiseOR(v), [F.call_function("shiftleft", _bits(1), (F.shiftrightunsigned("key", 64 - CELL_BITS - 6 * i) % 64).cast("int")) for i in range(3)])
+
+
+def _word() -> Column:
+    return (F.shiftrightunsigned("key", 64 - CELL_BITS + 6) % WORDS).cast("int").alias("word")
+
+
+def _ored(bits: Column, name: str) -> list[Column]:
+    """Aggregates, the WORDS numbers of a part: ``bits`` of the rows of each word."""
+    return [F.coalesce(F.bit_or(F.when(F.col("word") == i, bits)), _bits(0)).alias(f"{name}{i}") for i in range(WORDS)]
 
 
-def _with_bits(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows (key, h, own) whose bit ``words`` (word, bits) has: at most 2 ** (CELL_BITS - 6) rows, so they may be broadcast."""
-    return rows.withColumn("word", _word()).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(_bit()) != 0).select("key", "h", "own")
+def _with_bits(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """The rows (key, h, own) whose bits the ``table`` (part, and WORDS numbers by ``name``) has: 2 ** CELL_BITS bits at most, so it may be broadcast."""
+    bits = reduce(lambda then, i: F.when(F.col("word") == i, F.col(f"{name}{i}")).otherwise(then), range(1, WORDS), F.col(f"{name}0"))
+    table = table.select("part", *[f"{name}{i}" for i in range(WORDS)])
+    return rows.select("*", _part(), _word()).join(F.broadcast(table), "part").filter(bits.bitwiseAND(_bit()) == _bit()).select("key", "h", "own")
 
 
 def meetings(lines: DataFrame, classes: tuple) -> DataFrame:
     """(key, h, own, owners): rows of segments that a line owns and another owns or asks for."""
     owned = settle(_keyed(lines, classes, own=True, asks=False), "owned")
-    keys = owned.select(_word(), "key", F.shiftright("h", 33).cast("int").alias("t")).repartition("word").groupBy("word", "key").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-    bits = settle(keys.groupBy("word").agg(F.bit_or(_bit()).alias("seen"), F.bit_or(F.when(F.col("low") < F.col("high"), _bit()).otherwise(_bits(0))).alias("twice")), "bits")
-    asking = settle(_with_bits(_keyed(lines, classes, own=False, asks=True), bits.select("word", F.col("seen").alias("bits"))), "asking") if any(e > 1 for _, e in classes) else None
-    wanted = bits.select("word", F.col("twice").alias("bits")).filter("bits <> 0")
-    if asking is not None:
-        wanted = settle(wanted.union(asking.select(_word(), _bit())).groupBy("word").agg(F.bit_or("bits").alias("bits")), "wanted")
-    rows = _with_bits(owned, wanted)
+    keys = owned.select(_part(), "key", F.shiftright("h", 33).cast("int").alias("t")).repartition("part").groupBy("part", "key").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    keys = keys.select("part", _word(), _bit().alias("bit"), F.when(F.col("low") < F.col("high"), _bit()).otherwise(_bits(0)).alias("more"))
+    table = settle(keys.groupBy("part").agg(*_ored(F.col("bit"), "seen"), *_ored(F.col("more"), "twice")), "bits")
+    asking, wanted = None, table
+    if any(e > 1 for _, e in classes):
+        asking = settle(_with_bits(_keyed(lines, classes, own=False, asks=True), table, "seen"), "asking")
+        asked = asking.select(_part(), _word(), _bit().alias("bit")).groupBy("part").agg(*_ored(F.col("bit"), "asked"))
+        either = [F.col(f"twice{i}").bitwiseOR(F.coalesce(f"asked{i}", _bits(0))).alias(f"twice{i}") for i in range(WORDS)]  # what is asked for is seen
+        wanted = settle(table.join(asked, "part", "left").select("part", *either), "wanted")
+    rows = _with_bits(owned, wanted, "twice")
     rows = (rows if asking is None else rows.union(asking)).repartition("key").groupBy("key", "h").agg(F.max("own").alias("own"))
     same = Window.partitionBy("key")
     counted = rows.select("*", F.count_if("own").over(same).alias("owners"), F.count("*").over(same).alias("all"))
     met = settle(counted.filter("owners > 0 AND all > 1").select("key", "h", "own", "owners"), "met")
-    unsettle(owned, bits, *([] if asking is None else [asking, wanted]))
+    unsettle(owned, table, *([] if asking is None else [asking, wanted]))
     return met
 
 
@@ -215,23 +231,23 @@ def _near(a: Column, b: Column, n: Column, m: Column, classes: tuple) -> Column:
 
 
 def _side(line: Column, n: Column, classes: tuple) -> list[Column]:
-    """n, edits (allowed by the line's own length), counted (characters in LETTERS) and the counts of LETTERS, four to a number."""
-    counts = [F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))), F.lit(0xFFFF)).cast("long") for x in LETTERS]
-    words = [reduce(lambda u, v: u.bitwiseOR(v), [F.shiftleft(c, 16 * i) for i, c in enumerate(counts[a : a + 4])]).alias(f"w{a // 4}") for a in range(0, len(counts), 4)]
-    return [n.alias("n"), _allowed(n, n, classes).alias("edits"), reduce(lambda u, v: u + v, counts).alias("counted"), *words]
+    """n, edits (allowed by the line's own length) and of: counted (characters in LETTERS) and the codes of their counts, twelve to a number."""
+    codes = F.lit([(1 << k) - 1 for k in range(5)] + [31 ^ ((1 << k) - 1) for k in range(5)]).cast("array<long>")
+    counts = F.transform(F.lit(list(LETTERS)), lambda x: F.octet_length(line) - F.octet_length(F.replace(line, x, F.lit(""))))
+    coded = lambda some: F.aggregate(some, _bits(0), lambda w, c: F.shiftleft(w, 5).bitwiseOR(F.get(codes, c % 10)))
+    words = lambda c: [coded(F.slice(c, i + 1, 12)).alias(f"w{i // 12}") for i in range(0, len(LETTERS), 12)]
+    of = let(counts, lambda c: F.struct(F.aggregate(c, F.lit(0), lambda u, v: u + v).alias("counted"), *words(c)))
+    return [n.alias("n"), _allowed(n, n, classes).alias("edits"), of.alias("of")]
 
 
 def _may_be_near(a: Column, b: Column) -> Column:
     """Whether what _side() says of two lines leaves it open that they are near; false only of lines that are not.
 
-    Of counts that go up by u and down by v in all, u and v are no more than the edits; u + v is summed here, u - v is known.
+    Of counts that go up by u and down by v in all, u and v are no more than the edits; at most u + v is summed here, u - v is known.
     """
-    twice = 2 * F.greatest(a["edits"], b["edits"])
-    one = lambda x, i: F.shiftrightunsigned(x[f"w{i // 4}"], 16 * (i % 4)).bitwiseAND(0xFFFF)
-    gaps = [F.abs(one(a, i) - one(b, i)) for i in range(len(LETTERS))]
-    many = F.abs(a["counted"] - b["counted"])
-    few = reduce(lambda u, v: u + v, gaps[:12]) <= twice
-    return (2 * F.abs(a["n"] - b["n"]) <= twice) & (many <= twice) & few & (reduce(lambda u, v: u + v, gaps) + many <= twice)
+    edits = F.greatest(a["edits"], b["edits"])
+    gaps = reduce(lambda u, v: u + v, [F.bit_count(a["of"][f"w{i}"].bitwiseXOR(b["of"][f"w{i}"])) for i in range(len(LETTERS) // 12)])
+    return (F.abs(a["n"] - b["n"]) <= edits) & (gaps + F.abs(a["of"]["counted"] - b["of"]["counted"]) <= 2 * edits)
 
 
 def _listed_below(classes: tuple) -> int:
@@ -338,21 +354,23 @@ def dedup_lines(docs: DataFrame, edits: int | tuple = 1, least: int = 32) -> Dat
     lines = _lines(docs, least)
     if isinstance(edits, tuple):
         lines = lines.filter((F.ascii("line") > 32) | F.col("line").rlike(NOT_SPACE))
-    lines = lines.select("id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"), "line", "n")
-    distinct = settle(lines.groupBy("h", "g").agg(F.min("id").alias("head"), F.count("*").alias("many")), "lines")
+    lines = settle(lines.select("id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(11), F.col("line")).alias("g"), "line", "n"), "lines")
+    marks = lines.select("id", "h", "g")
+    copied = settle(marks.groupBy("h", "g").agg(F.count("*").alias("many")).filter("many > 1").select("h", "g"), "copied")
+    heads = marks.join(_few(copied), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min("id").alias("head"))
     late = late_lines(lines, classes)
-    marked = late.withColumn("late", F.lit(True))
-    changed = distinct.join(_few(marked), ["h", "g"], "left").filter("many > 1 OR late").select("h", "g", "head", F.coalesce("late", F.lit(False)).alias("late"))
+    changed = heads.join(late.withColumn("late", F.lit(True)), ["h", "g"], "full").select("h", "g", "head", F.coalesce("late", F.lit(False)).alias("late"))
     changed = settle(changed, "changed")
-    unsettle(distinct, late)
-    gone = lines.select("id", "h", "g").join(_few(changed), ["h", "g"]).filter("late OR id <> head")
+    unsettle(copied, late)
+    gone = marks.join(_few(changed), ["h", "g"]).filter("late OR id <> head")
     doc, mark, places, own = (unused(docs, c) for c in ("of_doc", "of_text", "places", "own_text"))
-    by_doc = gone.groupBy(F.col("id.doc").alias(doc), F.col("id.mark").alias(mark)).agg(F.collect_set("id.pos").alias(places))
+    by_doc = settle(gone.groupBy(F.col("id.doc").alias(doc), F.col("id.mark").alias(mark)).agg(F.collect_set("id.pos").alias(places)), "gone")
+    unsettle(lines, changed)
     whole = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias(own))
     joined = whole.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)), "left")
     stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(places))
     left = let(F.split("text", "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n"))
     kept = F.when(F.col(places).isNull(), F.col("text")).otherwise(left)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_removed = F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).cast("long")
     return joined.select(*[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))

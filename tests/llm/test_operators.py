@@ -18,7 +18,7 @@ from millrace.llm import decontaminate, line_dedup, packing, quality_rules, repe
 from millrace.llm.bpe_automaton import TokenCounter  # noqa: E402
 from millrace.llm.packing import SumOfSquares  # noqa: E402
 from millrace.llm.piece_encoder import PieceEncoder  # noqa: E402
-from millrace.session import scratch  # noqa: E402
+from millrace.session import scratch, settle  # noqa: E402
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
@@ -516,6 +516,47 @@ def test_lines_of_production_allow_more_edits(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in catalog.op7_line_dedup(spark, "").collect()} == {1: 0, 2: 2}
 
 
+def test_counts_leave_near_lines(spark):
+    """What the counts refuse is not near, whatever the number of a letter, and most unlike lines are refused; the JVM compiles the filter: no method of over 8000 bytes."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        n = rng.choice([32, 64, 127, 128, 256, 600, 1100])
+        a = "".join(rng.choice("aaaaaen Zé0179") for _ in range(n))
+        b, edits = list(a), max(e for least, e in line_dedup.CLASSES if least <= n)
+        for _ in range(rng.randint(0, edits)):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("ae0Zz")]
+        rows += [(a, "".join(b), True), (a, "".join(rng.choice("ethlas dn") for _ in range(n)), False)]
+    df = spark.createDataFrame(rows, "a string, b string, near boolean")
+    side = lambda x: F.struct(*line_dedup._side(F.col(x), F.length(x), line_dedup.CLASSES)).alias(x)
+    sides = settle(df.select(side("a"), side("b"), "near"), "sides")
+    left = sides.filter(line_dedup._may_be_near(F.col("a"), F.col("b")))
+    counts = Counter(r["near"] for r in left.collect())
+    assert counts[True] == 300 and counts[False] < 15
+    text = spark._jvm.PythonSQLUtils.explainString(left._jdf.queryExecution(), "codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_bits_of_segments_are_few_rows(spark, monkeypatch):
+    """16 MB of bits are broadcast in at most 2 ** 18 rows; a row for each 64 bits took several times that in the driver."""
+    tables, real = {}, line_dedup.settle
+
+    def kept(df, name):
+        tables[name] = real(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(line_dedup, "settle", kept)
+    monkeypatch.setattr(line_dedup, "unsettle", lambda *tables: None)
+    lines = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.sha1(F.col("id").cast("string")), F.repeat(F.lit("x"), 80)).alias("text"))
+    assert line_dedup.dedup_lines(lines, line_dedup.CLASSES, 1).count() == 500
+    for name in ("bits", "wanted"):
+        first = tables[name].columns[0]
+        low, high, n = tables[name].agg(F.min(first), F.max(first), F.count("*")).first()
+        assert 0 <= low and high < 1 << 18 and n > 0
+
+
 def test_lines_stay_native(docs):
     plan = line_dedup.dedup_lines(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
