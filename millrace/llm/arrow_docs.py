@@ -62,6 +62,19 @@ def frugal_group(reduce: Callable) -> Callable:
     return of_group
 
 
+def frugal_cogroup(run: Callable) -> Callable:
+    """``run`` for applyInArrow on two tables, with release() after each pair of groups."""
+
+    @wraps(run)
+    def of_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return of_groups
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values as bytes; null becomes the empty string."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

@@ -240,6 +240,29 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_pieces_that_meet_follow_the_input(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    both = line(200)
+    rows = [(i, line(300) + (both if i in (3, 60) else "") + line(100)) for i in range(100)]
+    source = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "0L AS digest", "text", "false AS copied", "cast(doc_id % 7 AS int) AS slice")
+    met = repeats.met_elsewhere(source, 50, 20, repeats.Cells(64)).collect()
+    keys = [{k for t, *_, k in zip(*repeats.pieces(*repeats._joined([rows[i][1].encode()]), 50, 20), strict=True)} for i in (3, 60)]
+    want = len(keys[0] & keys[1])
+    assert {r["slice"] for r in met} == {3, 60 % 7} and want > 5
+    assert sum(int.from_bytes(r["bits"]).bit_count() for r in met) == 2 * want
+    for size in (1 << 30, 1 << 33, 60 << 30):  # a k-gram leads a piece in some 16 bytes: few share a hash, whatever the input
+        assert size / 16 < 0.05 * (1 << repeats.Cells(repeats._parts(size, repeats.HASH_BYTES)).bits + repeats.HASH_BITS)
+
+
+def test_repeats_shuffle_the_texts_once(spark):
+    df = spark.createDataFrame([(i, f"the same long line of text that all documents hold, word for word {i}") for i in range(20)], SCHEMA)
+    out = repeats.remove_repeats(df)
+    assert len(out.collect()) == 20
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2, plan
+
+
 def test_backward_extension_finds_all_repeated_strings():
     rng = random.Random(1)
     for _ in range(20):
