@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from millrace.llm.arrow_docs import bounded_batches, frugal, slices, utf8
-from millrace.llm.piece_encoder import encoder
+from millrace.llm.piece_encoder import PieceEncoder, encoder
 
 Piece = tuple  # (key, start, ids, ids of the whole document)
 _NEVER = 1 << 40
@@ -117,9 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 4096, key: str =
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+    def packed(batches: Iterator[pa.RecordBatch], encode: PieceEncoder) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         key_type = None
 
@@ -150,5 +148,10 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 4096, key: str =
         if rows:
             yield made()
 
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(tokenizer) as encode:
+            yield from packed(batches, encode)
+
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(key, text).mapInArrow(run, schema)

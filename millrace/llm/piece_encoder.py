@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once.
 
 The tokenizer files meant here drop white space and never join tokens across it, so a text's ids are those
-of its pieces between ASCII white space, one after the other. A worker keeps the ids of pieces it has met.
+of its pieces between ASCII white space, one after the other. A task keeps the ids of pieces it has met.
 
 Most pieces are a run of letters of the first 256 code points, often with ASCII marks after it. To such a file these
 are one or two words that its normaliser only puts into lower case, so they go to the library's model at once, written
@@ -13,13 +13,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 
 from millrace.llm.bpe_automaton import byte_letters
 
-#: Pieces of a generation; a worker holds two.
+#: Pieces of a generation; a task holds two.
 GENERATION = 250_000
 #: Longer pieces are not remembered, so that a generation is some 60 MB at most.
 LONGEST = 64
@@ -62,6 +64,10 @@ class PieceEncoder:
         known[_STOP] = _STOP_ID.to_bytes(4, "little")
         return known
 
+    def forget(self) -> None:
+        """Drop the pieces met so far."""
+        self.known = self._next({})
+
     def _ids(self, piece: bytes) -> bytes:
         word = _WORD.fullmatch(piece)
         if word is None:
@@ -90,5 +96,15 @@ class PieceEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> PieceEncoder:
+def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[PieceEncoder]:
+    """The worker's encoder for one task; its pieces go with the task, as idle workers live on while later stages need the machine."""
+    own = _encoder(path)
+    try:
+        yield own
+    finally:
+        own.forget()

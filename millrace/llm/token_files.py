@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import files
 from millrace.llm.arrow_docs import bounded_batches, frugal, slices, utf8
-from millrace.llm.piece_encoder import encoder
+from millrace.llm.piece_encoder import PieceEncoder, encoder
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -83,9 +83,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, key: st
     bounded_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, encode = zstandard.ZstdCompressor(level=1), encoder(tokenizer)
+    def written(batches: Iterator[pa.RecordBatch], encode: PieceEncoder) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
         width = 2 if encode.library.get_vocab_size() <= 0xFFFF and end <= 0xFFFF else 4
         part = TaskContext.get().partitionId()
         out, entries, rows = None, [], []
@@ -121,6 +120,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, key: st
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _INDEX_TYPES, strict=True)], _INDEX_NAMES)
 
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(tokenizer) as encode:
+            yield from written(batches, encode)
+
     placed = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(partitions, key).sortWithinPartitions(key, text)
     placed.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")

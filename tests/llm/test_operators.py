@@ -1,5 +1,6 @@
 """The ten operators against plain versions on small rows: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import contextlib
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from millrace.llm import decontaminate, line_dedup, packing, quality_rules, repeats, secret_scan, shingle_join, token_counts, token_files, warc  # noqa: E402
 from millrace.llm.bpe_automaton import TokenCounter  # noqa: E402
 from millrace.llm.packing import SumOfSquares  # noqa: E402
-from millrace.llm.piece_encoder import PieceEncoder  # noqa: E402
+from millrace.llm.piece_encoder import PieceEncoder, encoder  # noqa: E402
 from millrace.session import scratch, settle  # noqa: E402
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -372,6 +374,24 @@ def test_pieces_equal_whole_texts(library):
         assert [x.tolist() for x in got] == [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_remembered_pieces_go_with_the_task(spark, docs, tmp_path):
+    def held(batches):
+        for _ in batches:
+            with encoder(BPE) as own:
+                yield pa.RecordBatch.from_arrays([pa.array([len(own.known) + len(own.known.before)])], ["n"])
+
+    most = lambda: max(r["n"] for r in spark.range(0, 32, 1, 16).mapInArrow(held, "n long").collect())
+    packing.pack(docs, BPE, 2).collect()
+    assert most() == 1
+    token_files.write_tokens(docs, f"file://{tmp_path}/t", BPE, end=2)
+    assert most() == 1
+    with contextlib.suppress(ZeroDivisionError), encoder(BPE) as own:
+        first = own.encode([b"some words"], 2)[0].tolist()
+        assert len(own.known) == 3 and 1 / 0
+    with encoder(BPE) as again:
+        assert again is own and len(again.known) == 1 and again.encode([b"some words"], 2)[0].tolist() == first
+
+
 # 7
 
 
